@@ -1,4 +1,4 @@
 """All bound queries. Importing this module registers every ``bind_*`` module."""
 
-from wirefold.plans import bind_candidates, bind_graph, bind_resolve, bind_routes  # noqa: F401
+from wirefold.plans import bind_candidates, bind_graph, bind_resolve, bind_routes, bind_tx_roles  # noqa: F401
 from wirefold.plans.registry import ORACLE, QUERIES  # noqa: F401
