@@ -20,15 +20,18 @@ def parse_quarantine(rows: DataFrame, *, row_id: str, payload: str, schema: str,
                      keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """One pass, two outputs: parsed rows and rejects with a reason.
 
-    ``from_json`` in PERMISSIVE mode yields null for malformed input; a record is rejected when
-    its payload is non-null but does not parse, so no row is dropped silently.
+    ``from_json`` in PERMISSIVE mode keeps a malformed payload in a corrupt-record column
+    instead of failing the task; such rows (and null payloads) become rejects, so no row is
+    dropped silently.
     """
+    corrupt = "_corrupt_record"
     parsed = rows.select(*keys, row_id, F.col(payload).alias("_payload"),
-                         F.from_json(F.col(payload), schema,
-                                     {"mode": "PERMISSIVE"}).alias("_parsed"))
-    bad = F.col("_parsed").isNull()
+                         F.from_json(F.col(payload), f"{schema}, {corrupt} string",
+                                     {"mode": "PERMISSIVE",
+                                      "columnNameOfCorruptRecord": corrupt}).alias("_parsed"))
+    bad = F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull()
     reason = F.when(F.col("_payload").isNull(), F.lit("empty-payload")).otherwise(
         F.concat(F.lit("malformed: "), F.substring(F.col("_payload"), 1, 80)))
-    good = parsed.filter(~bad).select(*keys, row_id, "_parsed.*")
+    good = parsed.filter(~bad).select(*keys, row_id, "_parsed.*").drop(corrupt)
     rejects = parsed.filter(bad).select(*keys, row_id, reason.alias("reason"))
     return good, rejects
