@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions import paths as P
-from wirefold.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from wirefold.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, top_k
+from wirefold.session import cut_lineage
 
 ROUTE_COLS = ("route_id", "http_method", "path_pattern", "n_vars")
 
@@ -101,3 +102,238 @@ def route_resolve(requests: DataFrame, routes: DataFrame, *, keys: Sequence[str]
     return (out.withColumn("status", F.when(F.col("route_id").isNull(), F.lit("miss"))
                            .otherwise(F.lit("resolved")))
             .drop("req_segs"))
+
+
+# --- verbs, paths, expansion, inheritance, unresolved ------------------------------------------
+
+# Fixed values of the endpoint rules.
+SHORTHAND_MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT",
+                      "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
+MAPPING_ANNOTATIONS = ["RequestMapping", *SHORTHAND_MAPPINGS]
+REQUEST_METHOD_NAMES = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "TRACE"]
+CONTROLLER_ANNOTATIONS = ["Controller", "RestController"]
+REASON_CONSTANT = "constant-reference"
+REASON_NON_LITERAL = "non-literal-expression"
+REASON_UNSUPPORTED = "unsupported-pattern"
+REASON_IFACE_MISSING = "interface-mappings-not-found"
+
+
+def _reason_for(kind: Column) -> Column:
+    return F.when(kind.isin("name", "field_access"), F.lit(REASON_CONSTANT)).otherwise(
+        F.lit(REASON_NON_LITERAL))
+
+
+def route_methods(mappings: DataFrame, method_values: DataFrame, *, mapping_id: str,
+                  simple_name: str, shape: str, keys: Sequence[str] = ()) -> DataFrame:
+    """HTTP verbs of each mapping annotation.
+
+    Shorthands give their fixed verb; a non-normal ``@RequestMapping`` or one without a
+    ``method`` attribute gives ``ANY``. ``method_values`` holds the components of the
+    ``method`` attribute (``ord``, ``expr_kind``, ``expr_text``, ``shadowed``): ``X.NAME`` counts
+    as ``NAME``; a bare name counts only if it is one of the eight verbs and no string constant
+    of that name is in scope (``shadowed``). Any other component drops the whole mapping with a
+    reason. Adds ``verbs`` (array in attribute order), ``status``, ``reason``.
+    """
+    keys = list(keys)
+    kind, text = F.col("expr_kind"), F.col("expr_text")
+    verb = (F.when(kind == "field_access", F.substring_index(text, ".", -1))
+            .when((kind == "name") & text.isin(REQUEST_METHOD_NAMES) & ~F.coalesce(F.col("shadowed"), F.lit(False)),
+                  text))
+    per = (method_values.select(*keys, F.col(mapping_id).alias("_m"), "ord", kind.alias("_k"),
+                                verb.alias("_v"))
+           .groupBy(*keys, "_m").agg(
+               F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(),
+                                                  F.struct("ord", "_v")))).alias("_vs"),
+               F.min_by("_k", F.when(F.col("_v").isNull(), F.col("ord"))).alias("_bad"),
+               F.count("*").alias("_n")))
+    j = mappings.join(per, [mappings[k] == per[k] for k in keys] + [mappings[mapping_id] == per["_m"]],
+                      "left")
+    short = F.create_map(*[x for kv in SHORTHAND_MAPPINGS.items() for x in map(F.lit, kv)])
+    sn = F.col(simple_name)
+    vs = F.transform("_vs", lambda x: x["_v"])
+    verbs = (F.when(short[sn].isNotNull(), F.array(short[sn]))
+             .when(F.col(shape) != "normal", F.array(F.lit(P.ANY_METHOD)))
+             .when(F.col("_n").isNull(), F.array(F.lit(P.ANY_METHOD)))
+             .when(F.col("_bad").isNotNull(), F.lit(None).cast("array<string>"))
+             .when(F.size(vs) == 0, F.array(F.lit(P.ANY_METHOD)))
+             .otherwise(vs))
+    bad = short[sn].isNull() & (F.col(shape) == "normal") & F.col("_bad").isNotNull()
+    return j.select(*[mappings[c] for c in mappings.columns], verbs.alias("verbs"),
+                    F.when(bad, F.lit("unresolved")).otherwise(F.lit("resolved")).alias("status"),
+                    F.when(bad, _reason_for(F.col("_bad"))).alias("reason"))
+
+
+def route_paths(mappings: DataFrame, path_values: DataFrame, *, mapping_id: str,
+                keys: Sequence[str] = ()) -> DataFrame:
+    """The ``value``/``path`` attribute of each mapping: every extractable component in order
+    (``value`` = the literal, or the constant it resolves to), and the reason for the first
+    component that is not. An absent or empty attribute gives ``[""]``. Adds ``paths``,
+    ``bad_reason`` (null if none)."""
+    keys = list(keys)
+    per = (path_values.select(*keys, F.col(mapping_id).alias("_m"), "ord", "expr_kind", "value")
+           .groupBy(*keys, "_m").agg(
+               F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(),
+                                                  F.struct("ord", "value")))).alias("_ps"),
+               F.min_by("expr_kind", F.when(F.col("value").isNull(), F.col("ord"))).alias("_bad")))
+    j = mappings.join(per, [mappings[k] == per[k] for k in keys] + [mappings[mapping_id] == per["_m"]],
+                      "left")
+    ps = F.transform("_ps", lambda x: x["value"])
+    paths = F.when(F.col("_ps").isNull() | ((F.size("_ps") == 0) & F.col("_bad").isNull()),
+                   F.array(F.lit(""))).otherwise(ps)
+    return j.select(*[mappings[c] for c in mappings.columns], paths.alias("paths"),
+                    F.when(F.col("_bad").isNotNull(), _reason_for(F.col("_bad"))).alias("bad_reason"))
+
+
+def route_expand(mappings: DataFrame, *, base_paths: str, paths: str, verbs: str) -> DataFrame:
+    """Class paths x method paths x verbs, combined. A combined pattern containing '*' is
+    unresolved (``unsupported-pattern``) once per (base, path); the rest are endpoints with
+    their expansion order ``(base_ord, path_ord, verb_ord)`` kept for ties."""
+    e = (mappings.select("*", F.posexplode(F.col(base_paths)).alias("base_ord", "_base"))
+         .select("*", F.posexplode(F.col(paths)).alias("path_ord", "_path"))
+         .withColumn("path_pattern", P.combine_paths("_base", "_path")))
+    bad = e.where(F.col("path_pattern").contains("*"))
+    good = (e.where(~F.col("path_pattern").contains("*"))
+            .select("*", F.posexplode(F.col(verbs)).alias("verb_ord", "http_method")))
+    keep = [c for c in mappings.columns]
+    endpoints = good.select(*keep, "http_method", "path_pattern",
+                            F.struct("base_ord", "path_ord", "verb_ord").alias("expand_ord"),
+                            F.lit("resolved").alias("status"), F.lit(None).cast("string").alias("reason"))
+    rejects = bad.select(*keep, F.lit(None).cast("string").alias("http_method"), "path_pattern",
+                         F.struct("base_ord", "path_ord", F.lit(None).cast("int").alias("verb_ord"))
+                         .alias("expand_ord"),
+                         F.lit("unresolved").alias("status"), F.lit(REASON_UNSUPPORTED).alias("reason"))
+    return endpoints.unionByName(rejects)
+
+
+def route_inherit(controllers: DataFrame, implements: DataFrame, iface_mappings: DataFrame,
+                  impl_methods: DataFrame, *, ctrl: str, has_own_mappings: str,
+                  has_class_mapping: str, class_paths: str, iface: str, iface_paths: str,
+                  method_name: str, verbs: str, paths: str) -> DataFrame:
+    """Mappings a controller inherits from the interfaces it implements.
+
+    Only a controller without any own method mapping inherits (one own mapping switches it off).
+    Its own class prefix beats the interface's (never concatenated). The handler is the
+    implementing method of that name if there is one, else the interface method. If nothing
+    was indexed and an implemented type is missing (``iface`` null: not scanned or not an
+    interface), one ``interface-mappings-not-found`` row is emitted.
+    """
+    c = controllers.where(~F.col(has_own_mappings))
+    imp = c.join(implements, ctrl, "inner")
+    found = imp.where(F.col(iface).isNotNull())
+    m = found.join(iface_mappings, iface, "inner")
+    base = F.when(F.col(has_class_mapping), F.col(class_paths)).otherwise(F.col(iface_paths))
+    m = m.withColumn("_bases", base)
+    ex = route_expand(m.select(ctrl, iface, method_name, "_bases", paths, verbs),
+                      base_paths="_bases", paths=paths, verbs=verbs)
+    im = impl_methods.select(F.col(ctrl).alias("_c"), F.col(method_name).alias("_mn")).distinct()
+    ex = ex.join(im, (ex[ctrl] == im["_c"]) & (ex[method_name] == im["_mn"]), "left")
+    ex = ex.withColumn("handler", F.when(F.col("_c").isNotNull(), F.lit("implementation"))
+                       .otherwise(F.lit("interface"))).drop("_c", "_mn", "_bases", paths, verbs)
+    indexed = ex.where(F.col("status") == "resolved").select(ctrl).distinct()
+    missing = (imp.where(F.col(iface).isNull()).select(ctrl).distinct()
+               .join(indexed, ctrl, "left_anti"))
+    miss_rows = missing.select(ctrl, F.lit(None).cast("string").alias(iface),
+                               F.lit(None).cast("string").alias(method_name),
+                               F.lit(None).cast("string").alias("http_method"),
+                               F.lit(None).cast("string").alias("path_pattern"),
+                               F.lit("unresolved").alias("status"),
+                               F.lit(REASON_IFACE_MISSING).alias("reason"),
+                               F.lit(None).cast("string").alias("handler"))
+    return ex.select(ctrl, F.col(iface).cast("string").alias(iface),
+                     F.col(method_name).cast("string").alias(method_name), "http_method",
+                     "path_pattern", "status", "reason", "handler").unionByName(miss_rows)
+
+
+# --- suggestions for misses --------------------------------------------------------------------
+
+def _suggest_buckets(rt: DataFrame, keys: Sequence[str], max_len: int) -> DataFrame:
+    """For each request verb ``v`` and length bound ``L``: the first routes in scan order with
+    length <= L (their score is ``pen + n`` for a request of length n = L when they share
+    nothing with it) and the first routes by (length, scan order) with length > L (score
+    ``pen + m``), per penalty class. Built from the route catalogue only: no request pairs."""
+    base = rt.select(*keys, "route_id", "http_method", "path_pattern", "route_tie", "route_n",
+                     "route_segs", "n_vars")
+    # catalogue x 8 request verbs x length bounds: a fixed fan-out of the route table only
+    x = (base.withColumn("req_verb", F.explode(F.array(*[F.lit(v) for v in REQUEST_METHOD_NAMES])))
+         .withColumn("L", F.explode(F.sequence(F.lit(0), F.lit(max_len))))
+         .withColumn("pen", F.when(P.verb_matches("http_method", "req_verb"), F.lit(0))
+                     .otherwise(F.lit(P.VERB_MISMATCH_PENALTY))))
+    short = x.where(F.col("route_n") <= F.col("L"))
+    long_ = x.where(F.col("route_n") > F.col("L"))
+    k = P.SUGGESTION_LIMIT
+    a = top_k(short, [*keys, "req_verb", "L", "pen"], [F.col("route_tie")], k, "_r")
+    b = top_k(long_, [*keys, "req_verb", "L", "pen"], [F.col("route_n"), F.col("route_tie")], k, "_r")
+    return a.unionByName(b).drop("_r")
+
+
+def route_suggest(misses: DataFrame, routes: DataFrame, *, keys: Sequence[str] = (),
+                  req_id: str = "request_id", verb: str = "verb", path: str = "path",
+                  route_id: str = "route_id", route_verb: str = "http_method",
+                  pattern: str = "path_pattern", tie: str = "scan_ord",
+                  limit: int = P.SUGGESTION_LIMIT) -> DataFrame:
+    """Closest routes for each miss: score = segment edit distance (a variable segment matches
+    anything) + 1000 if the verb does not match; stable by scan order; ``limit`` per miss.
+
+    Exact without pairing every miss with every route: a route sharing no literal segment and
+    no variable with the request scores exactly ``pen + max(n, m)``, so among those only the
+    first few per (verb class, length band) can win and they come from a small table built on
+    the catalogue alone; routes that share a literal segment (equi-join on the segment) or
+    carry a variable (equi-join on the repo and a length band) get their exact distance.
+    """
+    keys = list(keys)
+    if not keys:
+        misses, routes, keys = misses.withColumn("_scope", F.lit(0)), routes.withColumn("_scope", F.lit(0)), ["_scope"]
+    req = prepare_requests(misses, verb=verb, path=path).select(
+        *keys, req_id, "req_verb", "req_segs", F.size("req_segs").alias("req_n"))
+    rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
+                        pattern=pattern, tie=tie)
+    rt = cut_lineage(rt)
+    max_len = rt.agg(F.max("route_n")).first()[0] or 0
+    buckets = _suggest_buckets(rt, keys, max_len)
+    by_bucket = req.withColumn("L", F.least(F.col("req_n"), F.lit(max_len))).join(
+        buckets, [*keys, "req_verb", "L"], "inner")
+    rcols = ["route_id", "http_method", "path_pattern", "route_tie", "route_n", "route_segs"]
+    # content candidates: a shared literal segment ...
+    rlit = rt.select(*keys, *rcols, F.explode(F.array_distinct(
+        F.filter("route_segs", lambda s: ~P.is_var(s)))).alias("_seg"))
+    qlit = req.select(*keys, req_id, "req_verb", "req_segs", "req_n",
+                      F.explode(F.array_distinct("req_segs")).alias("_seg"))
+    by_seg = qlit.join(rlit, [*keys, "_seg"], "inner").drop("_seg")
+    # ... or a variable segment (matches anything)
+    rvar = rt.where(F.col("n_vars") > 0).select(*keys, *rcols)
+    by_var = req.join(rvar, keys, "inner")
+    cols = [*keys, req_id, "req_verb", "req_segs", *rcols]
+    cand = (by_bucket.select(*cols).unionByName(by_seg.select(*cols)).unionByName(by_var.select(*cols))
+            .dropDuplicates([*keys, req_id, "route_id"]))
+    scored = cand.withColumn(
+        "score", F.when(P.verb_matches("http_method", "req_verb"), F.lit(0))
+        .otherwise(F.lit(P.VERB_MISMATCH_PENALTY)) + P.segment_distance("route_segs", "req_segs"))
+    top = top_k(scored, [*keys, req_id], [F.col("score"), F.col("route_tie")], limit, "rank")
+    return top.select(*[k for k in keys if k != "_scope"], req_id, "rank", "route_id",
+                      "http_method", "path_pattern", "score")
+
+
+def route_answer(resolved: DataFrame, suggestions: DataFrame, unresolved: DataFrame, *,
+                 keys: Sequence[str] = (), req_id: str = "request_id") -> DataFrame:
+    """The resolveEndpoint payload per request: a hit names its handler; a miss lists up to five
+    suggestions; both carry the unresolved-mapping count of their scope, and a miss with
+    unresolved mappings carries a warning that the answer may be incomplete."""
+    keys = list(keys)
+    out_cols = resolved.columns
+    if not keys:
+        resolved, suggestions, unresolved = (d.withColumn("_scope", F.lit(0))
+                                             for d in (resolved, suggestions, unresolved))
+        keys = ["_scope"]
+    n_unres = unresolved.groupBy(*keys).agg(F.count("*").alias("n_unresolved"))
+    # at most ``limit`` suggestions per request: a bounded array
+    sug = (suggestions.groupBy(*keys, req_id)
+           .agg(F.array_sort(F.collect_list(F.struct("rank", "path_pattern"))).alias("_s")))
+    j = resolved.join(sug, [*keys, req_id], "left").join(n_unres, keys, "left")
+    n = F.coalesce(F.col("n_unresolved"), F.lit(0))
+    miss = F.col("status") == "miss"
+    return j.select(*[F.col(c) for c in out_cols],
+                    F.when(miss, F.array_join(F.transform("_s", lambda x: x["path_pattern"]), " | "))
+                    .alias("suggestions"),
+                    n.cast("long").alias("n_unresolved"),
+                    F.when(miss & (n > 0), F.lit("some mappings could not be resolved statically; "
+                                                 "the handler may be among them")).alias("warning"))

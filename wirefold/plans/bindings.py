@@ -1,5 +1,5 @@
 """All bound queries. Importing this module registers every ``bind_*`` module."""
 
 from wirefold.plans import (bind_candidates, bind_graph, bind_lifecycle, bind_resolve,  # noqa: F401
-                            bind_routes, bind_tx_roles)
+                            bind_routes, bind_routes2, bind_tx_roles)
 from wirefold.plans.registry import ORACLE, QUERIES  # noqa: F401
