@@ -2,4 +2,5 @@
 
 from wirefold.plans import (bind_candidates, bind_graph, bind_lifecycle, bind_resolve,  # noqa: F401
                             bind_routes, bind_routes2, bind_tx_roles)
-from wirefold.plans.registry import ORACLE, QUERIES  # noqa: F401
+from wirefold.plans import bind_coverage  # noqa: F401,E402  (composes the modules above)
+from wirefold.plans.registry import ORACLE, QUERIES  # noqa: F401,E402
