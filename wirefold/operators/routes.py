@@ -225,10 +225,10 @@ def route_inherit(controllers: DataFrame, implements: DataFrame, iface_mappings:
     m = m.withColumn("_bases", base)
     ex = route_expand(m.select(ctrl, iface, method_name, "_bases", paths, verbs),
                       base_paths="_bases", paths=paths, verbs=verbs)
-    im = impl_methods.select(F.col(ctrl).alias("_c"), F.col(method_name).alias("_mn")).distinct()
-    ex = ex.join(im, (ex[ctrl] == im["_c"]) & (ex[method_name] == im["_mn"]), "left")
-    ex = ex.withColumn("handler", F.when(F.col("_c").isNotNull(), F.lit("implementation"))
-                       .otherwise(F.lit("interface"))).drop("_c", "_mn", "_bases", paths, verbs)
+    im = impl_methods.select(F.col(ctrl).alias("__ic"), F.col(method_name).alias("__im")).distinct()
+    ex = ex.join(im, (ex[ctrl] == im["__ic"]) & (ex[method_name] == im["__im"]), "left")
+    ex = ex.withColumn("handler", F.when(F.col("__ic").isNotNull(), F.lit("implementation"))
+                       .otherwise(F.lit("interface"))).drop("__ic", "__im", "_bases", paths, verbs)
     indexed = ex.where(F.col("status") == "resolved").select(ctrl).distinct()
     missing = (imp.where(F.col(iface).isNull()).select(ctrl).distinct()
                .join(indexed, ctrl, "left_anti"))
@@ -238,10 +238,11 @@ def route_inherit(controllers: DataFrame, implements: DataFrame, iface_mappings:
                                F.lit(None).cast("string").alias("path_pattern"),
                                F.lit("unresolved").alias("status"),
                                F.lit(REASON_IFACE_MISSING).alias("reason"),
-                               F.lit(None).cast("string").alias("handler"))
+                               F.lit(None).cast("string").alias("handler"),
+                               F.lit(None).cast(ex.schema["expand_ord"].dataType).alias("expand_ord"))
     return ex.select(ctrl, F.col(iface).cast("string").alias(iface),
                      F.col(method_name).cast("string").alias(method_name), "http_method",
-                     "path_pattern", "status", "reason", "handler").unionByName(miss_rows)
+                     "path_pattern", "status", "reason", "handler", "expand_ord").unionByName(miss_rows)
 
 
 # --- suggestions for misses --------------------------------------------------------------------

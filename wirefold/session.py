@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.driver.memory": "8g",  # only takes effect when this call starts the JVM (local mode)
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
@@ -26,9 +27,20 @@ DEFAULT_CONF = {
 }
 
 
+def _export_package_path() -> str:
+    """Python workers must import this package (``extract_facts`` runs in them). Locally they
+    inherit PYTHONPATH; on a cluster ship the package with ``--py-files``."""
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    current = os.environ.get("PYTHONPATH", "")
+    if parent not in current.split(os.pathsep):
+        os.environ["PYTHONPATH"] = parent + (os.pathsep + current if current else "")
+    return parent
+
+
 def get_session(master: str | None = None, app: str = "wirefold",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    parent = _export_package_path()
+    builder = SparkSession.builder.appName(app).config("spark.executorEnv.PYTHONPATH", parent)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)

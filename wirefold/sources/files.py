@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the selection rule: directory names that are build output.
 EXCLUDED_DIR_NAMES = ["node_modules", "build", "target", "out", "bin"]
@@ -83,5 +84,5 @@ def read_sources(listed: DataFrame, *, keep=(PRODUCTION, TEST)) -> DataFrame:
     """Content for the kept files only: tasks open their own files (any filesystem Arrow can
     reach), so nothing passes through the driver."""
     kept = listed.where(F.col("source_set").isin(list(keep)))
-    schema = kept.schema.add("content", "string")
+    schema = T.StructType(list(kept.schema.fields) + [T.StructField("content", T.StringType(), True)])
     return kept.mapInPandas(_read_batches, schema)

@@ -612,7 +612,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in scan_source(path, content or ""):
                 r["repo"], r["snapshot"] = repo, snap
                 rows.append(r)
-        yield pd.DataFrame(rows, columns=_COLS) if rows else pd.DataFrame(columns=_COLS)
+        # object dtype keeps None as None (no NaN in list or integer columns)
+        yield pd.DataFrame([[r.get(c) for c in _COLS] for r in rows], columns=_COLS, dtype=object)
 
 
 def extract_facts(sources: DataFrame) -> DataFrame:
