@@ -94,15 +94,15 @@ def resolve_direct(sites: DataFrame, types: DataFrame, beans: DataFrame, *, site
     """Before the interface ladder: a scanned concrete bean -> ``concrete``; a terminal interface
     -> ``terminal``; a scanned non-bean class or an unscanned type -> ``not-a-scanned-bean``;
     a non-terminal interface goes on to the interface ladder (``decision = 'interface'``)."""
-    t = types.select(*keys, F.col(type_fqcn).alias("_t"), F.col(is_interface).alias("_iface"))
-    b = beans.select(*keys, F.col(bean_fqcn).alias("_t"), F.col(terminal).alias("_terminal"),
-                     F.lit(True).alias("_bean"))
-    tb = broadcast_if_small(t.join(b, [*keys, "_t"], "left"), broadcast_rows)
-    j = sites.join(tb, [sites[k] == tb[k] for k in keys] + [sites[site_type] == tb["_t"]], "left")
-    decision = (F.when(F.col("_t").isNull(), F.lit("unscanned"))
-                .when(~F.col("_iface") & F.col("_bean").isNotNull(), F.lit(KIND_CONCRETE))
-                .when(F.col("_iface") & F.coalesce(F.col("_terminal"), F.lit(False)), F.lit(KIND_TERMINAL))
-                .when(F.col("_iface"), F.lit("interface"))
+    t = types.select(*keys, F.col(type_fqcn).alias("__t"), F.col(is_interface).alias("__iface"))
+    b = beans.select(*keys, F.col(bean_fqcn).alias("__t"), F.col(terminal).alias("__terminal"),
+                     F.lit(True).alias("__bean"))
+    tb = broadcast_if_small(t.join(b, [*keys, "__t"], "left"), broadcast_rows)
+    j = sites.join(tb, [sites[k] == tb[k] for k in keys] + [sites[site_type] == tb["__t"]], "left")
+    decision = (F.when(F.col("__t").isNull(), F.lit("unscanned"))
+                .when(~F.col("__iface") & F.col("__bean").isNotNull(), F.lit(KIND_CONCRETE))
+                .when(F.col("__iface") & F.coalesce(F.col("__terminal"), F.lit(False)), F.lit(KIND_TERMINAL))
+                .when(F.col("__iface"), F.lit("interface"))
                 .otherwise(F.lit("non-bean-class")))
     status = (F.when(decision.isin(KIND_CONCRETE, KIND_TERMINAL), F.lit(RESOLVED))
               .when(decision == "interface", F.lit("pending"))

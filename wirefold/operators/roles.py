@@ -55,17 +55,17 @@ def declared_roles(field_annotations: DataFrame, *, simple_name: str, imported_f
     qualified name that counts (``imported_fqcn``, null if not imported), else unresolved.
     ``@InjectMocks`` -> role real; the six others -> role mocked with their kind."""
     spark = spark or field_annotations.sparkSession
-    known = known_annotations(spark)
-    j = field_annotations.join(known, field_annotations[simple_name] == known["simple_name"], "inner")
-    ok = F.col(imported_fqcn) == F.col("required_fqcn")
-    role = F.when(~F.coalesce(ok, F.lit(False)), F.lit(None)).when(
-        F.col("kind").isNull(), F.lit("real")).otherwise(F.lit("mocked"))
-    status = F.when(F.coalesce(ok, F.lit(False)), F.lit("resolved")).otherwise(F.lit("unresolved"))
-    reason = F.when(~F.coalesce(ok, F.lit(False)),
-                    F.concat(F.lit("annotation @"), F.col("simple_name"),
-                             F.lit(" does not resolve to "), F.col("required_fqcn")))
+    known = known_annotations(spark).select(F.col("simple_name").alias("__sn"),
+                                            F.col("required_fqcn").alias("__req"),
+                                            F.col("kind").alias("__kind"))
+    j = field_annotations.join(known, field_annotations[simple_name] == known["__sn"], "inner")
+    ok = F.coalesce(F.col(imported_fqcn) == F.col("__req"), F.lit(False))
+    role = F.when(~ok, F.lit(None)).when(F.col("__kind").isNull(), F.lit("real")).otherwise(F.lit("mocked"))
+    status = F.when(ok, F.lit("resolved")).otherwise(F.lit("unresolved"))
+    reason = F.when(~ok, F.concat(F.lit("annotation @"), F.col("__sn"),
+                                  F.lit(" does not resolve to "), F.col("__req")))
     return j.select(*[field_annotations[c] for c in field_annotations.columns],
-                    role.alias("role"), F.when(ok, F.col("kind")).alias("kind"),
+                    role.alias("role"), F.when(ok, F.col("__kind")).alias("kind"),
                     status.alias("status"), reason.alias("reason"))
 
 

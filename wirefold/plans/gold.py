@@ -304,14 +304,18 @@ def beans(f: Facts) -> Beans:
                        F.lit(True).alias("terminal"), F.struct("path", "type_ord").alias("scan_ord")))
     repos = _repository_interfaces(f)
     factory = _factory_beans(f)
-    universe = C.universe([(0, classes), (0, mappers), (0, repos), (1, factory)], keys=K)
+    # each of these is read several times below: materialise once (small plans, cheap recovery)
+    universe = cut_lineage(C.universe([(0, classes), (0, mappers), (0, repos), (1, factory)], keys=K))
     # sites: uninitialised instance fields and @Bean method parameters
     fields = C.site_filter(f.fields.withColumn("_init", F.col("init_kind").isNotNull()),
                            type_written="type_written", is_primitive="is_primitive",
                            is_static="is_static", initialised="_init").where("is_site")
     fann = f.annotations.where(F.col("owner_kind") == "field")
     qual = _qualifiers(f, fann)
-    fsites = (fields.join(universe.select(*K, F.col("fqcn")), [*K, "fqcn"], "inner")
+    # class beans: their instance fields; factory beans: their @Bean method parameters only;
+    # terminal beans have no sites
+    field_beans = universe.where(~F.col("terminal") & (F.col("stereotype") != "Bean")).select(*K, "fqcn")
+    fsites = (fields.join(field_beans, [*K, "fqcn"], "inner")
               .withColumn("owner_id", F.concat_ws("#f", "fqcn", F.col("ord").cast("string")))
               .join(qual, [*K, "owner_id"], "left")
               .select(*K, F.col("fqcn").alias("bean"), F.col("ord").alias("site_ord"),
@@ -328,26 +332,15 @@ def beans(f: Facts) -> Beans:
     sites = resolve_type_names(sites, f, name="_lookup", path="path", package="_pkg")
     imported = RS.imported_fqcn(f.imports.where(~F.col("is_static") & ~F.col("is_wildcard")),
                                 path="path", name="name", order=["ord"], keys=K)
-    sites = (sites.join(imported.select(*K, "path", F.col("simple").alias("_lookup"),
-                                        F.col("fqcn").alias("_impfq")), [*K, "path", "_lookup"], "left")
-             .withColumn("declared_fqcn", F.coalesce("resolved", "_impfq")).drop("_impfq"))
-    cands = _implementations(f, universe)
-    impls = cands.select(*K, F.col("contract"), F.col("bean_fqcn").alias("bean"),
-                         F.col("bean_ord"))
+    sites = cut_lineage(
+        sites.join(imported.select(*K, "path", F.col("simple").alias("_lookup"),
+                                   F.col("fqcn").alias("_impfq")), [*K, "path", "_lookup"], "left")
+        .withColumn("declared_fqcn", F.coalesce("resolved", "_impfq")).drop("_impfq"))
+    cands = cut_lineage(_implementations(f, universe))
+    impls = cands.select(*K, F.col("contract"), F.col("bean_fqcn").alias("bean"), "bean_ord")
     # collection sites
     coll = sites.where(is_coll).withColumn("_elem", F.col("declared_fqcn"))
     coll = coll.withColumn("_args_ok", ok)
-    coll_out = (coll.join(impls.withColumnRenamed("contract", "_elem"), [*K, "_elem"], "left")
-                .select(*K, "bean", "site_ord", "field_name", "type_written", "declared_fqcn", "line",
-                        F.when(F.col("_args_ok") & F.col("bean_ord").isNotNull(), F.lit("resolved"))
-                        .otherwise(F.lit("unresolved")).alias("status"),
-                        F.when(F.col("_args_ok") & F.col("bean_ord").isNotNull(), F.lit(C.KIND_COLLECTION)).alias("kind"),
-                        F.when(~F.col("_args_ok"), F.lit(C.REASON_COLLECTION))
-                        .when(F.col("bean_ord").isNull(), F.lit(C.REASON_NONE)).alias("reason"),
-                        F.lit(None).cast("string").alias("target"),
-                        F.when(F.col("_args_ok"), F.col(impls.columns[3] if False else "bean_ord")).alias("cand_ord"),
-                        F.when(F.col("_args_ok"), F.col("bean")).alias("_cand_dummy")))
-    # the join above renamed nothing for the candidate bean: rebuild it explicitly
     coll_long = (coll.join(impls.select(*K, F.col("contract").alias("_elem"), F.col("bean").alias("candidate"),
                                         "bean_ord"), [*K, "_elem"], "left"))
     coll_edges = coll_long.select(
@@ -358,12 +351,11 @@ def beans(f: Facts) -> Beans:
         F.lit(None).cast("string").alias("target"),
         F.when(F.col("_args_ok"), F.col("candidate")).alias("candidate"),
         F.when(F.col("_args_ok"), F.col("bean_ord")).alias("cand_ord"))
-    del coll_out
     # direct sites
     direct = sites.where(~is_coll)
     tinfo = types.select(*K, "fqcn", "is_interface")
-    d = C.resolve_direct(direct.withColumn("_t", F.col("declared_fqcn")), tinfo,
-                         universe.select(*K, "fqcn", "terminal"), site_type="_t", type_fqcn="fqcn",
+    d = C.resolve_direct(direct.withColumn("_decl", F.col("declared_fqcn")), tinfo,
+                         universe.select(*K, "fqcn", "terminal"), site_type="_decl", type_fqcn="fqcn",
                          is_interface="is_interface", bean_fqcn="fqcn", terminal="terminal", keys=K)
     d_done = d.where(F.col("status") != "pending").select(
         *K, "bean", "site_ord", "field_name", "type_written", "declared_fqcn", "line", "status", "kind",
@@ -517,7 +509,6 @@ def test_roles(f: Facts) -> tuple[DataFrame, DataFrame]:
     chain = G.ancestor_chain(types.select(kc("fqcn").alias("n"), kc("parent_fqcn").alias("p"),
                                           "simple_name", "is_top_level"),
                              node="n", parent="p", name="simple_name", is_root="is_top_level")
-    tops = types.select(*K, "fqcn", "path")
     nested = (types.join(nested_ann, [*K, "fqcn"]).withColumn("n", kc("fqcn")).join(chain, "n")
               .select(*K, "fqcn", F.col("chain").alias("nested_scope"), "path"))
     scope_top = (top.select(*K, F.col("test_fqcn").alias("fqcn"), "test_fqcn", "path")
@@ -525,7 +516,6 @@ def test_roles(f: Facts) -> tuple[DataFrame, DataFrame]:
     scopes_n = nested.join(top.select(*K, "test_fqcn", "path"), [*K, "path"]).where(
         F.col("fqcn").startswith(F.concat(F.col("test_fqcn"), F.lit("."))))
     scopes = scope_top.unionByName(scopes_n.select(*K, "fqcn", "test_fqcn", "path", "nested_scope"))
-    del tops
     # declared roles: known field annotations, accepted only if the file imports the right name
     fann = (f.annotations.where(F.col("owner_kind") == "field")
             .withColumn("fqcn", _owner_class()).join(scopes, [*K, "fqcn", "path"]))
@@ -586,9 +576,7 @@ def test_roles(f: Facts) -> tuple[DataFrame, DataFrame]:
     imported = RS.imported_fqcn(f.imports.where(~F.col("is_static") & ~F.col("is_wildcard")),
                                 path="path", name="name", order=["ord"], keys=K)
     roles = roles.join(pk, [*K, "path"]).withColumn("_simple", F.substring_index("type_name", ".", -1))
-    roles = RS.resolve_simple(roles, imported.withColumnRenamed("path", "_ip"), path="path",
-                              simple="type_name", package="_pkg", keys=K) if False else \
-        _resolve_simple_keyed(roles, imported)
+    roles = _resolve_simple_keyed(roles, imported)
     unresolved = (dr.where(F.col("status") == "unresolved").select(
                       *K, "test_fqcn", F.concat(F.lit("@"), F.col("simple_name"), F.lit(" "), F.col("field_name"))
                       .alias("description"), "reason")
