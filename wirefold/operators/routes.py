@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wirefold.functions import paths as P
 from wirefold.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, top_k
@@ -84,24 +85,31 @@ def route_resolve(requests: DataFrame, routes: DataFrame, *, keys: Sequence[str]
     request with ``min_by``; the probes of one request sit in one partition, so the partial
     aggregate collapses them before the only shuffle.
     """
+    keys = list(keys)
     req = prepare_requests(requests, verb=verb, path=path)
     rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
                         pattern=pattern, tie=tie)
-    rt = broadcast_if_small(rt, broadcast_rows)
-    carried = [c for c in req.columns if c not in (*keys, req_id)]
-    probe = req.select("*", F.size("req_segs").alias("route_n"),
+    # one rank per route within its scope, in specificity order (fewest variables, then scan
+    # order): the fold below is then a min over a long, which stays a hash aggregate. The window
+    # holds one repository snapshot's routes.
+    scope = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    rt = rt.withColumn("route_rank", F.row_number().over(scope.orderBy("n_vars", "route_tie")))
+    rt = broadcast_if_small(cut_lineage(rt), broadcast_rows)
+    carried = [c for c in req.columns if c not in (*keys, req_id, "req_segs")]
+    probe = req.select(*keys, req_id, *carried, "req_verb", "req_segs",
+                       F.size("req_segs").alias("route_n"),
                        F.explode(P.probes("req_segs")).alias("route_anchor"))
-    joined = probe.join(rt, [*keys, "route_n", "route_anchor"], "left")
-    ok = P.verb_matches("http_method", "req_verb") & P.pattern_matches("route_segs", "req_segs")
-    hit = F.when(ok, F.struct(*[F.col(c) for c in ROUTE_COLS]))
-    rank = F.when(ok, F.struct("n_vars", "route_tie"))
-    folded = joined.groupBy(*keys, req_id).agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.min_by(hit, rank).alias("_win"))
-    out = folded.select(*keys, req_id, *carried, *[F.col("_win")[c].alias(c) for c in ROUTE_COLS])
-    return (out.withColumn("status", F.when(F.col("route_id").isNull(), F.lit("miss"))
-                           .otherwise(F.lit("resolved")))
-            .drop("req_segs"))
+    joined = probe.join(rt.select(*keys, "route_n", "route_anchor", "route_rank",
+                                  F.col("http_method").alias("_rv"), "route_segs"),
+                        [*keys, "route_n", "route_anchor"], "left")
+    ok = P.verb_matches("_rv", "req_verb") & P.pattern_matches("route_segs", "req_segs")
+    # the probes of one request sit in one partition: the partial aggregate collapses them
+    folded = (joined.groupBy(*keys, req_id, *carried)
+              .agg(F.min(F.when(ok, F.col("route_rank"))).alias("route_rank")))
+    win = rt.select(*keys, "route_rank", *ROUTE_COLS)
+    out = folded.join(win, [*keys, "route_rank"], "left").drop("route_rank")
+    return out.withColumn("status", F.when(F.col("route_id").isNull(), F.lit("miss"))
+                          .otherwise(F.lit("resolved")))
 
 
 # --- verbs, paths, expansion, inheritance, unresolved ------------------------------------------
