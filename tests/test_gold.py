@@ -117,3 +117,19 @@ def test_test_roles(sources):
     }
     assert sorted(r.reason[:24] for r in unres.collect()) == ["annotation @Mock does no",
                                                               "mockStatic argument is n"]
+
+
+def test_slice_info(sources):
+    tf = gold.split_facts(extract_facts(sources.where(F.col("source_set") == "test")))
+    got = {short(r.test_fqcn): (r.is_context, list(r.extend_with), [a.split("(")[0] for a in r.class_annotations])
+           for r in gold.test_classes(tf).collect()}
+    assert got["AppTest"] == (True, [], ["@SpringBootTest"])
+    assert got["OrderServiceTest"] == (False, ["com.shop.MockitoExtension"], ["@ExtendWith"])
+
+
+def test_sink_overwrites_one_snapshot(spark, tmp_path):
+    out = str(tmp_path / "gold")
+    a = spark.createDataFrame([("r", "s1", 1), ("r", "s2", 2)], "repo string, snapshot string, v int")
+    gold.write_partitioned(a, out)
+    gold.write_partitioned(spark.createDataFrame([("r", "s2", 3)], "repo string, snapshot string, v int"), out)
+    assert sorted((r.snapshot, r.v) for r in spark.read.parquet(out).collect()) == [("s1", 1), ("s2", 3)]

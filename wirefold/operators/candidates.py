@@ -201,6 +201,19 @@ def resolve_collection(sites: DataFrame, impls: DataFrame, *, container: str, ty
                     F.when(F.col("_ok"), F.col("bean_ord")).alias("candidate_ord"))
 
 
+def factory_sites(params: DataFrame, factory_methods: DataFrame, *, owner: str, method_ord: str,
+                  produced: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``@Bean`` method parameters are the sites of the bean the method produces (a factory-made
+    bean has no field sites). Parameters still pass ``site_filter`` downstream."""
+    fm = factory_methods.select(*keys, owner, method_ord, F.col(produced).alias("bean"))
+    return params.join(fm, [*keys, owner, method_ord], "inner")
+
+
+def all_beans(beans: DataFrame, *, fqcn: str = "fqcn", keys: Sequence[str] = ()) -> DataFrame:
+    """Every bean, sorted by FQCN within its scope (a range-partitioned sort; no single task)."""
+    return beans.orderBy(*keys, fqcn)
+
+
 def dependents(requests: DataFrame, edges: DataFrame, edge_candidates: DataFrame, *,
                req_type: str, bean: str, edge_ord: str, target: str, declared: str,
                candidate: str, keys: Sequence[str] = ()) -> DataFrame:

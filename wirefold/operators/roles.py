@@ -119,3 +119,36 @@ def unclassified_context(requested: DataFrame, context_tests: DataFrame, roles:
     pairs = req.join(ctx, keys, "inner")
     mentions = roles.select(*keys, type_col, test).distinct()
     return pairs.join(mentions, [*keys, type_col, test], "left_anti")
+
+
+def slice_info(class_annotations: DataFrame, extend_with_values: DataFrame, imports: DataFrame, *,
+               test: str, path: str, ord: str, text: str, package: str,
+               keys: Sequence[str] = ()) -> DataFrame:
+    """Per top-level test class: its annotation texts in declaration order, the ``@ExtendWith``
+    class literals resolved by import (else own package + name, else the name), and whether it
+    starts a Spring context (``is_context``). A class's own annotations are a handful, so they
+    are folded into one ordered array per class."""
+    keys = list(keys)
+    texts = (class_annotations.groupBy(*keys, test)
+             .agg(F.array_sort(F.collect_list(F.struct(F.col(ord).alias("o"), F.col(text).alias("t"))))
+                  .alias("_a")))
+    imp = (imports.where(~F.col("is_static") & ~F.col("is_wildcard"))
+           .select(*keys, F.col("path").alias("_ip"), F.substring_index("name", ".", -1).alias("_s"),
+                   F.col("name").alias("_imp"), F.col("ord").alias("_io"))
+           .groupBy(*keys, "_ip", "_s").agg(F.min_by("_imp", "_io").alias("_imp")))
+    ew = extend_with_values.join(imp, [extend_with_values[k] == imp[k] for k in keys]
+                                 + [extend_with_values[path] == imp["_ip"],
+                                    extend_with_values["type_name"] == imp["_s"]], "left")
+    fq = (F.when(F.col("type_name").contains("."), F.col("type_name"))
+          .when(F.col("_imp").isNotNull(), F.col("_imp"))
+          .when(F.coalesce(F.col(package), F.lit("")) != "", F.concat_ws(".", F.col(package), F.col("type_name")))
+          .otherwise(F.col("type_name")))
+    ews = (ew.select(*[extend_with_values[k] for k in keys], extend_with_values[test].alias(test),
+                     F.col("value_ord"), fq.alias("_fq"))
+           .groupBy(*keys, test).agg(F.array_sort(F.collect_list(F.struct("value_ord", "_fq"))).alias("_e")))
+    out = texts.join(ews, [*keys, test], "full_outer")
+    anns = F.coalesce(F.transform("_a", lambda x: x["t"]), F.array().cast("array<string>"))
+    return out.select(*keys, test, anns.alias("class_annotations"),
+                      F.coalesce(F.transform("_e", lambda x: x["_fq"]), F.array().cast("array<string>"))
+                      .alias("extend_with"),
+                      context_slice_flag(anns).alias("is_context"))

@@ -311,3 +311,33 @@ def q_site_filter(spark, sf_dir):
     out = C.site_filter(fields, type_written="type_written", is_primitive="is_primitive",
                         is_static="is_static", initialised="initialised")
     return out.select("p_partkey", "type_written", "excluded_by")
+
+
+@query("all_beans", """
+WITH u AS (SELECT CAST(s_nationkey AS VARCHAR) || '.' || CAST(s_suppkey % 10 AS VARCHAR) AS fqcn,
+                  'supplier' AS source, s_suppkey AS member, 0 AS prio FROM supplier
+           UNION ALL
+           SELECT CAST(c_nationkey AS VARCHAR) || '.' || CAST(c_custkey % 10 AS VARCHAR),
+                  'customer', c_custkey, 1 FROM customer)
+SELECT fqcn, source, member FROM u
+QUALIFY row_number() OVER (PARTITION BY fqcn ORDER BY prio, member) = 1
+ORDER BY fqcn""")
+def q_all_beans(spark, sf_dir):
+    """All beans of the universe binding, sorted by FQCN."""
+    return C.all_beans(q_universe(spark, sf_dir))
+
+
+@query("factory_sites", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey,
+       'B' || CAST(o_custkey AS VARCHAR) AS bean
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'""")
+def q_factory_sites(spark, sf_dir):
+    """Urgent orders as @Bean factory methods producing their customer's bean; their line items
+    are the method parameters, hence that bean's sites."""
+    fm = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("m"),
+        F.concat(F.lit("B"), F.col("o_custkey").cast("string")).alias("produced"))
+    params = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.lit(0).alias("m"), "l_linenumber", "l_partkey", "l_suppkey")
+    out = C.factory_sites(params, fm, owner="l_orderkey", method_ord="m", produced="produced")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "bean")

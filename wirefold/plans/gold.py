@@ -432,8 +432,8 @@ def _factory_params(f: Facts, universe: DataFrame) -> DataFrame:
     """``@Bean`` method parameters are sites of the bean the method produces."""
     fm = _factory_methods(f).join(f.types.select(*K, "fqcn", F.col("package").alias("_pkg")), [*K, "fqcn"])
     res = resolve_type_names(fm, f, name="return_type", path="path", package="_pkg")
-    p = f.params.join(res.select(*K, "fqcn", F.col("ord").alias("method_ord"), F.col("resolved").alias("bean")),
-                      [*K, "fqcn", "method_ord"])
+    p = C.factory_sites(f.params, res.withColumn("method_ord", F.col("ord")), owner="fqcn",
+                        method_ord="method_ord", produced="resolved", keys=K)
     p = p.where(~F.col("is_primitive") & ~F.col("type_written").isin(C.NON_BEAN_SIMPLE_TYPES)
                 & ~F.col("type_written").startswith("java.") & ~F.col("type_written").startswith("javax."))
     return p.select(*K, "bean", (F.lit(1 << 20) + F.col("ord")).alias("site_ord"),
@@ -593,3 +593,32 @@ def _resolve_simple_keyed(roles: DataFrame, imported: DataFrame) -> DataFrame:
     fq = (F.when(dotted, F.col("type_name")).when(F.col("_imp").isNotNull(), F.col("_imp"))
           .when(F.col("_pkg") != "", F.concat_ws(".", "_pkg", "type_name")).otherwise(F.col("type_name")))
     return j.withColumn("type_fqcn", fq).drop("_imp")
+
+
+def test_classes(f: Facts) -> DataFrame:
+    """Every top-level test class (tests or not): annotation texts, resolved @ExtendWith classes
+    and whether it starts a Spring context."""
+    top = f.types.where(F.col("is_top_level") & ~F.col("is_interface")).select(
+        *K, F.col("fqcn").alias("test_fqcn"), "path", "package")
+    ann = (f.annotations.where(F.col("owner_kind") == "type")
+           .join(top.withColumnRenamed("test_fqcn", "owner_id"), [*K, "owner_id", "path"])
+           .withColumnRenamed("owner_id", "test_fqcn"))
+    ew_ann = ann.where(F.col("simple_name") == "ExtendWith").select(*K, "test_fqcn", "path", "package",
+                                                                     F.col("ord").alias("annotation_ord"))
+    vals = f.values.where(F.col("expr_kind") == "class_literal").select(
+        *K, F.col("owner_id").alias("test_fqcn"), "annotation_ord", F.col("ord").alias("value_ord"),
+        F.col("expr_text").alias("type_name"))
+    ew = ew_ann.join(vals, [*K, "test_fqcn", "annotation_ord"])
+    info = RL.slice_info(ann, ew, f.imports, test="test_fqcn", path="path", ord="ord", text="text",
+                         package="package", keys=K)
+    return (top.select(*K, "test_fqcn").join(info, [*K, "test_fqcn"], "left")
+            .select(*K, "test_fqcn",
+                    F.coalesce("class_annotations", F.array().cast("array<string>")).alias("class_annotations"),
+                    F.coalesce("extend_with", F.array().cast("array<string>")).alias("extend_with"),
+                    F.coalesce("is_context", F.lit(False)).alias("is_context")))
+
+
+def write_partitioned(df: DataFrame, path: str, *, partition_by=("repo", "snapshot")) -> None:
+    """Sink: Parquet partitioned by scope; with dynamic partition overwrite (session default) a
+    rerun of one snapshot replaces only that snapshot's partitions."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
