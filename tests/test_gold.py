@@ -133,3 +133,32 @@ def test_sink_overwrites_one_snapshot(spark, tmp_path):
     gold.write_partitioned(a, out)
     gold.write_partitioned(spark.createDataFrame([("r", "s2", 3)], "repo string, snapshot string, v int"), out)
     assert sorted((r.snapshot, r.v) for r in spark.read.parquet(out).collect()) == [("s1", 1), ("s2", 3)]
+
+
+def test_trace_dependents_and_status(spark, sources, prod):
+    facts, f = prod
+    e = gold.endpoints(f)
+    b = gold.beans(f)
+    reqs = spark.createDataFrame([("shop", "s1", 1, "GET", "/api/orders")],
+                                 "repo string, snapshot string, request_id int, verb string, path string")
+    t = gold.trace_requests(reqs, e, b)
+    steps = sorted((r.step_order, short(r.src.split("\u0001")[-1]), short(r.dst.split("\u0001")[-1]), r.depth)
+                   for r in t.steps.collect())
+    got = [(s, d, dep) for _, s, d, dep in steps]
+    assert got[0] == ("OrderController", "OrderService", 1)
+    assert ("OrderService", "Csv", 2) in got and ("OrderService", "Json", 2) in got   # collection fans out
+    assert ("TxService", "TxService", 3) in got                                        # step to a visited node
+    assert {short(r.node.split("\u0001")[-1]) for r in t.terminals.collect()} == {"Repo"}
+    assert {r.truncated for r in t.truncated.collect()} == {False}
+    t1 = gold.trace_requests(reqs, e, b, max_depth=1)
+    assert {r.truncated for r in t1.truncated.collect()} == {True}
+    dq = spark.createDataFrame([("shop", "s1", "com.shop.service.Gateway"), ("shop", "s1", "com.shop.service.Csv")],
+                               "repo string, snapshot string, type_fqcn string")
+    dep = {(short(r.type_fqcn), short(r.bean), r.via) for r in gold.dependents_of(dq, b).collect()}
+    assert ("Gateway", "OrderService", "declared-type") in dep and ("Gateway", "DefaultGreeting", "declared-type") in dep
+    assert ("Csv", "OrderService", "candidate") in dep
+    files = sources.where(F.col("source_set") == "production")
+    st = {(r.metric, r.reason): r.n for r in gold.index_status(f, e, b, files).collect()}
+    assert st[("endpoints", None)] == 10 and st[("parse_failures", None)] == 1
+    assert st[("unresolved_mappings", "constant-reference")] == 1
+    assert st[("unresolved_sites", "no-implementation-found")] == 2

@@ -248,7 +248,9 @@ def bean_dependencies(edges: DataFrame, *, bean: str, edge_ord: str, fields: Seq
 
 
 def unresolved_by_reason(edges: DataFrame, *, status: str = "status", reason: str = "reason",
-                         keys: Sequence[str] = ()) -> DataFrame:
-    """Unresolved sites counted by reason (partial aggregation before the shuffle)."""
-    return (edges.where(F.col(status) == UNRESOLVED)
-            .groupBy(*keys, reason).agg(F.count("*").alias("n")))
+                         keys: Sequence[str] = (), rollup: bool = False) -> DataFrame:
+    """Unresolved sites counted by reason (partial aggregation before the shuffle). Across a
+    fleet, ``rollup=True`` adds per-scope and grand totals (null reason / null keys)."""
+    unres = edges.where(F.col(status) == UNRESOLVED)
+    grouped = unres.rollup(*keys, reason) if rollup else unres.groupBy(*keys, reason)
+    return grouped.agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wirefold.operators import candidates as C
 from wirefold.operators import coverage as CV
@@ -622,3 +623,55 @@ def write_partitioned(df: DataFrame, path: str, *, partition_by=("repo", "snapsh
     """Sink: Parquet partitioned by scope; with dynamic partition overwrite (session default) a
     rerun of one snapshot replaces only that snapshot's partitions."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+# --- tool-level questions over the gold tables ------------------------------------------------------
+
+def bean_graph(b: Beans) -> DataFrame:
+    """Long edge list for traversal: one row per (bean, site, candidate); a collection site fans
+    out to its candidates, an unresolved site keeps a null target. Keys are folded into the node
+    ids so one traversal serves every (repo, snapshot)."""
+    kn = lambda c: F.concat_ws("\u0001", *K, c)
+    single = b.edges.where(F.col("kind").isNull() | (F.col("kind") != C.KIND_COLLECTION)).select(
+        kn("bean").alias("src"), F.col("site_ord").cast("bigint").alias("edge_ord"),
+        F.lit(0).cast("bigint").alias("cand_ord"),
+        F.when(F.col("status") == "resolved", kn("target")).alias("dst"), "status")
+    coll = (b.edges.where(F.col("kind") == C.KIND_COLLECTION)
+            .join(b.edge_candidates.withColumnRenamed("edge_ord", "site_ord"), [*K, "bean", "site_ord"])
+            .select(kn("bean").alias("src"), F.col("site_ord").cast("bigint").alias("edge_ord"),
+                    F.dense_rank().over(Window.partitionBy(*K, "bean", "site_ord").orderBy("cand_ord"))
+                    .cast("bigint").alias("cand_ord"),
+                    kn("candidate").alias("dst"), F.lit("resolved").alias("status")))
+    return single.unionByName(coll)
+
+
+def trace_requests(requests: DataFrame, eps: Endpoints, b: Beans, *, max_depth: int | None = None,
+                   with_steps: bool = True) -> G.Trace:
+    """traceEndpoint: resolve each request (repo, snapshot, request_id, verb, path), then trace
+    the bean graph from the handler's class. Results are keyed by start node; join
+    ``trace.requests`` to map them back."""
+    res = resolve_requests(requests, eps.endpoints).where(F.col("status") == "resolved")
+    handler = F.split(F.col("route_id"), " ").getItem(2)
+    starts = res.select(F.concat_ws("\u0001", F.col("repo"), F.col("snapshot"),
+                                    F.col("request_id").cast("string")).alias("request_id"),
+                        F.concat_ws("\u0001", "repo", "snapshot", handler).alias("start"))
+    nodes = b.beans.select(F.concat_ws("\u0001", *K, "fqcn").alias("node"), "terminal")
+    return G.reach(starts, bean_graph(b), nodes, max_depth=max_depth, with_steps=with_steps)
+
+
+def dependents_of(requests: DataFrame, b: Beans, *, req_type: str = "type_fqcn") -> DataFrame:
+    """beanDependents for requested FQCNs (repo, snapshot, type_fqcn): via target, else declared
+    type, else candidate."""
+    return C.dependents(requests, b.edges.withColumn("edge_ord", F.col("site_ord")), b.edge_candidates,
+                        req_type=req_type, bean="bean", edge_ord="edge_ord", target="target",
+                        declared="declared_fqcn", candidate="candidate", keys=K)
+
+
+def index_status(f: Facts, eps: Endpoints, b: Beans, files: DataFrame) -> DataFrame:
+    """indexStatus for every (repo, snapshot): endpoint, file, bean and parse-failure counts
+    plus the two reason breakdowns, in long form."""
+    return CV.index_status([
+        ("endpoints", eps.endpoints, None), ("files", files, None), ("beans", b.beans, None),
+        ("unresolved_sites", b.edges.where(F.col("status") == "unresolved"), "reason"),
+        ("unresolved_mappings", eps.unresolved, "reason"),
+        ("parse_failures", f.failures, None)], keys=K)
