@@ -3,6 +3,8 @@
 import random
 from collections import deque
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wirefold.functions import paths as P
@@ -148,18 +150,23 @@ def test_segment_distance_matches_python(spark):
     assert py_dist(["health"], ["api", "user", "42"]) == 3
 
 
-def test_route_suggest_matches_brute_force(spark):
-    rnd = random.Random(5)
+@pytest.mark.parametrize("seed,hot", [(5, False), (6, True), (8, True)])
+def test_route_suggest_matches_brute_force(spark, seed, hot):
+    rnd = random.Random(seed)
     segs = ["api", "users", "orders", "v1", "{id}", "{name}", "items", "x"]
     verbs = ["GET", "POST", "ANY", "PUT"]
     routes = []
     for i in range(60):
-        p = "/" + "/".join(rnd.choice(segs) for _ in range(rnd.randint(0, 4)))
-        routes.append((i, rnd.choice(verbs), p, i))
+        body = [rnd.choice(segs) for _ in range(rnd.randint(0, 4))]
+        if hot and rnd.random() < 0.8:
+            body = ["api"] + body          # one segment carried by most routes
+        routes.append((i, rnd.choice(verbs), "/" + "/".join(body), i))
     reqs = []
     for i in range(40):
-        p = "/" + "/".join(rnd.choice(segs[:4] + ["42", "zz"]) for _ in range(rnd.randint(0, 5)))
-        reqs.append((i, rnd.choice(["GET", "POST", "DELETE"]), p))
+        body = [rnd.choice(segs[:4] + ["42", "zz"]) for _ in range(rnd.randint(0, 5))]
+        if hot and rnd.random() < 0.8:
+            body = ["api"] + body
+        reqs.append((i, rnd.choice(["GET", "POST", "DELETE"]), "/" + "/".join(body)))
     rdf = spark.createDataFrame(routes, "route_id long, http_method string, path_pattern string, scan_ord long")
     qdf = spark.createDataFrame(reqs, "request_id long, verb string, path string")
     got = {}

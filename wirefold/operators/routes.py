@@ -279,44 +279,94 @@ def route_suggest(misses: DataFrame, routes: DataFrame, *, keys: Sequence[str] =
                   req_id: str = "request_id", verb: str = "verb", path: str = "path",
                   route_id: str = "route_id", route_verb: str = "http_method",
                   pattern: str = "path_pattern", tie: str = "scan_ord",
-                  limit: int = P.SUGGESTION_LIMIT) -> DataFrame:
+                  limit: int = P.SUGGESTION_LIMIT, levels: int = 3) -> DataFrame:
     """Closest routes for each miss: score = segment edit distance (a variable segment matches
     anything) + 1000 if the verb does not match; stable by scan order; ``limit`` per miss.
 
-    Exact without pairing every miss with every route: a route sharing no literal segment and
-    no variable with the request scores exactly ``pen + max(n, m)``, so among those only the
-    first few per (verb class, length band) can win and they come from a small table built on
-    the catalogue alone; routes that share a literal segment (equi-join on the segment) or
-    carry a variable (equi-join on the repo and a length band) get their exact distance.
+    Exact, and never a miss x catalogue product:
+
+    1. Iterative deepening on a distance bound t = 0, 1, ...: a route within distance t of a
+       request of n segments matches at least ``max(n, m) - t`` of them, so (pigeonhole) it
+       shares a literal with one of the request's few *rarest* segments (rarity = how many
+       routes of the scope carry the segment; a segment on every route is probed last), or it is
+       nearly all variables (``V >= m - t``, joined on its length). A request with ``limit``
+       routes scoring <= t is final: every route scoring <= t has been seen.
+    2. Requests still open after the last level use the wider plan: routes sharing nothing
+       with the request score exactly ``pen + max(n, m)``, so only the first few per (verb class,
+       length band) can win (a small table built from the catalogue alone); routes sharing a
+       literal or carrying a variable get their exact distance.
     """
     keys = list(keys)
     if not keys:
         misses, routes, keys = misses.withColumn("_scope", F.lit(0)), routes.withColumn("_scope", F.lit(0)), ["_scope"]
     req = prepare_requests(misses, verb=verb, path=path).select(
         *keys, req_id, "req_verb", "req_segs", F.size("req_segs").alias("req_n"))
+    req = cut_lineage(req)
     rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
                         pattern=pattern, tie=tie)
     rt = cut_lineage(rt)
-    max_len = rt.agg(F.max("route_n")).first()[0] or 0
-    buckets = _suggest_buckets(rt, keys, max_len)
-    by_bucket = req.withColumn("L", F.least(F.col("req_n"), F.lit(max_len))).join(
-        buckets, [*keys, "req_verb", "L"], "inner")
-    rcols = ["route_id", "http_method", "path_pattern", "route_tie", "route_n", "route_segs"]
-    # content candidates: a shared literal segment ...
-    rlit = rt.select(*keys, *rcols, F.explode(F.array_distinct(
-        F.filter("route_segs", lambda s: ~P.is_var(s)))).alias("_seg"))
-    qlit = req.select(*keys, req_id, "req_verb", "req_segs", "req_n",
-                      F.explode(F.array_distinct("req_segs")).alias("_seg"))
-    by_seg = qlit.join(rlit, [*keys, "_seg"], "inner").drop("_seg")
-    # ... or a variable segment (matches anything)
-    rvar = rt.where(F.col("n_vars") > 0).select(*keys, *rcols)
-    by_var = req.join(rvar, keys, "inner")
-    cols = [*keys, req_id, "req_verb", "req_segs", *rcols]
-    cand = (by_bucket.select(*cols).unionByName(by_seg.select(*cols)).unionByName(by_var.select(*cols))
-            .dropDuplicates([*keys, req_id, "route_id"]))
-    scored = cand.withColumn(
-        "score", F.when(P.verb_matches("http_method", "req_verb"), F.lit(0))
-        .otherwise(F.lit(P.VERB_MISMATCH_PENALTY)) + P.segment_distance("route_segs", "req_segs"))
+    rcols = ["route_id", "http_method", "path_pattern", "route_tie", "route_n", "route_segs", "n_vars"]
+    rlit = cut_lineage(rt.select(*keys, *rcols, F.explode(F.array_distinct(
+        F.filter("route_segs", lambda x: ~P.is_var(x)))).alias("_seg")))
+    freq = rlit.groupBy(*keys, "_seg").agg(F.count("*").alias("_df"))
+    vmax = rt.agg(F.max("n_vars")).first()[0] or 0
+    # request segments that some route carries, rarest first (a window over one request)
+    qs = (req.select(*keys, req_id, F.posexplode("req_segs").alias("_pos", "_seg"))
+          .join(freq, [*keys, "_seg"], "inner"))
+    wq = W.partitionBy(*keys, req_id)
+    qs = cut_lineage(qs.withColumn("_rank", F.row_number().over(wq.orderBy("_df", "_seg", "_pos")))
+                     .withColumn("_n0", F.count("*").over(wq)))
+    cols = [*keys, req_id, "req_verb", "req_segs", "route_id", "http_method", "path_pattern",
+            "route_tie", "route_segs"]
+
+    def score(df):
+        pen = F.when(P.verb_matches("http_method", "req_verb"), F.lit(0)).otherwise(
+            F.lit(P.VERB_MISMATCH_PENALTY))
+        return df.withColumn("score", pen + P.segment_distance("route_segs", "req_segs"))
+
+    done_parts = []
+    open_req = req
+    for t in range(levels):
+        # (a) a shared literal among the request's rarest positions
+        q = qs.join(open_req.select(*keys, req_id, "req_verb", "req_segs", "req_n"), [*keys, req_id])
+        q = q.where(F.col("_rank") <= t + 1 + vmax)
+        lit_c = q.join(rlit, [*keys, "_seg"], "inner")
+        need = F.greatest("req_n", "route_n") - F.lit(t) - F.col("n_vars")
+        lit_c = lit_c.where((need >= 1) & (F.col("_rank") <= F.col("_n0") - need + 1)
+                            & (F.abs(F.col("req_n") - F.col("route_n")) <= t))
+        # (b) nearly-all-variable routes of a compatible length
+        vr = rt.where(F.col("n_vars") >= F.col("route_n") - t).select(*keys, *rcols)
+        band = open_req.withColumn("route_n", F.explode(F.sequence(
+            F.greatest(F.col("req_n") - t, F.lit(0)), F.col("req_n") + t)))
+        var_c = band.join(vr, [*keys, "route_n"], "inner").where(
+            F.col("n_vars") >= F.greatest("req_n", "route_n") - t)
+        cand = (lit_c.select(*cols).unionByName(var_c.select(*cols))
+                .dropDuplicates([*keys, req_id, "route_id"]))
+        within = cut_lineage(score(cand).where(F.col("score") <= t))
+        finished = (within.groupBy(*keys, req_id).agg(F.count("*").alias("_c"))
+                    .where(F.col("_c") >= limit).select(*keys, req_id))
+        finished = cut_lineage(finished)
+        done_parts.append(within.join(finished, [*keys, req_id], "left_semi"))
+        open_req = cut_lineage(open_req.join(finished, [*keys, req_id], "left_anti"))
+        if open_req.isEmpty():
+            break
+
+    parts = list(done_parts)
+    if not open_req.isEmpty():
+        max_len = rt.agg(F.max("route_n")).first()[0] or 0
+        buckets = _suggest_buckets(rt, keys, max_len)
+        by_bucket = open_req.withColumn("L", F.least(F.col("req_n"), F.lit(max_len))).join(
+            buckets, [*keys, "req_verb", "L"], "inner")
+        qlit = open_req.select(*keys, req_id, "req_verb", "req_segs", "req_n",
+                               F.explode(F.array_distinct("req_segs")).alias("_seg"))
+        by_seg = qlit.join(rlit, [*keys, "_seg"], "inner")
+        by_var = open_req.join(rt.where(F.col("n_vars") > 0).select(*keys, *rcols), keys, "inner")
+        cand = (by_bucket.select(*cols).unionByName(by_seg.select(*cols)).unionByName(by_var.select(*cols))
+                .dropDuplicates([*keys, req_id, "route_id"]))
+        parts.append(score(cand))
+    scored = parts[0]
+    for p_ in parts[1:]:
+        scored = scored.unionByName(p_)
     top = top_k(scored, [*keys, req_id], [F.col("score"), F.col("route_tie")], limit, "rank")
     return top.select(*[k for k in keys if k != "_scope"], req_id, "rank", "route_id",
                       "http_method", "path_pattern", "score")
