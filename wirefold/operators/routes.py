@@ -279,7 +279,7 @@ def route_suggest(misses: DataFrame, routes: DataFrame, *, keys: Sequence[str] =
                   req_id: str = "request_id", verb: str = "verb", path: str = "path",
                   route_id: str = "route_id", route_verb: str = "http_method",
                   pattern: str = "path_pattern", tie: str = "scan_ord",
-                  limit: int = P.SUGGESTION_LIMIT, levels: int = 3) -> DataFrame:
+                  limit: int = P.SUGGESTION_LIMIT, levels: int = 2) -> DataFrame:
     """Closest routes for each miss: score = segment edit distance (a variable segment matches
     anything) + 1000 if the verb does not match; stable by scan order; ``limit`` per miss.
 
@@ -304,7 +304,10 @@ def route_suggest(misses: DataFrame, routes: DataFrame, *, keys: Sequence[str] =
     req = cut_lineage(req)
     rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
                         pattern=pattern, tie=tie)
-    rt = cut_lineage(rt)
+    # routes with the same verb and segments score alike for every request: only the first
+    # ``limit`` of them in scan order can ever be suggested
+    rt = cut_lineage(top_k(rt, [*keys, "http_method", "route_segs"], [F.col("route_tie")], limit,
+                           "_dup").drop("_dup"))
     rcols = ["route_id", "http_method", "path_pattern", "route_tie", "route_n", "route_segs", "n_vars"]
     rlit = cut_lineage(rt.select(*keys, *rcols, F.explode(F.array_distinct(
         F.filter("route_segs", lambda x: ~P.is_var(x)))).alias("_seg")))
@@ -334,12 +337,14 @@ def route_suggest(misses: DataFrame, routes: DataFrame, *, keys: Sequence[str] =
         need = F.greatest("req_n", "route_n") - F.lit(t) - F.col("n_vars")
         lit_c = lit_c.where((need >= 1) & (F.col("_rank") <= F.col("_n0") - need + 1)
                             & (F.abs(F.col("req_n") - F.col("route_n")) <= t))
-        # (b) nearly-all-variable routes of a compatible length
+        # (b) nearly-all-variable routes: probe each admissible (length m, variable count V)
+        #     exactly, m within t of n and max(n, m) - t <= V <= m: at most (2t+1)(t+1) probes
         vr = rt.where(F.col("n_vars") >= F.col("route_n") - t).select(*keys, *rcols)
-        band = open_req.withColumn("route_n", F.explode(F.sequence(
-            F.greatest(F.col("req_n") - t, F.lit(0)), F.col("req_n") + t)))
-        var_c = band.join(vr, [*keys, "route_n"], "inner").where(
-            F.col("n_vars") >= F.greatest("req_n", "route_n") - t)
+        band = (open_req.withColumn("route_n", F.explode(F.sequence(
+                    F.greatest(F.col("req_n") - t, F.lit(0)), F.col("req_n") + t)))
+                .withColumn("n_vars", F.explode(F.sequence(
+                    F.greatest(F.greatest("req_n", "route_n") - t, F.lit(0)), F.col("route_n")))))
+        var_c = band.join(vr, [*keys, "route_n", "n_vars"], "inner")
         cand = (lit_c.select(*cols).unionByName(var_c.select(*cols))
                 .dropDuplicates([*keys, req_id, "route_id"]))
         within = cut_lineage(score(cand).where(F.col("score") <= t))
