@@ -149,3 +149,35 @@ def test_partition_independence(spark):
         res[parts] = {k: sorted(map(repr, E.queries()[k](spark, SF_SMALL).collect())) for k in keys}
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res["1"] == res["8"]
+
+
+def test_asof_join_carries_across_buckets(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    left, right = [], []
+    for i in range(200):
+        left.append((i, rnd.randrange(4), base + dt.timedelta(seconds=rnd.randrange(60))))
+    for j in range(60):
+        right.append((1000 + j, rnd.randrange(4), base + dt.timedelta(seconds=rnd.randrange(60))))
+    right.append((5000, 0, left[0][2]))  # a right row at exactly a left row's instant counts
+    ldf = spark.createDataFrame(left, "id long, k long, ts timestamp")
+    rdf = spark.createDataFrame(right, "rid long, k long, ts timestamp")
+    for bucket in (1, 7, 3600):
+        out = S.asof_join(ldf, rdf, key=["k"], left_ts="ts", right_ts="ts", left_id="id",
+                          right_cols=["rid"], right_order="rid", bucket_seconds=bucket)
+        got = {r.id: r.rid for r in out.collect()}
+        for i, k, ts in left:
+            cands = [(rts, rid) for rid, rk, rts in right if rk == k and rts <= ts]
+            want = max(cands)[1] if cands else None
+            assert got[i] == want, (bucket, i)
+
+
+def test_reason_rollup(spark):
+    edges = spark.createDataFrame([("a", "unresolved", "x"), ("a", "unresolved", "y"),
+                                   ("b", "unresolved", "x"), ("b", "resolved", None)],
+                                  "repo string, status string, reason string")
+    got = {(r.repo, r.reason): r.n for r in C.unresolved_by_reason(edges, keys=["repo"], rollup=True).collect()}
+    assert got[("a", "x")] == 1 and got[("a", None)] == 2 and got[(None, None)] == 3
