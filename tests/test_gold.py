@@ -162,3 +162,17 @@ def test_trace_dependents_and_status(spark, sources, prod):
     assert st[("endpoints", None)] == 10 and st[("parse_failures", None)] == 1
     assert st[("unresolved_mappings", "constant-reference")] == 1
     assert st[("unresolved_sites", "no-implementation-found")] == 2
+
+
+def test_two_repos_with_the_same_fqcn_never_mix(spark):
+    r1 = read_sources(list_sources(spark, ROOT, repo="r1", snapshot="s"))
+    r2 = read_sources(list_sources(spark, ROOT, repo="r2", snapshot="s")).where(
+        ~F.col("path").contains("HealthController"))
+    facts = extract_facts(r1.unionByName(r2).where(F.col("source_set") == "production"))
+    f = gold.split_facts(facts)
+    e = gold.endpoints(f)
+    reqs = spark.createDataFrame([("r1", "s", 1, "GET", "/health"), ("r2", "s", 2, "GET", "/health"),
+                                  ("r2", "s", 3, "GET", "/api/orders/7")],
+                                 "repo string, snapshot string, request_id int, verb string, path string")
+    got = {r.request_id: r.status for r in gold.resolve_requests(reqs, e.endpoints).collect()}
+    assert got == {1: "resolved", 2: "miss", 3: "resolved"}
