@@ -23,6 +23,7 @@ from wirefold.session import cut_lineage
 from wirefold.sources.java_facts import fact_table
 
 K = ["repo", "snapshot"]
+ROUTE_SEP = "\u0002"  # joins the parts of a handler id; cannot occur in source text
 
 
 class Facts(NamedTuple):
@@ -259,7 +260,7 @@ def _inherit(ctrls: DataFrame, impl: DataFrame, im: DataFrame, methods: DataFram
 
 def resolve_requests(requests: DataFrame, eps: DataFrame, *, req_id: str = "request_id") -> DataFrame:
     """route_resolve over gold endpoints, scoped by (repo, snapshot); ``scan_ord`` breaks ties."""
-    routes = eps.withColumn("route_id", F.concat_ws(" ", "http_method", "path_pattern", "fqcn", "method_name"))
+    routes = eps.withColumn("route_id", F.concat_ws(ROUTE_SEP, "http_method", "path_pattern", "fqcn", "method_name"))
     return R.route_resolve(requests, routes, keys=K, req_id=req_id, tie="scan_ord")
 
 
@@ -651,7 +652,7 @@ def trace_requests(requests: DataFrame, eps: Endpoints, b: Beans, *, max_depth:
     the bean graph from the handler's class. Results are keyed by start node; join
     ``trace.requests`` to map them back."""
     res = resolve_requests(requests, eps.endpoints).where(F.col("status") == "resolved")
-    handler = F.split(F.col("route_id"), " ").getItem(2)
+    handler = F.split(F.col("route_id"), ROUTE_SEP).getItem(2)
     starts = res.select(F.concat_ws("\u0001", F.col("repo"), F.col("snapshot"),
                                     F.col("request_id").cast("string")).alias("request_id"),
                         F.concat_ws("\u0001", "repo", "snapshot", handler).alias("start"))
