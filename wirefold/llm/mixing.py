@@ -12,7 +12,7 @@ from wirefold.llm.common import WORD, query, store, table
 N_BLOCKS, N_SHARDS, REPEATS = 65_536, 64, 3
 SEED = "mix-1"
 #: Rows that one window task over a part of a source holds on average.
-ROWS_PER_PART = 4_096
+ROWS_PER_PART = 1_024
 
 
 def n_words(text):
