@@ -1,4 +1,4 @@
 """The registered corpus queries; importing the operator modules registers them."""
 
-from wirefold.llm import decontaminate, line_rules, mixing, url_rules  # noqa: F401
+from wirefold.llm import decontaminate, line_rules, mixing, pii, url_rules, warc  # noqa: F401
 from wirefold.llm.common import ORACLE, QUERIES  # noqa: F401
