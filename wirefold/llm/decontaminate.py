@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.llm.common import query, store, table
-from wirefold.llm.words import shingles, word_hashes
+from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of a window (an item of fewer is one window) and of the shingles that it is a set of.
 WINDOW, SHINGLE = 10, 5
@@ -43,32 +43,20 @@ def _windows(batches):
         yield pd.DataFrame(rows, columns=["item_id", "window", "size", "k", "o", "shingle"])
 
 
-def _filter(shingle_rows: DataFrame) -> np.ndarray:
-    """The bitmap of the shingles, OR-ed on the executors; at most 2^FILTER_BITS bits come back."""
-    slot = F.expr(f"shingle & {(1 << FILTER_BITS) - 1}")
-    words = (shingle_rows.select(slot.alias("slot")).groupBy(F.expr("slot >> 5").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def _candidates(bitmap, sizes):
+def _candidates(known, sizes):
     """Per text: number of words, and the positions whose shingle may be an item's, each with the
     hashes of the words around it (what any window over the shingle can hold)."""
     margin = WINDOW - 1
 
     @F.pandas_udf("n_words long, found array<struct<k:int,pos:long,shingle:long,around:binary>>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        bits, mask = bitmap.value, np.uint64((1 << FILTER_BITS) - 1)
         out = []
         for text in texts:
             h = word_hashes(item_words(text))
             hits = []
             for k in sizes:
                 s = shingles(h, k)
-                slot = s & mask
-                for p in np.flatnonzero(bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1)):
+                for p in np.flatnonzero(in_bitmap(known.value, s)):
                     p = int(p)
                     before = max(0, p - margin)
                     around = bytes(8 * (margin - (p - before))) + h[before:p + margin + 1].tobytes()
@@ -101,9 +89,9 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts = store(items.select("item_id", "text").mapInPandas(
         _windows, f"item_id {items.schema['item_id'].dataType.simpleString()}, window binary, size int, k int, o int, shingle long"))
     sizes = [r.k for r in parts.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE values
-    bitmap = spark.sparkContext.broadcast(_filter(parts))
+    known = spark.sparkContext.broadcast(bitmap(parts, "shingle", FILTER_BITS))
     seen = store(docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                             _candidates(bitmap, sizes)("text").alias("c"))
+                             _candidates(known, sizes)("text").alias("c"))
                  .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "c.*"))
     found = seen.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     times = found.groupBy("k", "shingle").agg(F.count("*").alias("times"))

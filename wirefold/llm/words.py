@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -42,3 +44,25 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     out *= _MIX
     out ^= out >> np.uint64(29)
     return out
+
+
+def low_words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, with A-Z lower-cased."""
+    return (text or "").encode().lower().split()
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for each value of a long column, at its low ``bits`` bits. The bits are OR-ed on the
+    executors; at most 2^bits of them (2^(bits - 5) rows) reach the driver, whatever the input."""
+    slot = F.expr(f"{column} & {(1 << bits) - 1}")
+    rows = (df.select(slot.alias("slot")).groupBy(F.expr("slot >> 5").alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit values may have been put into the bitmap."""
+    slot = values & np.uint64(len(bits) * 32 - 1)
+    return (bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
