@@ -15,10 +15,10 @@ from wirefold.llm.common import query, store, table
 
 #: Ids of a block, lanes that a block's ids are dealt to in turn, bits that a shard's frequencies
 #: add up to, blocks coded side by side, bytes of text per shard.
-BLOCK, LANES, BITS, GROUP, SHARD_BYTES = 65_536, 32, 18, 64, 32_000_000
+BLOCK, LANES, BITS, GROUP, SHARD_BYTES = 65_536, 32, 18, 32, 16_000_000
 END_ID = 0
-#: Entries of a worker's word table; it starts afresh beyond that.
-TABLE = 1_000_000
+#: Entries of a worker's word table, which starts afresh beyond that; characters split at a time.
+TABLE, SPLIT = 500_000, 1_000_000
 _LOW = np.uint64(1 << 31)
 _U32 = np.uint64(32)
 
@@ -55,12 +55,21 @@ class WordTokens:
         for w, (a, b) in zip(new, pairwise(cuts), strict=True):
             known[w] = raw[4 * a + 4:4 * b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]):
         """Little-endian unsigned 32-bit ids of each text."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= SPLIT:
+                yield from self._encode(part)
+                part, size = [], 0
+        yield from self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.other) > TABLE:
             self.first, self.other = {}, {}
-        plain = [t.split() if len(self.line_end) == 4 else [""] for t in texts]
-        regular = [bool(w) and w == t.replace("\n", " ").split(" ") for w, t in zip(plain, texts)]
+        regular = [len(self.line_end) == 4 and bool(t) and t.split() == t.replace("\n", " ").split(" ") for t in texts]
         firsts, others, lines = set(), set(), []
         for ok, text in zip(regular, texts):
             split = [line.split(" ") for line in text.split("\n")] if ok else None
@@ -155,9 +164,13 @@ def encode_ids(ids: np.ndarray, bits: int = BITS) -> dict:
     """One shard of ids: the shared table, and blocks that can each be decoded alone. A block holds
     its number of ids, the lanes' first states (its checkpoint), the word stream that all lanes
     read from, and the CRC-32 of its ids as little-endian unsigned 32-bit integers."""
-    symbols, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
     if not len(ids):
         return {"symbols": b"", "freqs": b"", "blocks": []}
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    rank = np.zeros(len(counts), np.int32)
+    rank[symbols] = np.arange(len(symbols))
+    counts, where = counts[symbols], rank[ids]
     freq = frequencies(counts, bits)
     start = np.cumsum(freq) - freq
     pad = int(np.argmax(freq))
@@ -226,7 +239,7 @@ def _encoder(path, end_id):
                 sizes.append(len(ids) // 4 + 1)
         if sizes:
             row = {"shard": shard, "doc_ids": doc_ids, "doc_tokens": sizes,
-                   **encode_ids(np.frombuffer(bytes(raw), "<u4"))}
+                   **encode_ids(np.frombuffer(raw, "<u4"))}
             yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
     return encode
