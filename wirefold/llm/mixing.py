@@ -72,8 +72,9 @@ def shard_quotas(targets: DataFrame, n_blocks: int = N_BLOCKS, n_shards: int = N
     return seats(targets, n_blocks, n_shards).groupBy("shard", "rnk").agg(F.count("*").alias("blocks"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """``docs(doc_id, source, size)`` -> the same rows with ``source_size, target, taken``.
+def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, source, size)`` -> the same rows with ``source_size, target, taken``, and
+    the columns in ``keep``.
 
     A source's documents, put in the order of ``md5(seed:doc_id)``, form a stream of words that is
     cut into blocks of ``total / n_blocks`` words; the source takes as many blocks as it has seats,
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS) -> DataFram
                              F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
                                    .cast("binary")).alias("place"),
                              F.col("source").isNull().alias("s_null"),
-                             F.coalesce("source", F.lit("")).alias("s_name")))
+                             F.coalesce("source", F.lit("")).alias("s_name"), *keep))
     rows, digits = docs.count(), 1
     while 16 ** digits * ROWS_PER_PART < rows:
         digits += 1
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS) -> DataFram
     parts = docs.groupBy(*key, "part").agg(F.sum("size").alias("part_size"))
     before = W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("part_start", F.coalesce(F.sum("part_size").over(before), F.lit(0))).drop("part_size")
-    within = (W.partitionBy(*key, "part").orderBy("place", "doc_id", "size")
+    within = (W.partitionBy(*key, "part").orderBy("place", "doc_id", "size", *keep)
               .rowsBetween(W.unboundedPreceding, -1))
     placed = (docs.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
               .join(parts, [*key, "part"]).join(plan, key)
@@ -112,38 +113,37 @@ def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS) -> DataFram
     rest = w - whole * n
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     return placed.select("doc_id", "source", "size", "source_size", "target",
-                         (F.col("size") * whole + part).cast("long").alias("taken"))
+                         (F.col("size") * whole + part).cast("long").alias("taken"), *keep)
 
 
-def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mix_documents(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """``mix`` over whole documents: ``size`` is the number of words of ``text`` (null: 0)."""
-    return mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), seed)
+    return mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *keep), seed, keep=keep)
 
 
 def take_words(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document row as often as the mix takes it whole, and once more with its
     first words where a block border falls inside it; rows of which nothing is taken go. Columns
     of ``docs`` stay (``n_chars``, if there, follows the text)."""
-    # rows with the same id and size are interchangeable in the mix; number them to pair them up
-    same = W.partitionBy("doc_id", "source", "size").orderBy("taken")
-    mixed = mix_documents(docs).withColumn("copy", F.row_number().over(same))
-    rows = docs.withColumn("size", n_words(F.col("text")))
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("text")))
-    on = (rows.doc_id.eqNullSafe(mixed.doc_id) & rows.source.eqNullSafe(mixed.source)
-          & (rows["size"] == mixed["size"]) & (rows["copy"] == mixed["copy"]))
-    taken = rows.join(mixed.select("doc_id", "source", "size", "copy", "taken")
-                      .toDF("m_doc", "m_source", "m_size", "m_copy", "taken"),
-                      F.col("doc_id").eqNullSafe(F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source"))
-                      & (F.col("size") == F.col("m_size")) & (F.col("copy") == F.col("m_copy"))).where("taken > 0")
-    times = F.expr("sequence(1L, (taken + size - 1) div size)")
-    cut = F.expr("least(size, taken - (_time - 1) * size)")
-    taken = taken.withColumn("_time", F.explode(times)).withColumn("_words", cut)
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(
-        F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}'), 0)"))
-    taken = taken.withColumn("text", text)
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    taken = (mix_documents(hashed, seed, ("_hash",)).groupBy("doc_id", "source", "_hash")
+             .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
+             .where("_taken > 0").toDF("_doc", "_source", "_text_hash", "_taken", "_size", "_rows"))
+    rows = hashed.join(store(taken), F.col("doc_id").eqNullSafe(F.col("_doc"))
+                       & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text_hash")))
+    # equal rows share one sum
+    rows = rows.where("_rows = 1").unionByName(
+        rows.where("_rows > 1").dropDuplicates(["_doc", "_source", "_text_hash"]))
+    rows = (rows.withColumn("_time", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
+            .withColumn("_words", F.expr("least(_size, _taken - (_time - 1) * _size)")))
+    # each piece is a word with the white space before it
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(
+        F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), ""))
+    rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return taken.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 _SQL = r"""
