@@ -1,4 +1,4 @@
 """The registered corpus queries; importing the operator modules registers them."""
 
-from wirefold.llm import context_mixing, decontaminate, line_rules, mixing, ngram_join, pii, rans, url_rules, warc  # noqa: F401
+from wirefold.llm import context_mixing, decontaminate, line_dedup, line_rules, mixing, ngram_join, pii, rans, url_rules, warc  # noqa: F401
 from wirefold.llm.common import ORACLE, QUERIES  # noqa: F401
