@@ -150,8 +150,8 @@ def test_segment_distance_matches_python(spark):
     assert py_dist(["health"], ["api", "user", "42"]) == 3
 
 
-@pytest.mark.parametrize("seed,hot", [(5, False), (6, True), (8, True)])
-def test_route_suggest_matches_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,limit,common_df", [(5, False, 5, 64), (6, True, 10, 64), (8, True, 5, 8), (9, True, 10, 1)])
+def test_route_suggest_matches_brute_force(spark, seed, hot, limit, common_df):
     rnd = random.Random(seed)
     segs = ["api", "users", "orders", "v1", "{id}", "{name}", "items", "x"]
     verbs = ["GET", "POST", "ANY", "PUT"]
@@ -166,11 +166,11 @@ def test_route_suggest_matches_brute_force(spark, seed, hot):
         body = [rnd.choice(segs[:4] + ["42", "zz"]) for _ in range(rnd.randint(0, 5))]
         if hot and rnd.random() < 0.8:
             body = ["api"] + body
-        reqs.append((i, rnd.choice(["GET", "POST", "DELETE"]), "/" + "/".join(body)))
+        reqs.append((i, rnd.choice(["GET", "POST", "DELETE", "PURGE"]), "/" + "/".join(body)))
     rdf = spark.createDataFrame(routes, "route_id long, http_method string, path_pattern string, scan_ord long")
     qdf = spark.createDataFrame(reqs, "request_id long, verb string, path string")
     got = {}
-    for r in R.route_suggest(qdf, rdf).collect():
+    for r in R.route_suggest(qdf, rdf, limit=limit, common_df=common_df).collect():
         got.setdefault(r.request_id, []).append((r.rank, r.route_id, r.score))
     for rid, v, p in reqs:
         q = [s for s in p.split("/") if s]
@@ -179,7 +179,7 @@ def test_route_suggest_matches_brute_force(spark, seed, hot):
             pen = 0 if rv in ("ANY", v) else 1000
             scored.append((pen + py_dist([s for s in rp.split("/") if s], q), so, i))
         scored.sort()
-        want = [(k + 1, i, sc) for k, (sc, _, i) in enumerate(scored[:5])]
+        want = [(k + 1, i, sc) for k, (sc, _, i) in enumerate(scored[:limit])]
         assert sorted(got[rid]) == want, rid
 
 

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
-
 # Fixed values of the bean rules.
 STEREOTYPES = ["RestController", "Controller", "Service", "Repository", "Configuration", "Component"]
 REPOSITORY_BASES = ["Repository", "CrudRepository", "ListCrudRepository",
@@ -89,15 +87,14 @@ def implementations(beans: DataFrame, supertypes: DataFrame, *, bean: str, bean_
 
 def resolve_direct(sites: DataFrame, types: DataFrame, beans: DataFrame, *, site_type: str,
                    type_fqcn: str, is_interface: str, bean_fqcn: str, terminal: str,
-                   keys: Sequence[str] = (),
-                   broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   keys: Sequence[str] = ()) -> DataFrame:
     """Before the interface ladder: a scanned concrete bean -> ``concrete``; a terminal interface
     -> ``terminal``; a scanned non-bean class or an unscanned type -> ``not-a-scanned-bean``;
     a non-terminal interface goes on to the interface ladder (``decision = 'interface'``)."""
     t = types.select(*keys, F.col(type_fqcn).alias("__t"), F.col(is_interface).alias("__iface"))
     b = beans.select(*keys, F.col(bean_fqcn).alias("__t"), F.col(terminal).alias("__terminal"),
                      F.lit(True).alias("__bean"))
-    tb = broadcast_if_small(t.join(b, [*keys, "__t"], "left"), broadcast_rows)
+    tb = t.join(b, [*keys, "__t"], "left")
     j = sites.join(tb, [sites[k] == tb[k] for k in keys] + [sites[site_type] == tb["__t"]], "left")
     decision = (F.when(F.col("__t").isNull(), F.lit("unscanned"))
                 .when(~F.col("__iface") & F.col("__bean").isNotNull(), F.lit(KIND_CONCRETE))
@@ -127,8 +124,7 @@ def contract_stats(candidates: DataFrame, *, contract: str, cand_id: str, cand_o
 
 def resolve_candidate(sites: DataFrame, candidates: DataFrame, *, contract: str, qualifier: str,
                       cand_contract: str, cand_id: str, cand_name: str, cand_order: str,
-                      primary, conditional, keys: Sequence[str] = (),
-                      broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                      primary, conditional, keys: Sequence[str] = ()) -> DataFrame:
     """The interface ladder, in order: no candidate -> ``no-implementation-found``; a qualifier
     naming a candidate -> ``qualifier`` (first in bean order), naming none ->
     ``multiple-candidates``; any conditional candidate -> ``conditional-candidates``; exactly one
@@ -141,8 +137,6 @@ def resolve_candidate(sites: DataFrame, candidates: DataFrame, *, contract: str,
     named = (candidates.groupBy(*keys, F.col(cand_contract).alias("_contract"),
                                 F.col(cand_name).alias("_qual"))
              .agg(F.min_by(F.col(cand_id), F.col(cand_order)).alias("named_candidate")))
-    stats = broadcast_if_small(stats, broadcast_rows)
-    named = broadcast_if_small(named, broadcast_rows)
     s = sites.withColumn("_contract", F.col(contract)).withColumn("_qual", F.col(qualifier))
     j = (s.join(stats, [*keys, "_contract"], "left")
          .join(named, [*keys, "_contract", "_qual"], "left"))

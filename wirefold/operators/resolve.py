@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 LOOKUP_FOUND = "found"
 LOOKUP_AMBIGUOUS = "ambiguous"
@@ -46,45 +45,38 @@ def _all_not_null(cols: Sequence[str]) -> Column:
 
 
 def resolve_ladder(refs: DataFrame, targets: DataFrame, rungs: Sequence[Rung], *,
-                   ref_id: Sequence[str], target_cols: Sequence[str], target_order: Sequence[str],
-                   broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   ref_id: Sequence[str], target_cols: Sequence[str], target_order: Sequence[str]) -> DataFrame:
     """For each ref, the first rung that hits or that is final and applies.
 
     Returns refs with ``rung`` (name of the deciding rung or null), ``status``
     (``resolved`` / ``final-miss`` / ``no-match``) and ``target_cols`` of the chosen target
-    (lowest ``target_order`` within the rung's key).
+    (lowest ``target_order`` within the rung's key). Each rung's targets are one row per key, so
+    the refs pass once through a chain of many-to-one left joins; nothing regroups them.
     """
-    ref_id = list(ref_id)
     best_struct = F.struct(*[F.col(c) for c in target_cols])
     order_struct = F.struct(*[F.col(c) for c in target_order])
-    decided = []
+    out, name, chosen = refs, F.lit(None).cast("string"), None
+    decisions = []
     for i, rung in enumerate(rungs):
-        tkeys = [k.alias(f"_k{j}") for j, k in enumerate(rung.target_keys)]
-        best = (targets.select(*tkeys, best_struct.alias("_t"), order_struct.alias("_o"))
-                .where(_all_not_null([f"_k{j}" for j in range(len(tkeys))]))
-                .groupBy(*[f"_k{j}" for j in range(len(tkeys))])
-                .agg(F.min_by("_t", "_o").alias("_t")))
-        best = broadcast_if_small(best, broadcast_rows)
+        tkeys = [f"_k{i}_{j}" for j in range(len(rung.target_keys))]
+        best = (targets.select(*[k.alias(n) for k, n in zip(rung.target_keys, tkeys)],
+                               best_struct.alias("_t"), order_struct.alias("_o"))
+                .where(_all_not_null(tkeys)).groupBy(*tkeys).agg(F.min_by("_t", "_o").alias(f"_t{i}")))
         applies = rung.applies if rung.applies is not None else F.lit(True)
-        r = refs.select(*ref_id, *[k.alias(f"_k{j}") for j, k in enumerate(rung.ref_keys)],
-                        applies.alias("_applies")).where("_applies")
-        hit = r.join(best, [f"_k{j}" for j in range(len(tkeys))], "left")
-        hit = hit.where(F.col("_t").isNotNull() | F.lit(rung.final))
-        decided.append(hit.select(*ref_id, F.lit(i).alias("_rung"), F.lit(rung.name).alias("rung"),
-                                  "_t"))
-    allr = decided[0]
-    for d in decided[1:]:
-        allr = allr.unionByName(d)
-    first = (allr.groupBy(*ref_id)
-             .agg(F.min_by(F.struct("rung", "_t"), F.col("_rung")).alias("_d")))
-    out = refs.join(first, ref_id, "left")
-    status = (F.when(F.col("_d._t").isNotNull(), F.lit("resolved"))
-              .when(F.col("_d.rung").isNotNull(), F.lit("final-miss"))
+        out = out.withColumns({f"_a{i}": F.coalesce(applies, F.lit(False)),
+                               **{n: F.when(applies, k) for n, k in zip(tkeys, rung.ref_keys)}})
+        out = out.join(best, tkeys, "left").drop(*tkeys)
+        hit = F.col(f"_a{i}") & (F.col(f"_t{i}").isNotNull() | F.lit(rung.final))
+        decisions.append((hit, F.lit(rung.name), F.col(f"_t{i}")))
+    for hit, label, target in reversed(decisions):
+        name = F.when(hit, label).otherwise(name)
+        chosen = F.when(hit, target) if chosen is None else F.when(hit, target).otherwise(chosen)
+    out = out.withColumns({"_rung": name, "_t": chosen})
+    status = (F.when(F.col("_t").isNotNull(), F.lit("resolved"))
+              .when(F.col("_rung").isNotNull(), F.lit("final-miss"))
               .otherwise(F.lit("no-match")))
-    return out.select(*refs.columns,
-                      F.when(F.col("_d._t").isNotNull(), F.col("_d.rung")).alias("rung"),
-                      status.alias("status"),
-                      *[F.col("_d._t")[c].alias(c) for c in target_cols])
+    return out.select(*refs.columns, F.when(F.col("_t").isNotNull(), F.col("_rung")).alias("rung"),
+                      status.alias("status"), *[F.col("_t")[c].alias(c) for c in target_cols])
 
 
 def lookup_outcome(requests: DataFrame, entities: DataFrame, *, req_id: str, name: str,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wirefold.functions import paths as P
-from wirefold.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, top_k
+from wirefold.plans.sizing import top_k
 from wirefold.session import cut_lineage
 
 ROUTE_COLS = ("route_id", "http_method", "path_pattern", "n_vars")
@@ -47,12 +47,10 @@ def prepare_routes(routes: DataFrame, *, keys: Sequence[str] = (), route_id: str
              P.var_count("route_segs").alias("n_vars"))
 
 
-def _matches(req: DataFrame, rt: DataFrame, keys: Sequence[str], req_id: str,
-             broadcast_rows: int | None) -> DataFrame:
+def _matches(req: DataFrame, rt: DataFrame, keys: Sequence[str], req_id: str) -> DataFrame:
     probe = req.select(*keys, req_id, "req_verb", "req_segs",
                        F.size("req_segs").alias("route_n"),
                        F.explode(P.probes("req_segs")).alias("route_anchor"))
-    rt = broadcast_if_small(rt, broadcast_rows)
     joined = probe.join(rt, [*keys, "route_n", "route_anchor"], "inner")
     return joined.filter(P.verb_matches("http_method", "req_verb")
                          & P.pattern_matches("route_segs", "req_segs"))
@@ -61,53 +59,42 @@ def _matches(req: DataFrame, rt: DataFrame, keys: Sequence[str], req_id: str,
 def route_match(requests: DataFrame, routes: DataFrame, *, keys: Sequence[str] = (),
                 req_id: str = "request_id", verb: str = "verb", path: str = "path",
                 route_id: str = "route_id", route_verb: str = "http_method",
-                pattern: str = "path_pattern", tie: str = "scan_ord",
-                broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                pattern: str = "path_pattern", tie: str = "scan_ord") -> DataFrame:
     """All (request, route) pairs where the verb is equal or ANY, the segment counts are equal and
     every pattern segment is a variable or equal to the request segment."""
     req = prepare_requests(requests, verb=verb, path=path)
     rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
                         pattern=pattern, tie=tie)
-    m = _matches(req, rt, keys, req_id, broadcast_rows)
+    m = _matches(req, rt, keys, req_id)
     return m.select(*keys, req_id, "route_id", "http_method", "path_pattern", "n_vars", "route_tie")
 
 
 def route_resolve(requests: DataFrame, routes: DataFrame, *, keys: Sequence[str] = (),
                   req_id: str = "request_id", verb: str = "verb", path: str = "path",
                   route_id: str = "route_id", route_verb: str = "http_method",
-                  pattern: str = "path_pattern", tie: str = "scan_ord",
-                  broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  pattern: str = "path_pattern", tie: str = "scan_ord") -> DataFrame:
     """One row per request: the matching route with the fewest variable segments, ties to the
     lowest ``tie`` (scan order). ``status`` is ``resolved`` or ``miss``; misses keep null route
     columns so that rows in = resolved + miss.
 
-    Plan: requests explode into probes, probe the (broadcast) route table, and fold back per
-    request with ``min_by``; the probes of one request sit in one partition, so the partial
-    aggregate collapses them before the only shuffle.
+    Plan: requests explode into probes, probe the route table (AQE picks the join by its real
+    size), and fold back per request with one minimum over (variables, tie, route); the probes of
+    one request sit in one partition, so the partial aggregate collapses them before the shuffle.
+    No window over the catalogue, so its size and the absence of ``keys`` do not matter.
     """
     keys = list(keys)
     req = prepare_requests(requests, verb=verb, path=path)
     rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
                         pattern=pattern, tie=tie)
-    # one rank per route within its scope, in specificity order (fewest variables, then scan
-    # order): the fold below is then a min over a long, which stays a hash aggregate. The window
-    # holds one repository snapshot's routes.
-    scope = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    rt = rt.withColumn("route_rank", F.row_number().over(scope.orderBy("n_vars", "route_tie")))
-    rt = broadcast_if_small(cut_lineage(rt), broadcast_rows)
     carried = [c for c in req.columns if c not in (*keys, req_id, "req_segs")]
-    probe = req.select(*keys, req_id, *carried, "req_verb", "req_segs",
+    probe = req.select(*keys, req_id, *carried, "req_segs",
                        F.size("req_segs").alias("route_n"),
                        F.explode(P.probes("req_segs")).alias("route_anchor"))
-    joined = probe.join(rt.select(*keys, "route_n", "route_anchor", "route_rank",
-                                  F.col("http_method").alias("_rv"), "route_segs"),
-                        [*keys, "route_n", "route_anchor"], "left")
-    ok = P.verb_matches("_rv", "req_verb") & P.pattern_matches("route_segs", "req_segs")
-    # the probes of one request sit in one partition: the partial aggregate collapses them
-    folded = (joined.groupBy(*keys, req_id, *carried)
-              .agg(F.min(F.when(ok, F.col("route_rank"))).alias("route_rank")))
-    win = rt.select(*keys, "route_rank", *ROUTE_COLS)
-    out = folded.join(win, [*keys, "route_rank"], "left").drop("route_rank")
+    joined = probe.join(rt, [*keys, "route_n", "route_anchor"], "left")
+    ok = P.verb_matches("http_method", "req_verb") & P.pattern_matches("route_segs", "req_segs")
+    best = F.min(F.when(ok, F.struct("n_vars", "route_tie", "route_id", "http_method", "path_pattern")))
+    out = joined.groupBy(*keys, req_id, *carried).agg(best.alias("_w"))
+    out = out.select(*keys, req_id, *carried, *[F.col("_w")[c].alias(c) for c in ROUTE_COLS])
     return out.withColumn("status", F.when(F.col("route_id").isNull(), F.lit("miss"))
                           .otherwise(F.lit("resolved")))
 
@@ -255,126 +242,82 @@ def route_inherit(controllers: DataFrame, implements: DataFrame, iface_mappings:
 
 # --- suggestions for misses --------------------------------------------------------------------
 
-def _suggest_buckets(rt: DataFrame, keys: Sequence[str], max_len: int) -> DataFrame:
-    """For each request verb ``v`` and length bound ``L``: the first routes in scan order with
-    length <= L (their score is ``pen + n`` for a request of length n = L when they share
-    nothing with it) and the first routes by (length, scan order) with length > L (score
-    ``pen + m``), per penalty class. Built from the route catalogue only: no request pairs."""
-    base = rt.select(*keys, "route_id", "http_method", "path_pattern", "route_tie", "route_n",
-                     "route_segs", "n_vars")
-    # catalogue x 8 request verbs x length bounds: a fixed fan-out of the route table only
-    x = (base.withColumn("req_verb", F.explode(F.array(*[F.lit(v) for v in REQUEST_METHOD_NAMES])))
-         .withColumn("L", F.explode(F.sequence(F.lit(0), F.lit(max_len))))
-         .withColumn("pen", F.when(P.verb_matches("http_method", "req_verb"), F.lit(0))
-                     .otherwise(F.lit(P.VERB_MISMATCH_PENALTY))))
-    short = x.where(F.col("route_n") <= F.col("L"))
-    long_ = x.where(F.col("route_n") > F.col("L"))
-    k = P.SUGGESTION_LIMIT
-    a = top_k(short, [*keys, "req_verb", "L", "pen"], [F.col("route_tie")], k, "_r")
-    b = top_k(long_, [*keys, "req_verb", "L", "pen"], [F.col("route_n"), F.col("route_tie")], k, "_r")
-    return a.unionByName(b).drop("_r")
+# Stand for a segment that few routes carry, in patterns and in requests; never equal.
+_RARE_ROUTE, _RARE_REQUEST = "\x00route", "\x00request"
+
+
+def _common_only(df: DataFrame, segs: str, common: DataFrame, ids: Sequence[str], keys: Sequence[str],
+                 rare: str, keep) -> DataFrame:
+    """``df`` with ``view``: its segments with every literal that is not common replaced."""
+    own = (df.select(*keys, *ids, F.explode(F.array_distinct(segs)).alias("_seg"))
+           .join(common, [*keys, "_seg"]).groupBy(*keys, *ids).agg(F.collect_set("_seg").alias("_common")))
+    out = df.join(own, [*keys, *ids], "left")
+    known = F.coalesce("_common", F.array().cast("array<string>"))
+    return out.withColumn("view", F.transform(segs, lambda x: F.when(keep(x) | F.array_contains(known, x), x)
+                                              .otherwise(F.lit(rare)))).drop("_common")
 
 
 def route_suggest(misses: DataFrame, routes: DataFrame, *, keys: Sequence[str] = (),
                   req_id: str = "request_id", verb: str = "verb", path: str = "path",
                   route_id: str = "route_id", route_verb: str = "http_method",
                   pattern: str = "path_pattern", tie: str = "scan_ord",
-                  limit: int = P.SUGGESTION_LIMIT, levels: int = 2) -> DataFrame:
+                  limit: int = P.SUGGESTION_LIMIT, common_df: int = 64) -> DataFrame:
     """Closest routes for each miss: score = segment edit distance (a variable segment matches
     anything) + 1000 if the verb does not match; stable by scan order; ``limit`` per miss.
 
-    Exact, and never a miss x catalogue product:
-
-    1. Iterative deepening on a distance bound t = 0, 1, ...: a route within distance t of a
-       request of n segments matches at least ``max(n, m) - t`` of them, so (pigeonhole) it
-       shares a literal with one of the request's few *rarest* segments (rarity = how many
-       routes of the scope carry the segment; a segment on every route is probed last), or it is
-       nearly all variables (``V >= m - t``, joined on its length). A request with ``limit``
-       routes scoring <= t is final: every route scoring <= t has been seen.
-    2. Requests still open after the last level use the wider plan: routes sharing nothing
-       with the request score exactly ``pen + max(n, m)``, so only the first few per (verb class,
-       length band) can win (a small table built from the catalogue alone); routes sharing a
-       literal or carrying a variable get their exact distance.
+    Exact for every verb and limit, without a miss x catalogue product:
+
+    1. Each distinct (scope, verb, path) is answered once. Of routes with equal verb and segments
+       only the first ``limit`` can be suggested.
+    2. A literal on more than ``common_df`` patterns of the scope is common. Routes that share a
+       rarer literal with the request are met by an equi-join on it: at most ``common_df`` each.
+    3. Every other route can share common literals only. With rare literals blotted out, routes
+       fall into few shapes, and requests into few views; the score of a route with its shape is
+       never below its own, and equal to it when nothing rare is shared. So only the first
+       ``limit`` routes of a shape matter, and of those only the best ``limit`` for the view:
+       any other route has ``limit`` routes before it. Shapes meet views on scope and length.
+    4. What 2 and 3 give is scored exactly and cut to ``limit``.
     """
     keys = list(keys)
-    if not keys:
-        misses, routes, keys = misses.withColumn("_scope", F.lit(0)), routes.withColumn("_scope", F.lit(0)), ["_scope"]
-    req = prepare_requests(misses, verb=verb, path=path).select(
-        *keys, req_id, "req_verb", "req_segs", F.size("req_segs").alias("req_n"))
-    req = cut_lineage(req)
+    all_misses = prepare_requests(misses, verb=verb, path=path).select(*keys, req_id, "req_verb", "req_segs")
+    req = cut_lineage(all_misses.select(*keys, "req_verb", "req_segs").distinct()
+                      .withColumn("_q", F.monotonically_increasing_id()))
     rt = prepare_routes(routes, keys=keys, route_id=route_id, route_verb=route_verb,
                         pattern=pattern, tie=tie)
-    # routes with the same verb and segments score alike for every request: only the first
-    # ``limit`` of them in scan order can ever be suggested
     rt = cut_lineage(top_k(rt, [*keys, "http_method", "route_segs"], [F.col("route_tie")], limit,
-                           "_dup").drop("_dup"))
-    rcols = ["route_id", "http_method", "path_pattern", "route_tie", "route_n", "route_segs", "n_vars"]
-    rlit = cut_lineage(rt.select(*keys, *rcols, F.explode(F.array_distinct(
-        F.filter("route_segs", lambda x: ~P.is_var(x)))).alias("_seg")))
-    freq = rlit.groupBy(*keys, "_seg").agg(F.count("*").alias("_df"))
-    vmax = rt.agg(F.max("n_vars")).first()[0] or 0
-    # request segments that some route carries, rarest first (a window over one request)
-    qs = (req.select(*keys, req_id, F.posexplode("req_segs").alias("_pos", "_seg"))
-          .join(freq, [*keys, "_seg"], "inner"))
-    wq = W.partitionBy(*keys, req_id)
-    qs = cut_lineage(qs.withColumn("_rank", F.row_number().over(wq.orderBy("_df", "_seg", "_pos")))
-                     .withColumn("_n0", F.count("*").over(wq)))
-    cols = [*keys, req_id, "req_verb", "req_segs", "route_id", "http_method", "path_pattern",
-            "route_tie", "route_segs"]
-
-    def score(df):
+                           "_dup").drop("_dup").withColumn("_r", F.monotonically_increasing_id()))
+    lits = rt.select(*keys, "_r", F.explode(F.array_distinct(
+        F.filter("route_segs", lambda x: ~P.is_var(x)))).alias("_seg"))
+    common = cut_lineage(lits.groupBy(*keys, "_seg").agg(F.count("*").alias("_df"))
+                         .where(F.col("_df") > common_df).select(*keys, "_seg"))
+
+    def score(df, route_segs, req_segs):
         pen = F.when(P.verb_matches("http_method", "req_verb"), F.lit(0)).otherwise(
             F.lit(P.VERB_MISMATCH_PENALTY))
-        return df.withColumn("score", pen + P.segment_distance("route_segs", "req_segs"))
-
-    done_parts = []
-    open_req = req
-    for t in range(levels):
-        # (a) a shared literal among the request's rarest positions
-        q = qs.join(open_req.select(*keys, req_id, "req_verb", "req_segs", "req_n"), [*keys, req_id])
-        q = q.where(F.col("_rank") <= t + 1 + vmax)
-        lit_c = q.join(rlit, [*keys, "_seg"], "inner")
-        need = F.greatest("req_n", "route_n") - F.lit(t) - F.col("n_vars")
-        lit_c = lit_c.where((need >= 1) & (F.col("_rank") <= F.col("_n0") - need + 1)
-                            & (F.abs(F.col("req_n") - F.col("route_n")) <= t))
-        # (b) nearly-all-variable routes: probe each admissible (length m, variable count V)
-        #     exactly, m within t of n and max(n, m) - t <= V <= m: at most (2t+1)(t+1) probes
-        vr = rt.where(F.col("n_vars") >= F.col("route_n") - t).select(*keys, *rcols)
-        band = (open_req.withColumn("route_n", F.explode(F.sequence(
-                    F.greatest(F.col("req_n") - t, F.lit(0)), F.col("req_n") + t)))
-                .withColumn("n_vars", F.explode(F.sequence(
-                    F.greatest(F.greatest("req_n", "route_n") - t, F.lit(0)), F.col("route_n")))))
-        var_c = band.join(vr, [*keys, "route_n", "n_vars"], "inner")
-        cand = (lit_c.select(*cols).unionByName(var_c.select(*cols))
-                .dropDuplicates([*keys, req_id, "route_id"]))
-        within = cut_lineage(score(cand).where(F.col("score") <= t))
-        finished = (within.groupBy(*keys, req_id).agg(F.count("*").alias("_c"))
-                    .where(F.col("_c") >= limit).select(*keys, req_id))
-        finished = cut_lineage(finished)
-        done_parts.append(within.join(finished, [*keys, req_id], "left_semi"))
-        open_req = cut_lineage(open_req.join(finished, [*keys, req_id], "left_anti"))
-        if open_req.isEmpty():
-            break
-
-    parts = list(done_parts)
-    if not open_req.isEmpty():
-        max_len = rt.agg(F.max("route_n")).first()[0] or 0
-        buckets = _suggest_buckets(rt, keys, max_len)
-        by_bucket = open_req.withColumn("L", F.least(F.col("req_n"), F.lit(max_len))).join(
-            buckets, [*keys, "req_verb", "L"], "inner")
-        qlit = open_req.select(*keys, req_id, "req_verb", "req_segs", "req_n",
-                               F.explode(F.array_distinct("req_segs")).alias("_seg"))
-        by_seg = qlit.join(rlit, [*keys, "_seg"], "inner")
-        by_var = open_req.join(rt.where(F.col("n_vars") > 0).select(*keys, *rcols), keys, "inner")
-        cand = (by_bucket.select(*cols).unionByName(by_seg.select(*cols)).unionByName(by_var.select(*cols))
-                .dropDuplicates([*keys, req_id, "route_id"]))
-        parts.append(score(cand))
-    scored = parts[0]
-    for p_ in parts[1:]:
-        scored = scored.unionByName(p_)
-    top = top_k(scored, [*keys, req_id], [F.col("score"), F.col("route_tie")], limit, "rank")
-    return top.select(*[k for k in keys if k != "_scope"], req_id, "rank", "route_id",
-                      "http_method", "path_pattern", "score")
+        return df.withColumn("score", pen + P.segment_distance(route_segs, req_segs))
+
+    by_literal = (req.select(*keys, "_q", F.explode(F.array_distinct("req_segs")).alias("_seg"))
+                  .join(common, [*keys, "_seg"], "left_anti")
+                  .join(lits, [*keys, "_seg"]).select("_q", "_r"))
+    shaped = _common_only(rt, "route_segs", common, ["_r"], keys, _RARE_ROUTE, P.is_var)
+    shapes = top_k(shaped, [*keys, "http_method", "view"], [F.col("route_tie")], limit, "_n").select(
+        *keys, "route_n", "http_method", "route_tie", "_r", F.col("view").alias("shape"))
+    viewed = cut_lineage(_common_only(req, "req_segs", common, ["_q"], keys, _RARE_REQUEST,
+                                      lambda x: F.lit(False)).select(*keys, "_q", "req_verb", "view"))
+    lengths = [r[0] for r in rt.select("route_n").distinct().orderBy("route_n").collect()]  # pattern lengths
+    views = (viewed.select(*keys, "req_verb", "view").distinct()
+             .withColumn("route_n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))))
+    by_shape = top_k(score(views.join(shapes, [*keys, "route_n"]), "shape", "view"),
+                     [*keys, "req_verb", "view"], [F.col("score"), F.col("route_tie")], limit, "_n")
+    by_shape = viewed.join(by_shape.select(*keys, "req_verb", "view", "_r"), [*keys, "req_verb", "view"]).select("_q", "_r")
+    found = by_literal.unionByName(by_shape).distinct()
+    scored = score(found.join(req, "_q").join(
+        rt.select("_r", "route_id", "http_method", "path_pattern", "route_tie", "route_segs"), "_r"),
+        "route_segs", "req_segs")
+    top = top_k(scored, ["_q"], [F.col("score"), F.col("route_tie")], limit, "rank")
+    top = top.select(*keys, "req_verb", "req_segs", "rank", "route_id", "http_method", "path_pattern", "score")
+    return all_misses.join(top, [*keys, "req_verb", "req_segs"]).select(
+        *keys, req_id, "rank", "route_id", "http_method", "path_pattern", "score")
 
 
 def route_answer(resolved: DataFrame, suggestions: DataFrame, unresolved: DataFrame, *,
@@ -384,15 +327,13 @@ def route_answer(resolved: DataFrame, suggestions: DataFrame, unresolved: DataFr
     unresolved mappings carries a warning that the answer may be incomplete."""
     keys = list(keys)
     out_cols = resolved.columns
-    if not keys:
-        resolved, suggestions, unresolved = (d.withColumn("_scope", F.lit(0))
-                                             for d in (resolved, suggestions, unresolved))
-        keys = ["_scope"]
-    n_unres = unresolved.groupBy(*keys).agg(F.count("*").alias("n_unresolved"))
+    counted = unresolved.groupBy(*keys).agg(F.count("*").alias("n_unresolved"))  # one row per scope
     # at most ``limit`` suggestions per request: a bounded array
     sug = (suggestions.groupBy(*keys, req_id)
            .agg(F.array_sort(F.collect_list(F.struct("rank", "path_pattern"))).alias("_s")))
-    j = resolved.join(sug, [*keys, req_id], "left").join(n_unres, keys, "left")
+    j = resolved.join(sug, [*keys, req_id], "left")
+    j = j.join(counted, keys, "left") if keys else j.withColumn(
+        "n_unresolved", F.lit(counted.first()["n_unresolved"]))
     n = F.coalesce(F.col("n_unresolved"), F.lit(0))
     miss = F.col("status") == "miss"
     return j.select(*[F.col(c) for c in out_cols],
@@ -401,3 +342,9 @@ def route_answer(resolved: DataFrame, suggestions: DataFrame, unresolved: DataFr
                     n.cast("long").alias("n_unresolved"),
                     F.when(miss & (n > 0), F.lit("some mappings could not be resolved statically; "
                                                  "the handler may be among them")).alias("warning"))
+
+
+def scopes_with_miss(answers: DataFrame, unresolved: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """The unresolved mappings that a miss has to show: those of every scope with a miss, once per
+    scope (each miss of the scope refers to them by its ``keys``)."""
+    return unresolved.join(answers.where(F.col("status") == "miss").select(*keys).distinct(), list(keys), "left_semi")

@@ -1,4 +1,4 @@
-"""Size-checked broadcast and skew-safe top-k, shared by the operators."""
+"""Skew-safe top-k, shared by the operators."""
 
 from __future__ import annotations
 
@@ -8,23 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# A lookup side is hinted for broadcast only when it provably has at most this many rows.
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no more than ``max_rows + 1`` of them."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only behind a row-count check; otherwise leave the choice to AQE,
-    which re-plans with runtime sizes and splits skewed partitions of a shuffled join."""
-    if max_rows is None or max_rows <= 0:
-        return df
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def top_k(df: DataFrame, group: Sequence[str | Column], order: Sequence[Column], k: int,
           rank_col: str = "rank") -> DataFrame:
     """First ``k`` rows per group. ``row_number() <= k`` lets Spark put a per-partition group limit

@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A level's checkpoint goes when nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Fact tables are written partitioned by (repo, snapshot); re-running one snapshot must
     # replace only its own partitions.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
