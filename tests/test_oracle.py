@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from wirefold.plans import bindings
 from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -46,7 +47,7 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    no_sql = set(E.queries()) - set(E.oracle_sql())
+    no_sql = set(bindings.QUERIES) - set(bindings.ORACLE)
     assert no_sql <= {"first_base"}, no_sql
 
 
