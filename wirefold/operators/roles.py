@@ -37,16 +37,19 @@ def import_matches(refs: DataFrame, imports: DataFrame, *, path: str, fqcn: str,
                    name: str = "name", is_static: str = "is_static",
                    is_wildcard: str = "is_wildcard", keys: Sequence[str] = ()) -> DataFrame:
     """Left-semi: refs whose file has a non-static import equal to ``fqcn``, or a wildcard
-    import of its package. Two equi-joins (exact, package) instead of one OR-join."""
+    import of its package. Each distinct (file, name) is asked twice in one equi-join, by its name
+    and by its package; the refs themselves, repeated ones included, only pass a semi join."""
     keys = list(keys)
-    imp = imports.where(~F.col(is_static)).select(*keys, F.col(path).alias("_p"),
-                                                   F.col(name).alias("_n"), F.col(is_wildcard).alias("_w"))
-    pkg = F.regexp_replace(F.col(fqcn), r"\.[^.]*$", "")
-    r = refs.withColumn("_exact", F.col(fqcn)).withColumn("_pkg", pkg)
-    cond = [r[k] == imp[k] for k in keys] + [r[path] == imp["_p"]]
-    exact = r.join(imp.where(~F.col("_w")), cond + [r["_exact"] == imp["_n"]], "left_semi")
-    wild = r.join(imp.where(F.col("_w")), cond + [r["_pkg"] == imp["_n"]], "left_semi")
-    return exact.unionByName(wild).distinct().drop("_exact", "_pkg")
+    imp = (imports.where(~F.col(is_static)).select(*keys, F.col(path).alias("_p"), F.col(name).alias("_n"),
+                                                   F.col(is_wildcard).alias("_w")).distinct())
+    asked = refs.select(*keys, F.col(path).alias("_p"), F.col(fqcn).alias("_fqcn")).distinct()
+    pkg = F.regexp_replace(F.col("_fqcn"), r"\.[^.]*$", "")
+    probe = asked.select("*", F.explode(F.array(
+        F.struct(F.col("_fqcn").alias("_n"), F.lit(False).alias("_w")),
+        F.struct(pkg.alias("_n"), F.lit(True).alias("_w")))).alias("_a")).select(*keys, "_p", "_fqcn", "_a.*")
+    found = probe.join(imp, [*keys, "_p", "_n", "_w"], "left_semi").select(*keys, "_p", "_fqcn").distinct()
+    cond = [refs[k] == found[k] for k in keys] + [refs[path] == found["_p"], refs[fqcn] == found["_fqcn"]]
+    return refs.join(found, cond, "left_semi")
 
 
 def declared_roles(field_annotations: DataFrame, *, simple_name: str, imported_fqcn: str,

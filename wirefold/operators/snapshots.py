@@ -29,23 +29,24 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, key: Sequence[str],
     return j.select(*key, change.alias("change"))
 
 
-def row_hash60(cols: Sequence[str | Column]) -> Column:
-    """First 60 bits of the md5 of the '|'-joined columns, as a decimal (identical in any engine
-    that has md5)."""
+def row_hash(cols: Sequence[str | Column]) -> tuple[Column, Column]:
+    """Both 64-bit halves of the md5 of the '|'-joined columns, as decimals (identical in any
+    engine that has md5)."""
     joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"),
                                            F.lit("")) for c in cols])
-    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("decimal(38,0)")
+    md5 = F.md5(joined)
+    return tuple(F.conv(F.substring(md5, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)") for at in (1, 17))
 
 
 def snapshot_fingerprint(files: DataFrame, *, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Order-independent fingerprint of a file set per ``group`` (e.g. repo, snapshot,
-    source_set): count plus the sum of a 60-bit row hash. A commutative aggregate, so it is
+    source_set): count plus the sums of both halves of a 128-bit row hash. A commutative aggregate, so it is
     computed partially per task; no group is ever collected into one array."""
-    h = row_hash60(fields)
-    agg = files.groupBy(*group).agg(F.count("*").alias("n_files"), F.sum(h).alias("_s"))
+    high, low = row_hash(fields)
+    agg = files.groupBy(*group).agg(F.count("*").alias("n_files"), F.sum(high).alias("_s"), F.sum(low).alias("_t"))
     return agg.select(*group, "n_files",
                       F.concat_ws(":", F.col("n_files").cast("string"),
-                                  F.col("_s").cast("string")).alias("fingerprint"))
+                                  F.col("_s").cast("string"), F.col("_t").cast("string")).alias("fingerprint"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, key: Sequence[str], left_ts: str,
@@ -101,8 +102,9 @@ def retain_generations(gens: DataFrame, *, group: Sequence[str], recency: Sequen
 
 
 def root_kind(path, *, default: str, refs_base: str) -> Column:
-    """``default`` if the root is the default root, ``ref`` if it lies under the refs base,
-    else ``root``."""
+    """``default`` if the root is the default root, ``ref`` if it is the refs base or lies under it
+    (whole path components, so ``.refs-old`` is not under ``.refs``), else ``root``."""
     p = F.col(path) if isinstance(path, str) else path
+    base = refs_base.rstrip("/")
     return (F.when(p == F.lit(default), F.lit("default"))
-            .when(p.startswith(refs_base), F.lit("ref")).otherwise(F.lit("root")))
+            .when((p == base) | p.startswith(base + "/"), F.lit("ref")).otherwise(F.lit("root")))

@@ -50,12 +50,11 @@ _EVENT_ANN = {"view": "Profile", "click": "ConditionalOnProperty", "purchase": "
 SELECT user_id, bool_or(a = 'Profile' OR starts_with(a, 'ConditionalOn')) AS flag FROM (
   SELECT user_id, CASE event_type WHEN 'view' THEN 'Profile' WHEN 'click' THEN 'ConditionalOnProperty'
     WHEN 'purchase' THEN 'Primary' WHEN 'signup' THEN 'Component' ELSE 'ConditionalOnMissingBean' END AS a
-  FROM events WHERE event_id % 3 = 0) GROUP BY user_id""")
+  FROM events) GROUP BY user_id""")
 def q_conditional_flag(spark, sf_dir):
-    """Users as candidate beans annotated by their events (every third event is an annotation):
-    conditional iff any is @Profile or @ConditionalOn*."""
+    """Users as candidate beans annotated by their events: conditional iff any is @Profile or @ConditionalOn*."""
     ann = F.create_map(*[x for kv in _EVENT_ANN.items() for x in map(F.lit, kv)])
-    a = (table(spark, sf_dir, "events").where(F.col("event_id") % 3 == 0)
+    a = (table(spark, sf_dir, "events")
          .select("user_id", ann[F.col("event_type")].alias("simple_name")))
     return CV.flag_by_owner(a, owner="user_id", flag=CV.conditional_flag("simple_name"))
 
@@ -89,16 +88,13 @@ SELECT user_id, bool_or(regexp_extract(t, '^@?([A-Za-z0-9_$]*)', 1) IN ('SpringB
   'DataLdapTest', 'DataR2dbcTest')) AS is_context FROM (
   SELECT user_id, CASE event_type WHEN 'view' THEN '@SpringBootTest' WHEN 'click' THEN '@WebMvcTest(controllers = X.class)'
     WHEN 'purchase' THEN '@ExtendWith(MockitoExtension.class)' WHEN 'signup' THEN '@DataJpaTestX'
-    ELSE '@Tag("slow")' END AS t FROM events WHERE event_id % 4 = 0) GROUP BY user_id""")
+    ELSE '@Tag("slow")' END AS t FROM events) GROUP BY user_id""")
 def q_context_slice_flag(spark, sf_dir):
     """Users as test classes with class-annotation texts from their events: a context test
     iff the first identifier of some text is one of the eleven slice annotations."""
     m = F.create_map(*[x for kv in _SLICE_BY_EVENT.items() for x in map(F.lit, kv)])
-    texts = (table(spark, sf_dir, "events").where(F.col("event_id") % 4 == 0)
-             .select("user_id", m[F.col("event_type")].alias("text")))
-    # one test class's own annotations: a handful per class, folded per class
-    per = texts.groupBy("user_id").agg(F.collect_list("text").alias("texts"))
-    return per.select("user_id", RL.context_slice_flag(F.col("texts")).alias("is_context"))
+    texts = table(spark, sf_dir, "events").select("user_id", m[F.col("event_type")].alias("text"))
+    return texts.groupBy("user_id").agg(F.bool_or(RL.context_slice_flag(F.array("text"))).alias("is_context"))
 
 
 @query("constants", """

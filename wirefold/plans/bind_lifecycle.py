@@ -56,7 +56,7 @@ WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN substr(props, 1, le
 SELECT event_id,
   CASE WHEN json_valid(payload) THEN CAST(json_extract(payload, '$.k') AS BIGINT) END AS k,
   CASE WHEN json_valid(payload) THEN 'parsed' ELSE 'rejected' END AS status,
-  CASE WHEN NOT json_valid(payload) THEN 'malformed: ' || substr(payload, 1, 80) END AS reason
+  CASE WHEN NOT json_valid(payload) THEN 'malformed: ' || split_part(payload, chr(10), 1) END AS reason
 FROM e""")
 def q_parse_quarantine(spark, sf_dir):
     """Event payloads, one in eleven truncated: parsed rows give k, the rest a reason."""
@@ -101,12 +101,13 @@ def q_snapshot_diff(spark, sf_dir):
 
 
 @query("snapshot_fingerprint", f"""WITH {_SQL_VERSIONS},
-v AS (SELECT 'old' AS version, * FROM o UNION ALL SELECT 'new', * FROM n)
+v AS (SELECT 'old' AS version, * FROM o UNION ALL SELECT 'new', * FROM n),
+h AS (SELECT version, source, md5(CAST(path AS VARCHAR) || '|' || CAST(size AS VARCHAR) || '|'
+      || CAST(mtime AS VARCHAR)) AS m FROM v)
 SELECT version, source, count(*) AS n_files,
-  CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST('0x' || substr(md5(CAST(path AS VARCHAR) || '|'
-      || CAST(size AS VARCHAR) || '|' || CAST(mtime AS VARCHAR)), 1, 15) AS BIGINT) AS DECIMAL(38,0)))
-      AS VARCHAR) AS fingerprint
-FROM v GROUP BY version, source""")
+  CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(CAST('0x' || substr(m, 1, 16) AS UBIGINT) AS DECIMAL(38,0))) AS VARCHAR)
+    || ':' || CAST(sum(CAST(CAST('0x' || substr(m, 17, 16) AS UBIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint
+FROM h GROUP BY version, source""")
 def q_snapshot_fingerprint(spark, sf_dir):
     """Order-independent fingerprint of each version's files per source."""
     old, new = _versions(spark, sf_dir)
@@ -145,10 +146,12 @@ def q_retain_generations(spark, sf_dir):
 
 @query("root_kind", """
 SELECT doc_id, source, CASE WHEN source = 'src0' THEN 'default'
-                            WHEN starts_with(source, 'src1') THEN 'ref' ELSE 'root' END AS root_kind
+                            WHEN source = 'src1' THEN 'ref' ELSE 'root' END AS root_kind
 FROM documents""")
 def q_root_kind(spark, sf_dir):
-    """Document sources as roots: src0 is the default root, src1* lie under the refs base."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.select("doc_id", "source", S.root_kind("source", default="src0", refs_base="src1")
-                    .alias("root_kind"))
+    """Document sources as roots: src0 is the default root, src1 is the refs base or has roots
+    below it; src10 to src19 only share its first letters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    root = F.when((F.col("source") == "src0") | (F.col("lang") == "en"), F.col("source")).otherwise(
+        F.concat_ws("/", "source", "lang"))
+    return d.select("doc_id", "source", S.root_kind(root, default="src0", refs_base="src1").alias("root_kind"))

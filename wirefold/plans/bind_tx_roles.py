@@ -175,15 +175,17 @@ def q_role_usage(spark, sf_dir):
 
 
 @query("unclassified_context", f"""WITH {_SQL_ROLES},
-types AS (SELECT DISTINCT type_fqcn FROM fa),
-ctx AS (SELECT DISTINCT user_id AS test FROM events WHERE user_id % 2 = 0)
-SELECT t.type_fqcn, c.test FROM types t, ctx c
+types AS (SELECT DISTINCT test // 8 AS repo, type_fqcn FROM fa),
+ctx AS (SELECT DISTINCT user_id // 8 AS repo, user_id AS test FROM events WHERE user_id % 2 = 0)
+SELECT t.type_fqcn, c.test FROM types t JOIN ctx c USING (repo)
 WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.role IS NOT NULL AND dr.type_fqcn = t.type_fqcn
                   AND dr.test = c.test)""")
 def q_unclassified_context(spark, sf_dir):
-    """Context tests (even user ids) that mention a requested type in no role."""
-    roles = _annotations(spark, sf_dir).where(F.col("role").isNotNull()).withColumn("repo", F.lit("r"))
-    ev = table(spark, sf_dir, "events").withColumn("repo", F.lit("r"))
+    """Context tests (even user ids) that mention a requested type in no role; eight
+    users make a repository, and a type is requested in those that mention it."""
+    repo = lambda user: F.floor(F.col(user) / 8).alias("repo")
+    roles = _annotations(spark, sf_dir).where(F.col("role").isNotNull()).select("*", repo("test"))
+    ev = table(spark, sf_dir, "events").select("*", repo("user_id"))
     types = ev.select("repo", F.concat(F.lit("T"), (F.col("event_id") % 37).cast("string"))
                       .alias("type_fqcn"))
     ctx = ev.where(F.col("user_id") % 2 == 0).select("repo", F.col("user_id").alias("test"))

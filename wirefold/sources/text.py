@@ -22,7 +22,7 @@ def parse_quarantine(rows: DataFrame, *, row_id: str, payload: str, schema: str,
 
     ``from_json`` in PERMISSIVE mode keeps a malformed payload in a corrupt-record column
     instead of failing the task; such rows (and null payloads) become rejects, so no row is
-    dropped silently.
+    dropped silently. The reason carries the payload's whole first line.
     """
     corrupt = "_corrupt_record"
     parsed = rows.select(*keys, row_id, F.col(payload).alias("_payload"),
@@ -31,7 +31,7 @@ def parse_quarantine(rows: DataFrame, *, row_id: str, payload: str, schema: str,
                                       "columnNameOfCorruptRecord": corrupt}).alias("_parsed"))
     bad = F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull()
     reason = F.when(F.col("_payload").isNull(), F.lit("empty-payload")).otherwise(
-        F.concat(F.lit("malformed: "), F.substring(F.col("_payload"), 1, 80)))
+        F.concat(F.lit("malformed: "), F.substring_index(F.col("_payload"), "\n", 1)))
     good = parsed.filter(~bad).select(*keys, row_id, "_parsed.*").drop(corrupt)
     rejects = parsed.filter(bad).select(*keys, row_id, reason.alias("reason"))
     return good, rejects
