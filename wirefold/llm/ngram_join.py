@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import components, drop_stored, query, store, table
+from wirefold.llm.common import components, query, store, table
 from wirefold.llm.words import bitmap, in_bitmap, low_words, shingles, word_hashes
 
 #: Words of a shingle, similarity in percent, groups that shingles are counted in.
-SHINGLE, PERCENT, GROUPS = 5, 80, 64
-#: Blocks above this many times the mean are put last in the order; at most 2^HOT_BITS of them.
-HOT_BITS = 17
-HOT_LEAST = 16
+SHINGLE, PERCENT, GROUPS = 5, 80, 256
+#: Shingles that so many documents have among their first 3/2 prefixes come last in the order, and
+#: with them whatever falls on the same bits of a filter of 2^HOT_BITS bits (8 MB).
+HOT_LEAST, HOT_BITS = 6, 26
 #: Rows of a block that one R-tree takes; bits of the filter for texts to read again; entries of a
 #: tree node; partners that share a copy of a set in the last check.
 TILE, FILTER_BITS, FANOUT, PARTNERS = 2_048, 25, 16, 256
@@ -26,7 +26,9 @@ TILE, FILTER_BITS, FANOUT, PARTNERS = 2_048, 25, 16, 256
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes; of fewer words, one hash of them all; of none, nothing."""
     h = word_hashes(low_words(text))
-    return np.unique(shingles(h, min(SHINGLE, max(1, len(h)))))
+    s = shingles(h, min(SHINGLE, max(1, len(h))))
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def prefix_size(n: int) -> int:
@@ -39,9 +41,21 @@ def linked(inter, n1, n2):
     return 100 * inter >= PERCENT * (n1 + n2 - inter)
 
 
-def group_counts(s: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its shingles fall into each group."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4")
+def group_counts(s: np.ndarray) -> bytes:
+    """The point of a set: how many of its shingles fall into each group, one byte each (two or
+    four for sets that need it)."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    top = counts.max()
+    return counts.astype("u1" if top < 256 else "<u2" if top < 65_536 else "<u4").tobytes()
+
+
+def points(raw) -> np.ndarray:
+    """(rows, groups) from the bytes of ``group_counts``."""
+    raw = list(raw)
+    if all(len(r) == GROUPS for r in raw):
+        return np.frombuffer(b"".join(raw), "u1").reshape(-1, GROUPS).astype(np.int32)
+    kinds = {GROUPS: "u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
+    return np.stack([np.frombuffer(r, kinds[len(r)]).astype(np.int32) for r in raw])
 
 
 class CountTree:
@@ -79,28 +93,24 @@ class CountTree:
 
 def _prefixes(batches):
     for batch in batches:
-        out = [s[:prefix_size(len(s))] for s in map(shingle_set, batch.column("text").to_pylist())]
+        out = [s[:prefix_size(len(s)) * 3 // 2] for s in map(shingle_set, batch.column("text").to_pylist())]
         out = np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(out)], names=["token"])
 
 
 def _profiles(hot):
-    """Per document: size, digest and count vector of its set, and its prefix when shingles in
-    ``hot`` come last and hashes order the rest."""
+    """Per document: size, digest and count vector of its set, and its prefix when shingles in the
+    filter ``hot`` come last and hashes order the rest."""
     def rows(batches):
-        last = hot.value
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                known = np.zeros(len(s), bool)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    known = last[at] == s
+                known = in_bitmap(hot.value, s)
                 prefix = np.concatenate([s[~known], s[known]])[:prefix_size(len(s))]
                 out.append((len(s), int.from_bytes(d[:8], "little", signed=True),
-                            int.from_bytes(d[8:], "little", signed=True), group_counts(s).tobytes(),
+                            int.from_bytes(d[8:], "little", signed=True), group_counts(s),
                             prefix.view(np.int64)))
             n, d1, d2, counts, prefixes = zip(*out) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays(
@@ -114,7 +124,7 @@ def _profiles(hot):
 def _pairs_within(batches):
     """Rows sorted by block -> pairs of different components that the count vectors let through."""
     def found(block):
-        counts = np.frombuffer(b"".join(block.counts), "<i4").reshape(-1, GROUPS)
+        counts = points(block.counts)
         sizes, ids = block.n.to_numpy(), block.class_id.to_numpy()
         comps, left = block.component.to_numpy(), block.side.to_numpy()
         tree, out = CountTree(counts, sizes), []
@@ -141,8 +151,9 @@ def _pairs_within(batches):
 def _bounded(batches):
     """Pairs whose count vectors allow the wanted overlap."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS)
-                for c in ("counts_a", "counts_b"))
+        if not batch.num_rows:
+            continue
+        a, b = (points(batch.column(c).to_pylist()) for c in ("counts_a", "counts_b"))
         n1, n2 = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
         ok = linked(np.minimum(a, b).sum(1), n1, n2)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
@@ -200,9 +211,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     component_id`` (the smallest doc_id that links lead to).
 
     1. Documents with equal sets form a class; the rest works on one member of each.
-    2. A pair with the wanted similarity shares a shingle of both prefixes, in any one order of the
-       shingles. Hash order, with the shingles that stand in most prefixes (counted over all
-       documents) put last, makes the blocks: classes that share a prefix shingle.
+    2. A pair with the wanted similarity shares a shingle of both prefixes, in any one order of all
+       shingles. The order is rare ones first: by hash, with those put last that ``HOT_LEAST``
+       documents or more have early (counted over all documents, kept as a fixed-size filter whose
+       false alarms only reorder). Classes that share a prefix shingle make a block.
     3. In each block everyone is paired with its first class; pairs that sizes and count vectors
        allow are checked exactly, and union-find joins what is linked.
     4. What is still apart inside a block goes through an R-tree of count vectors (blocks of more
@@ -215,13 +227,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     sc, keyed = docs.sparkSession.sparkContext, _keyed(docs)
     tokens = docs.select("text").mapInArrow(_prefixes, "token long").groupBy("token").agg(F.count("*").alias("n"))
-    # at most 2^HOT_BITS shingles can stand in more than this share of all prefix places
-    tokens = tokens.where(f"n >= {HOT_LEAST}")
-    tokens = store(tokens)
-    places = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    hot = tokens.where(F.col("n") > places / 2 ** HOT_BITS).toPandas().token.to_numpy(np.int64).view(np.uint64)
-    drop_stored(tokens)
-    hot = sc.broadcast(np.sort(hot))
+    hot = sc.broadcast(bitmap(tokens.where(F.col("n") >= HOT_LEAST), "token", HOT_BITS))
     base = store(keyed.mapInArrow(_profiles(hot), "doc_id long, text_hash long, n long, d1 long, d2 long, "
                                                   "counts binary, prefix array<long>")
                  .withColumn("row", F.monotonically_increasing_id()))
