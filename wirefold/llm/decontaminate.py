@@ -15,14 +15,10 @@ WINDOW, SHINGLE = 10, 5
 #: Bits of the filter that says which shingles some item has: 4 MB at every size of input.
 FILTER_BITS = 25
 
-#: Lower-cases A-Z and makes every other ASCII character but a-z and 0-9 a space.
-_fold = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32
-              for c in range(256))
-
-
-def item_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased."""
-    return (text or "").encode().translate(_fold).split()
+#: Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased: every other ASCII character
+#: becomes a blank.
+FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32
+             for c in range(256))
 
 
 def _windows(batches):
@@ -31,7 +27,7 @@ def _windows(batches):
     for pdf in batches:
         rows = []
         for item, text in zip(pdf.item_id, pdf.text):
-            h = word_hashes(item_words(text))
+            h = word_hashes(text, FOLD)
             if not len(h):
                 continue
             size = min(WINDOW, len(h))
@@ -52,7 +48,7 @@ def _candidates(known, sizes):
     def found(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            h = word_hashes(item_words(text))
+            h = word_hashes(text, FOLD)
             hits = []
             for k in sizes:
                 s = shingles(h, k)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.llm.common import components, query, store, table
-from wirefold.llm.words import bitmap, in_bitmap, low_words, shingles, word_hashes
+from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of a shingle, similarity in percent, groups that shingles are counted in.
 SHINGLE, PERCENT, GROUPS = 5, 80, 256
@@ -19,13 +19,13 @@ SHINGLE, PERCENT, GROUPS = 5, 80, 256
 #: with them whatever falls on the same bits of a filter of 2^HOT_BITS bits (8 MB).
 HOT_LEAST, HOT_BITS = 6, 26
 #: Rows of a block that one R-tree takes; bits of the filter for texts to read again; entries of a
-#: tree node; partners that share a copy of a set in the last check.
-TILE, FILTER_BITS, FANOUT, PARTNERS = 2_048, 25, 16, 256
+#: tree node, and of a block that is a single one; partners that share a copy of a set in the last check.
+TILE, FILTER_BITS, FANOUT, ONE_NODE, PARTNERS = 2_048, 25, 16, 32, 256
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes; of fewer words, one hash of them all; of none, nothing."""
-    h = word_hashes(low_words(text))
+    h = word_hashes(text)
     s = shingles(h, min(SHINGLE, max(1, len(h))))
     s.sort()
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
@@ -122,30 +122,51 @@ def _profiles(hot):
 
 
 def _pairs_within(batches):
-    """Rows sorted by block -> pairs of different components that the count vectors let through."""
-    def found(block):
-        counts = points(block.counts)
-        sizes, ids = block.n.to_numpy(), block.class_id.to_numpy()
-        comps, left = block.component.to_numpy(), block.side.to_numpy()
+    """Rows sorted by block -> pairs of different components that the count vectors let through.
+    ``side`` tells the tiles of a block apart: 0 for a tile against itself, else 1 and 2."""
+    def small(counts, sizes, ids, comps, side, bounds):
+        """All blocks of one tree node at once."""
+        a, b = (np.concatenate([x[i] + at for at, x in bounds]) for i in (0, 1))
+        ok = (comps[a] != comps[b]) & ((side[a] == side[b]) & (side[a] == 0) | (side[a] + side[b] == 3))
+        ok &= (100 * sizes[a] >= PERCENT * sizes[b]) & (100 * sizes[b] >= PERCENT * sizes[a])
+        a, b = a[ok], b[ok]
+        pairs, first = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1),
+                                 axis=0, return_index=True)
+        a, b = a[first], b[first]
+        keep = np.zeros(len(a), bool)
+        for i in range(0, len(a), 4_096):
+            x, y = a[i:i + 4_096], b[i:i + 4_096]
+            keep[i:i + 4_096] = linked(np.minimum(counts[x], counts[y]).sum(1), sizes[x], sizes[y])
+        return pairs[keep]
+
+    def large(counts, sizes, ids, comps, side):
         tree, out = CountTree(counts, sizes), []
-        for i in range(len(ids)):
-            # a tile against itself gives each pair twice: keep one; two tiles: look from the left
-            near = tree.search(counts[i], int(sizes[i])) if left[i] <= 1 else ()
-            for j in near:
-                if comps[i] != comps[j] and (left[j] == 2 or (left[i] == 0 and ids[i] < ids[j])):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return out
-
-    key, rest = ["token", "i", "j"], None
+        for i in np.flatnonzero(side <= 1):
+            near = tree.search(counts[i], int(sizes[i]))
+            near = near[(comps[near] != comps[i]) & ((side[near] == 2) | (side[i] == 0) & (ids[i] < ids[near]))]
+            out += [(min(ids[i], j), max(ids[i], j)) for j in ids[near].tolist()]
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    key, rest, rows_of = ["token", "i", "j"], None, {m: np.triu_indices(m, 1) for m in range(1, ONE_NODE + 1)}
+
+    def found(pdf, starts):
+        cols = [points(pdf.counts), *(pdf[c].to_numpy() for c in ("n", "class_id", "component", "side"))]
+        ends = [*starts[1:], len(pdf)]
+        little = [(a, rows_of[b - a]) for a, b in zip(starts, ends) if 1 < b - a <= ONE_NODE]
+        out = [small(*cols, little)] if little else []
+        out += [large(*(c[a:b] for c in cols)) for a, b in zip(starts, ends) if b - a > ONE_NODE]
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *out])
+        return pd.DataFrame(pairs, columns=["a", "b"]).drop_duplicates()
+
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         change = np.flatnonzero((pdf[key].to_numpy()[1:] != pdf[key].to_numpy()[:-1]).any(1)) + 1
         starts = [0, *change.tolist()]
         rest = pdf.iloc[starts[-1]:]
-        pairs = [p for a, b in zip(starts, starts[1:]) for p in found(pdf.iloc[a:b])]
-        yield pd.DataFrame(pairs, columns=["a", "b"]).drop_duplicates()
+        if len(starts) > 1:
+            yield found(pdf.iloc[:starts[-1]], starts[:-1])
     if rest is not None and len(rest):
-        yield pd.DataFrame(found(rest), columns=["a", "b"]).drop_duplicates()
+        yield found(rest.reset_index(drop=True), [0])
 
 
 def _bounded(batches):
