@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirefold.plans import gold
-from wirefold.sources.files import list_sources, read_sources
+from wirefold.sources.files import read_sources
 from wirefold.sources.java_facts import extract_facts
 
 ROOT = os.path.join(os.path.dirname(__file__), "javasrc", "shop")
@@ -18,7 +18,7 @@ def short(x):
 
 @pytest.fixture(scope="module")
 def sources(spark):
-    return read_sources(list_sources(spark, ROOT, repo="shop", snapshot="s1")).cache()
+    return read_sources(spark, ROOT, repo="shop", snapshot="s1").cache()
 
 
 @pytest.fixture(scope="module")
@@ -165,8 +165,8 @@ def test_trace_dependents_and_status(spark, sources, prod):
 
 
 def test_two_repos_with_the_same_fqcn_never_mix(spark):
-    r1 = read_sources(list_sources(spark, ROOT, repo="r1", snapshot="s"))
-    r2 = read_sources(list_sources(spark, ROOT, repo="r2", snapshot="s")).where(
+    r1 = read_sources(spark, ROOT, repo="r1", snapshot="s")
+    r2 = read_sources(spark, ROOT, repo="r2", snapshot="s").where(
         ~F.col("path").contains("HealthController"))
     facts = extract_facts(r1.unionByName(r2).where(F.col("source_set") == "production"))
     f = gold.split_facts(facts)
@@ -176,3 +176,31 @@ def test_two_repos_with_the_same_fqcn_never_mix(spark):
                                  "repo string, snapshot string, request_id int, verb string, path string")
     got = {r.request_id: r.status for r in gold.resolve_requests(reqs, e.endpoints).collect()}
     assert got == {1: "resolved", 2: "miss", 3: "resolved"}
+
+
+STEREO = "import org.springframework.stereotype.*;\nimport org.springframework.beans.factory.annotation.*;\n"
+
+
+def test_members_qualifiers_and_names_of_beans(spark):
+    """Same FQCN in two files (scope d), qualifiers on parameters and their written form (q), explicit
+    names by the stereotype list (n); one job over three snapshots."""
+    impl = "package {0};\n" + STEREO + "{3}@Service(\"{2}\") class {1} implements G {{}}"
+    files = {
+        ("d", "m1/S.java"): f"package p;\n{STEREO}@Service class S {{ A a; }}",
+        ("d", "m2/S.java"): f"package p;\n{STEREO}@Service class S {{ B b; }}",
+        ("d", "A.java"): f"package p;\n{STEREO}@Service class A {{}}", ("d", "B.java"): f"package p;\n{STEREO}@Service class B {{}}",
+        ("q", "G.java"): "package q;\ninterface G {}", ("q", "X.java"): "package q;\nclass X {}",
+        ("q", "F1.java"): impl.format("q", "F1", "one", ""), ("q", "F2.java"): impl.format("q", "F2", "two", ""),
+        ("q", "C.java"): "package q;\nimport org.springframework.context.annotation.*;\n" + STEREO
+                         + "@Configuration class C { @Bean X x(@Qualifier(\"two\") G g) { return null; } }",
+        ("q", "U.java"): f"package q;\n{STEREO}@Service class U {{ @Qualifier(\"one\") G a; @Qualifier(value = \"one\") G b; }}",
+        ("n", "G.java"): "package n;\ninterface G {}", ("n", "A.java"): impl.format("n", "A", "early", "@Component(\"late\") "),
+        ("n", "B.java"): f"package n;\n{STEREO}@Service class B implements G {{}}",
+        ("n", "U.java"): f"package n;\n{STEREO}@Service class U {{ @Qualifier(\"early\") G g; @Qualifier(\"late\") G h; }}"}
+    rows = [("r", s, p, c) for (s, p), c in files.items()]
+    src = spark.createDataFrame(rows, "repo string, snapshot string, path string, content string")
+    edges = gold.beans(gold.split_facts(extract_facts(src))).edges.collect()
+    got = {(e.bean, e.field_name): (e.kind, e.reason, e.target) for e in edges}
+    assert got == {("p.S", "b"): ("concrete", None, "p.B"), ("q.X", "g"): ("qualifier", None, "q.F2"),
+                   ("q.U", "a"): ("qualifier", None, "q.F1"), ("q.U", "b"): (None, "multiple-candidates", None),
+                   ("n.U", "g"): ("qualifier", None, "n.A"), ("n.U", "h"): (None, "multiple-candidates", None)}

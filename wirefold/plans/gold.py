@@ -51,6 +51,22 @@ def split_facts(facts: DataFrame) -> Facts:
                  fact_table(facts, "assigns"), fact_table(facts, "parse_failures"))
 
 
+def table_entries(f: Facts) -> Facts:
+    """The facts of the type-table entries alone: of files that declare the same FQCN, the one whose
+    type won brings its supertypes, members and annotations, the others nothing."""
+    entry = f.types.select(*K, "fqcn", "path")
+
+    def own(df, owner=None):
+        keyed = df if owner is None else df.withColumn("fqcn", owner)
+        kept = keyed.join(entry, [*K, "fqcn", "path"], "left_semi")
+        return kept.select(*df.columns)
+
+    by_id = _owner_class()
+    return f._replace(supertypes=own(f.supertypes), annotations=own(f.annotations, by_id), values=own(f.values, by_id),
+                      fields=own(f.fields), methods=own(f.methods), params=own(f.params), calls=own(f.calls),
+                      assigns=own(f.assigns))
+
+
 def _owner_class(owner_id: str = "owner_id") -> Column:
     return F.split(F.col(owner_id), "#").getItem(0)
 
@@ -286,6 +302,7 @@ def custom_stereotypes(f: Facts) -> DataFrame:
 
 
 def beans(f: Facts) -> Beans:
+    f = table_entries(f)
     types = f.types
     tann = f.annotations.where(F.col("owner_kind") == "type").select(
         *K, F.col("owner_id").alias("fqcn"), "ord", "simple_name", "text", "shape")
@@ -386,11 +403,15 @@ def beans(f: Facts) -> Beans:
 
 
 def _qualifiers(f: Facts, fann: DataFrame) -> DataFrame:
-    q = fann.where(F.col("simple_name") == "Qualifier").select(*K, "owner_id", F.col("ord").alias("annotation_ord"))
-    v = f.values.where((F.col("attr") == "value") & (F.col("expr_kind") == "literal")).select(
+    """The first ``@Qualifier`` of each site, if it is written ``@Qualifier("x")``; the named form
+    ``value = "x"`` and arrays say nothing."""
+    q = (fann.where(F.col("simple_name") == "Qualifier").groupBy(*K, "owner_id")
+         .agg(F.min(F.struct(F.col("ord").alias("annotation_ord"), "shape")).alias("_q"))
+         .select(*K, "owner_id", "_q.*").where(F.col("shape") == "single"))
+    v = f.values.where((F.col("attr") == "value") & (F.col("expr_kind") == "literal")
+                       & ~F.coalesce(F.col("in_array"), F.lit(False))).select(
         *K, "owner_id", "annotation_ord", F.col("expr_text").alias("qualifier"))
-    return q.join(v, [*K, "owner_id", "annotation_ord"], "inner").groupBy(*K, "owner_id").agg(
-        F.first("qualifier").alias("qualifier"))
+    return q.join(v, [*K, "owner_id", "annotation_ord"]).select(*K, "owner_id", "qualifier")
 
 
 def _repository_interfaces(f: Facts) -> DataFrame:
@@ -438,9 +459,12 @@ def _factory_params(f: Facts, universe: DataFrame) -> DataFrame:
                         method_ord="method_ord", produced="resolved", keys=K)
     p = p.where(~F.col("is_primitive") & ~F.col("type_written").isin(C.NON_BEAN_SIMPLE_TYPES)
                 & ~F.col("type_written").startswith("java.") & ~F.col("type_written").startswith("javax."))
-    return p.select(*K, "bean", (F.lit(1 << 20) + F.col("ord")).alias("site_ord"),
-                    F.col("name").alias("field_name"), "type_written", "type_args", "line", "path",
-                    F.lit(None).cast("string").alias("qualifier"))
+    p = p.withColumn("owner_id", F.concat("fqcn", F.lit("#m"), F.col("method_ord").cast("string"), F.lit("#p"),
+                                          F.col("ord").cast("string")))
+    qual = _qualifiers(f, f.annotations.where(F.col("owner_kind") == "param"))
+    return p.join(qual, [*K, "owner_id"], "left").select(
+        *K, "bean", (F.lit(1 << 20) + F.col("ord")).alias("site_ord"), F.col("name").alias("field_name"),
+        "type_written", "type_args", "line", "path", "qualifier")
 
 
 def _implementations(f: Facts, universe: DataFrame) -> DataFrame:
@@ -457,11 +481,12 @@ def _implementations(f: Facts, universe: DataFrame) -> DataFrame:
         F.bool_or(F.col("simple_name") == "Primary").alias("is_primary"),
         F.bool_or(CV.conditional_flag("simple_name")).alias("is_conditional"))
     explicit = (tann.where(F.col("simple_name").isin(C.STEREOTYPES) & (F.col("shape") == "single"))
-                .select(*K, F.col("owner_id").alias("bean_fqcn"), F.col("ord").alias("annotation_ord"),
-                        F.col("owner_id").alias("owner_id"))
-                .join(f.values.where(F.col("expr_kind") == "literal")
+                .select(*K, F.col("owner_id").alias("bean_fqcn"), F.col("ord").alias("annotation_ord"), "owner_id",
+                        F.array_position(F.array(*map(F.lit, C.STEREOTYPES)), F.col("simple_name")).alias("_rank"))
+                .join(f.values.where((F.col("expr_kind") == "literal") & ~F.coalesce(F.col("in_array"), F.lit(False)))
                       .select(*K, "owner_id", "annotation_ord", "expr_text"), [*K, "owner_id", "annotation_ord"])
-                .groupBy(*K, "bean_fqcn").agg(F.min_by("expr_text", "annotation_ord").alias("explicit")))
+                # the stereotype list decides, not the order in which they are written
+                .groupBy(*K, "bean_fqcn").agg(F.min_by("expr_text", F.struct("_rank", "annotation_ord")).alias("explicit")))
     simple = f.types.select(*K, F.col("fqcn").alias("bean_fqcn"), "simple_name")
     out = (impl.join(flags, [*K, "bean_fqcn"], "left").join(explicit, [*K, "bean_fqcn"], "left")
            .join(simple, [*K, "bean_fqcn"], "left"))
@@ -475,6 +500,7 @@ def _implementations(f: Facts, universe: DataFrame) -> DataFrame:
 
 def transactions(f: Facts) -> tuple[DataFrame, DataFrame]:
     """(tx_methods, self_invocations) for every class; interfaces are skipped."""
+    f = table_entries(f)
     ann = f.annotations
     own = (ann.where((F.col("owner_kind") == "method") & (F.col("simple_name") == "Transactional"))
            .select(*K, "owner_id").distinct().withColumn("own", F.lit(True)))

@@ -7,12 +7,8 @@ is read only for the files it keeps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values of the selection rule: directory names that are build output.
 EXCLUDED_DIR_NAMES = ["node_modules", "build", "target", "out", "bin"]
@@ -64,25 +60,20 @@ def _as_uri(spark: SparkSession, root: str) -> str:
     return "file:" + root
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
-
-    for pdf in batches:
-        texts = []
-        for uri in pdf["uri"]:
-            fs, p = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1)
-                                             if uri.startswith("file:/") and not uri.startswith("file:///")
-                                             else uri)
-            with fs.open_input_stream(p) as f:
-                texts.append(f.read().decode("utf-8", errors="replace"))
-        out = pdf.copy()
-        out["content"] = texts
-        yield out
-
-
-def read_sources(listed: DataFrame, *, keep=(PRODUCTION, TEST)) -> DataFrame:
-    """Content for the kept files only: tasks open their own files (any filesystem Arrow can
-    reach), so nothing passes through the driver."""
-    kept = listed.where(F.col("source_set").isin(list(keep)))
-    schema = T.StructType(list(kept.schema.fields) + [T.StructField("content", T.StringType(), True)])
-    return kept.mapInPandas(_read_batches, schema)
+def text_of(content) -> Column:
+    """UTF-8 text of file bytes; malformed bytes become U+FFFD, so one file never fails a job."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
+def read_sources(spark: SparkSession, root: str, *, repo: str, snapshot: str, keep=(PRODUCTION, TEST)) -> DataFrame:
+    """``list_sources`` with the content of the kept files, through Spark's own ``binaryFile``
+    reader, so every store that Spark reads works. Only ``.java`` files are opened."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.java").load(root))
+    rel = relative_to("path", _as_uri(spark, root))
+    return (files.select(
+        F.lit(repo).alias("repo"), F.lit(snapshot).alias("snapshot"),
+        F.col("path").alias("uri"), rel.alias("path"), F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified"), source_set(rel).alias("source_set"),
+        text_of("content").alias("content"))
+        .where(F.col("source_set").isin(list(keep))))
