@@ -1,8 +1,8 @@
 """Candidate-resolution operators bound to the driver tables.
 
-Customers are injection sites whose declared contract is their nation; suppliers are the
-candidate beans implementing their nation. The binding only shapes rows; every decision is made
-by the operators in ``wirefold.operators.candidates``.
+Customers are injection sites, suppliers candidate beans. A contract is a nation and a run of
+``PER_RUN`` supplier keys: about two suppliers implement each, however many there are. The binding
+only shapes rows; every decision is made by the operators in ``wirefold.operators.candidates``.
 """
 
 from __future__ import annotations
@@ -13,53 +13,76 @@ from wirefold.operators import candidates as C
 from wirefold.plans.registry import query, table
 
 
+PER_RUN = 50
+
+
+def _contract(nation, run):
+    return F.concat_ws(".", F.col(nation).cast("string"), run.cast("string"))
+
+
+def _site_contract(spark, sf_dir):
+    runs = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("n")).first().n // PER_RUN + 1
+    run = F.col("c_custkey") % runs
+    return _contract("c_nationkey", run), run
+
+
 def _suppliers(spark, sf_dir, dropped: bool):
     s = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", "s_name", "s_nationkey",
+        "s_suppkey", "s_name", _contract("s_nationkey", F.floor(F.col("s_suppkey") / PER_RUN)).alias("s_contract"),
         (F.col("s_acctbal") > 9000).alias("is_primary"),
         (F.col("s_acctbal") < 0).alias("is_conditional"))
     return s.where(F.col("s_suppkey") % 3 != 0) if dropped else s
 
 
 def _sites(spark, sf_dir):
-    qual = F.when(F.col("c_mktsegment") == "BUILDING",
-                  F.format_string("Supplier#%09d", (F.col("c_custkey") % 100).cast("int")))
+    contract, run = _site_contract(spark, sf_dir)
+    qual = F.when(F.col("c_mktsegment") == "BUILDING", F.format_string(
+        "Supplier#%09d", (run * PER_RUN + F.col("c_custkey") % PER_RUN).cast("int")))
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_nationkey", "c_mktsegment", qual.alias("qualifier"))
+        "c_custkey", contract.alias("contract"), "c_mktsegment", qual.alias("qualifier"))
 
 
 def candidate_edges(spark, sf_dir, dropped=False):
     sites = _sites(spark, sf_dir)
     cands = _suppliers(spark, sf_dir, dropped)
-    return C.resolve_candidate(sites, cands, contract="c_nationkey", qualifier="qualifier",
-                               cand_contract="s_nationkey", cand_id="s_suppkey",
+    return C.resolve_candidate(sites, cands, contract="contract", qualifier="qualifier",
+                               cand_contract="s_contract", cand_id="s_suppkey",
                                cand_name="s_name", cand_order="s_suppkey",
                                primary="is_primary", conditional="is_conditional")
 
 
+_SQL_SITES = """
+runs AS (SELECT max(s_suppkey) // 50 + 1 AS n FROM supplier),
+site AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_custkey % n AS run,
+                CAST(c_nationkey AS VARCHAR) || '.' || CAST(c_custkey % n AS VARCHAR) AS contract FROM customer, runs)"""
+_SQL_SUPPLIERS = """
+SELECT s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) || '.' || CAST(s_suppkey // 50 AS VARCHAR) AS s_contract,
+       s_acctbal > 9000 AS prim, s_acctbal < 0 AS cond FROM supplier"""
+
+
 def _sql_candidate(dropped: bool) -> str:
     where = "WHERE s_suppkey % 3 <> 0" if dropped else ""
     return f"""
-WITH s AS (SELECT s_suppkey, s_name, s_nationkey, s_acctbal > 9000 AS prim, s_acctbal < 0 AS cond
-           FROM supplier {where}),
-st AS (SELECT s_nationkey, count(*) AS n, count_if(prim) AS np, bool_or(cond) AS anyc,
+WITH {_SQL_SITES},
+s AS ({_SQL_SUPPLIERS} {where}),
+st AS (SELECT s_contract, count(*) AS n, count_if(prim) AS np, bool_or(cond) AS anyc,
               min(s_suppkey) AS first_id, min(CASE WHEN prim THEN s_suppkey END) AS prim_id
        FROM s GROUP BY 1),
-nm AS (SELECT s_nationkey, s_name, min(s_suppkey) AS id FROM s GROUP BY 1, 2),
-c AS (SELECT c_custkey, c_nationkey, c_mktsegment,
+nm AS (SELECT s_contract, s_name, min(s_suppkey) AS id FROM s GROUP BY 1, 2),
+c AS (SELECT c_custkey, contract, c_mktsegment,
              CASE WHEN c_mktsegment = 'BUILDING'
-                  THEN 'Supplier#' || lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0') END AS qualifier
-      FROM customer),
+                  THEN 'Supplier#' || lpad(CAST(run * 50 + c_custkey % 50 AS VARCHAR), 9, '0') END AS qualifier
+      FROM site),
 j AS (SELECT c.*, coalesce(st.n, 0) AS n, st.np, st.anyc, st.first_id, st.prim_id, nm.id AS named
-      FROM c LEFT JOIN st ON st.s_nationkey = c.c_nationkey
-             LEFT JOIN nm ON nm.s_nationkey = c.c_nationkey AND nm.s_name = c.qualifier),
+      FROM c LEFT JOIN st ON st.s_contract = c.contract
+             LEFT JOIN nm ON nm.s_contract = c.contract AND nm.s_name = c.qualifier),
 k AS (SELECT *, CASE WHEN n = 0 THEN NULL
                      WHEN qualifier IS NOT NULL AND named IS NOT NULL THEN 'qualifier'
                      WHEN qualifier IS NOT NULL THEN NULL
                      WHEN anyc THEN NULL
                      WHEN n = 1 THEN 'single-implementation'
                      WHEN np = 1 THEN 'primary' END AS kind FROM j)
-SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment, qualifier,
+SELECT c_custkey, contract, c_mktsegment, qualifier,
        CASE WHEN kind IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status, kind,
        CASE WHEN n = 0 THEN 'no-implementation-found'
             WHEN kind IS NOT NULL THEN NULL
@@ -74,13 +97,13 @@ FROM k"""
 
 @query("resolve_candidate", _sql_candidate(False))
 def q_resolve_candidate(spark, sf_dir):
-    """Every customer site resolved against the suppliers of its nation by the interface ladder."""
+    """Every customer site resolved against the suppliers of its contract by the interface ladder."""
     return candidate_edges(spark, sf_dir, dropped=False)
 
 
 @query("resolve_candidate_dropped", _sql_candidate(True))
 def q_resolve_candidate_dropped(spark, sf_dir):
-    """As resolve_candidate with every third supplier removed, so some contracts have none."""
+    """As resolve_candidate with every third supplier removed, so more contracts have none."""
     return candidate_edges(spark, sf_dir, dropped=True)
 
 
@@ -90,16 +113,16 @@ def _edges(spark, sf_dir):
     e = candidate_edges(spark, sf_dir, dropped=False)
     return e.select(F.concat(F.lit("C"), (F.col("c_custkey") / 10).cast("long").cast("string")).alias("bean"),
                     (F.col("c_custkey") % 10).alias("edge_ord"),
-                    F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("declared"),
+                    F.concat(F.lit("N"), "contract").alias("declared"),
                     F.concat(F.lit("S"), F.col("target").cast("string")).alias("target"),
-                    "status", "kind", "reason", "c_nationkey")
+                    "status", "kind", "reason", "contract")
 
 
 _SQL_EDGES = _sql_candidate(False)
 _SQL_EDGE_VIEW = f"""
 e AS (SELECT 'C' || CAST(c_custkey // 10 AS VARCHAR) AS bean, c_custkey % 10 AS edge_ord,
-             'N' || CAST(c_nationkey AS VARCHAR) AS declared, 'S' || CAST(target AS VARCHAR) AS target,
-             status, kind, reason, c_nationkey
+             'N' || contract AS declared, 'S' || CAST(target AS VARCHAR) AS target,
+             status, kind, reason, contract
       FROM ({_SQL_EDGES}))"""
 
 
@@ -130,11 +153,11 @@ def q_bean_dependencies(spark, sf_dir):
 
 @query("dependents", f"""
 WITH {_SQL_EDGE_VIEW},
-s AS (SELECT s_suppkey, s_nationkey FROM supplier),
+s AS ({_SQL_SUPPLIERS}),
 req AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS type_name FROM supplier
-        UNION SELECT 'N' || CAST(n_nationkey AS VARCHAR) FROM nation),
+        UNION SELECT 'N' || s_contract FROM s),
 ec AS (SELECT e.bean, e.edge_ord, 'S' || CAST(s.s_suppkey AS VARCHAR) AS candidate
-       FROM e JOIN s ON s.s_nationkey = e.c_nationkey WHERE e.status = 'unresolved'
+       FROM e JOIN s ON s.s_contract = e.contract WHERE e.status = 'unresolved'
        AND e.reason IN ('multiple-candidates', 'conditional-candidates')),
 v AS (SELECT r.type_name, e.bean, e.edge_ord, 1 AS rk FROM req r JOIN e ON e.target = r.type_name
       UNION ALL SELECT r.type_name, e.bean, e.edge_ord, 2 FROM req r JOIN e ON e.declared = r.type_name
@@ -143,16 +166,15 @@ SELECT type_name, bean, edge_ord,
        CASE min(rk) WHEN 1 THEN 'target' WHEN 2 THEN 'declared-type' ELSE 'candidate' END AS via
 FROM v GROUP BY type_name, bean, edge_ord""")
 def q_dependents(spark, sf_dir):
-    """Who depends on each supplier and nation: via target, else declared type, else candidate."""
+    """Who depends on each supplier and contract: via target, else declared type, else candidate."""
     e = _edges(spark, sf_dir)
-    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    sup = _suppliers(spark, sf_dir, dropped=False).select("s_suppkey", "s_contract")
     unresolved = e.where((F.col("status") == "unresolved")
                          & F.col("reason").isin(C.REASON_MULTIPLE, C.REASON_CONDITIONAL))
-    ec = unresolved.join(sup, F.col("s_nationkey") == F.col("c_nationkey")).select(
+    ec = unresolved.join(sup, F.col("s_contract") == F.col("contract")).select(
         "bean", "edge_ord", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("candidate"))
     req = (sup.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("type_name"))
-           .unionByName(table(spark, sf_dir, "nation").select(
-               F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("type_name"))))
+           .unionByName(sup.select(F.concat(F.lit("N"), "s_contract").alias("type_name"))))
     return C.dependents(req, e, ec, req_type="type_name", bean="bean", edge_ord="edge_ord",
                         target="target", declared="declared", candidate="candidate")
 
@@ -196,8 +218,9 @@ _SEG_CONTAINER = {"BUILDING": ("List", "[nation]"), "FURNITURE": ("Set", "[natio
                   "MACHINERY": ("Map", "['Long', nation]"), "HOUSEHOLD": ("List", "[]")}
 
 
-@query("resolve_collection", """
-WITH c AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment FROM customer),
+@query("resolve_collection", f"""
+WITH {_SQL_SITES.replace('site AS', 'c0 AS')},
+c AS (SELECT c_custkey, contract AS nation, c_mktsegment FROM c0),
 site AS (SELECT c_custkey,
            CASE c_mktsegment WHEN 'BUILDING' THEN 'List' WHEN 'FURNITURE' THEN 'Set'
                 WHEN 'HOUSEHOLD' THEN 'List' ELSE 'Map' END AS container,
@@ -207,7 +230,7 @@ el AS (SELECT c_custkey, container, args,
           CASE WHEN container = 'Map' THEN len(args) = 2 AND args[1] = 'String' ELSE len(args) = 1 END AS ok
        FROM site),
 el2 AS (SELECT *, CASE WHEN ok THEN (CASE WHEN container = 'Map' THEN args[2] ELSE args[1] END) END AS elem FROM el),
-im AS (SELECT CAST(s_nationkey AS VARCHAR) AS contract, s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)
+im AS (SELECT s_contract AS contract, s_suppkey FROM ({_SQL_SUPPLIERS}))
 SELECT e.c_custkey, e.container, array_to_string(e.args, ',') AS args,
        CASE WHEN ok AND im.s_suppkey IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
        CASE WHEN ok AND im.s_suppkey IS NOT NULL THEN 'collection' END AS kind,
@@ -215,9 +238,9 @@ SELECT e.c_custkey, e.container, array_to_string(e.args, ',') AS args,
        CASE WHEN ok THEN im.s_suppkey END AS candidate
 FROM el2 e LEFT JOIN im ON im.contract = e.elem""")
 def q_resolve_collection(spark, sf_dir):
-    """Collection sites (List/Set/Map of a nation by market segment) -> all implementations."""
+    """Collection sites (List/Set/Map of a contract by market segment) -> all implementations."""
     seg = F.col("c_mktsegment")
-    nation = F.col("c_nationkey").cast("string")
+    nation, _ = _site_contract(spark, sf_dir)
     container = (F.when(seg == "BUILDING", "List").when(seg == "FURNITURE", "Set")
                  .when(seg == "HOUSEHOLD", "List").otherwise("Map"))
     args = (F.when(seg == "AUTOMOBILE", F.array(F.lit("String"), nation))
@@ -226,10 +249,9 @@ def q_resolve_collection(spark, sf_dir):
             .otherwise(F.array(nation)))
     sites = table(spark, sf_dir, "customer").select("c_custkey", container.alias("container"),
                                                     args.alias("type_args"))
-    sup = _suppliers(spark, sf_dir, dropped=True)
-    impls = C.implementations(sup.select("s_suppkey"),
-                              sup.select("s_suppkey", F.col("s_nationkey").cast("string").alias("n")),
-                              bean="s_suppkey", bean_ord="s_suppkey", contract="n")
+    sup = _suppliers(spark, sf_dir, dropped=False)
+    impls = C.implementations(sup.select("s_suppkey"), sup.select("s_suppkey", "s_contract"),
+                              bean="s_suppkey", bean_ord="s_suppkey", contract="s_contract")
     out = C.resolve_collection(sites, impls, container="container", type_args="type_args")
     return out.select("c_custkey", "container", F.array_join("type_args", ",").alias("args"),
                       "status", "kind", "reason", "candidate")
