@@ -183,21 +183,39 @@ def known_types(*names: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def resolve_constant(refs: DataFrame, rungs: Sequence[tuple[str, DataFrame]], *, ref_id: Sequence[str],
+def resolve_constant(refs: DataFrame, rungs: Sequence[tuple[str, DataFrame, Sequence[str]]], *,
                      value: str = "value", order: str = "ord") -> DataFrame:
     """Best constant per reference over an ordered list of candidate sources.
 
-    Each rung is ``(name, candidates)`` with ``ref_id`` columns, ``value`` and ``order`` (e.g. the
-    static-import position). The answer is ``min_by(value, (rung, order))``; refs with no
-    candidate keep a null value and rung (a reported miss, not a guess).
+    Each rung is ``(name, lookup, on)``: ``lookup`` holds the columns ``on`` that it shares with the
+    refs, ``value`` and ``order`` (e.g. the static-import position; the lowest wins a key). The
+    first rung with a value decides; refs with none keep a null value and rung (a reported miss,
+    not a guess). Refs pass a chain of many-to-one left joins and are never regrouped.
     """
-    ref_id = list(ref_id)
-    cands = None
-    for i, (name, df) in enumerate(rungs):
-        c = df.select(*ref_id, F.col(value).alias("_v"),
-                      F.struct(F.lit(i).alias("r"), F.col(order).alias("o")).alias("_o"),
-                      F.lit(name).alias("_rn"))
-        cands = c if cands is None else cands.unionByName(c)
-    best = cands.groupBy(*ref_id).agg(F.min_by(F.struct("_v", "_rn"), "_o").alias("_b"))
-    out = refs.join(best, ref_id, "left")
-    return out.select(*refs.columns, F.col("_b._v").alias(value), F.col("_b._rn").alias("rung"))
+    out, names = refs, F.lit(None).cast("string")
+    for i, (_, lookup, on) in enumerate(rungs):
+        best = lookup.groupBy(*on).agg(F.min_by(value, order).alias(f"_v{i}"))
+        out = out.join(best, list(on), "left")
+    for i, (name, _, _) in reversed(list(enumerate(rungs))):
+        names = F.when(F.col(f"_v{i}").isNotNull(), F.lit(name)).otherwise(names)
+    return out.select(*refs.columns, F.coalesce(*[F.col(f"_v{i}") for i in range(len(rungs))]).alias(value),
+                      names.alias("rung"))
+
+
+def lookup_answer(look: DataFrame, parts: Sequence[tuple[str, DataFrame]], *, req_id: str,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Whole answers to name lookups, long form: ``req_id, status, part, item, detail``.
+
+    ``look`` is ``lookup_outcome``'s result; each part is ``(name, rows)`` with ``candidate, item,
+    detail``. A found name gives a ``type`` row with the type, then every row of every part; an
+    ambiguous one a ``match`` row per candidate; a name that is not found one row without part.
+    """
+    keys = list(keys)
+    head = F.when(F.col("status") == LOOKUP_FOUND, "type").when(F.col("status") == LOOKUP_AMBIGUOUS, "match")
+    out = look.select(*keys, req_id, "status", head.alias("part"), F.col("candidate").alias("item"),
+                      F.lit(None).cast("string").alias("detail"))
+    found = look.where(F.col("status") == LOOKUP_FOUND).select(*keys, req_id, "status", "candidate")
+    for name, rows in parts:
+        out = out.unionByName(found.join(rows, [*keys, "candidate"]).select(
+            *keys, req_id, "status", F.lit(name).alias("part"), F.col("item").cast("string").alias("item"), "detail"))
+    return out

@@ -116,32 +116,40 @@ def q_constants(spark, sf_dir):
 
 
 @query("test_wiring", f"""WITH {BT._SQL_ROLES},
-req AS (SELECT DISTINCT user_id AS request_id,
-          CASE WHEN user_id % 10 = 0 THEN 'X' ELSE 'U' END || CAST(user_id AS VARCHAR) AS name FROM events),
-per AS (SELECT 'U' || CAST(test AS VARCHAR) AS cls, count_if(role = 'real') AS n_real,
-          count_if(role = 'mocked') AS n_mocked, count_if(status = 'unresolved') AS n_unresolved FROM dr GROUP BY 1)
-SELECT req.request_id, CASE WHEN per.cls IS NULL THEN 'not-found' ELSE 'found' END AS status,
-       CAST(coalesce(n_real, 0) AS BIGINT) AS n_real, CAST(coalesce(n_mocked, 0) AS BIGINT) AS n_mocked,
-       CAST(coalesce(n_unresolved, 0) AS BIGINT) AS n_unresolved
-FROM req LEFT JOIN per ON per.cls = req.name""")
+ent AS (SELECT DISTINCT user_id AS test, 'p' || CAST(user_id % 2 AS VARCHAR) || '.U' || CAST(user_id // 2 AS VARCHAR) AS cls,
+          'U' || CAST(user_id // 2 AS VARCHAR) AS simple FROM events),
+req AS (SELECT test AS request_id, CASE WHEN test % 10 = 0 THEN 'X' WHEN test % 3 = 0 THEN simple ELSE cls END AS name FROM ent),
+hit AS (SELECT request_id, cls, test FROM req JOIN ent ON cls = name UNION SELECT request_id, cls, test FROM req JOIN ent ON simple = name),
+st AS (SELECT request_id, cls, test, CASE count(cls) OVER (PARTITION BY request_id) WHEN 0 THEN 'not-found' WHEN 1 THEN 'found'
+          ELSE 'ambiguous' END AS status FROM req LEFT JOIN hit USING (request_id)),
+m AS (SELECT test, 'role' AS part, type_fqcn AS item, role || coalesce(':' || kind, '') AS detail FROM dr WHERE role IS NOT NULL
+      UNION ALL SELECT test, 'unresolved', type_fqcn, annotation FROM dr WHERE role IS NULL
+      UNION ALL SELECT test, 'static', type_fqcn, scope FROM ({ORACLE['static_roles']}) WHERE role IS NOT NULL
+      UNION ALL SELECT user_id, 'context', CAST(is_context AS VARCHAR), NULL FROM ({ORACLE['context_slice_flag']}))
+SELECT request_id, status, CASE status WHEN 'found' THEN 'type' WHEN 'ambiguous' THEN 'match' END AS part, cls AS item, NULL AS detail FROM st
+UNION ALL SELECT request_id, status, part, item, detail FROM st JOIN m USING (test) WHERE status = 'found'""")
 def q_test_wiring(spark, sf_dir):
-    """testWiring for every user name (every tenth asked under an unknown name): lookup, then
-    role and unresolved counts of the test class."""
-    roles = BT._annotations(spark, sf_dir)
-    cls = F.concat(F.lit("U"), F.col("test").cast("string"))
-    per = roles.groupBy(cls.alias("candidate")).agg(
-        F.count_if(F.col("role") == "real").alias("n_real"),
-        F.count_if(F.col("role") == "mocked").alias("n_mocked"),
-        F.count_if(F.col("status") == "unresolved").alias("n_unresolved"))
-    ev = table(spark, sf_dir, "events").select("user_id").distinct()
-    req = ev.select(F.col("user_id").alias("request_id"),
-                    F.concat(F.when(F.col("user_id") % 10 == 0, F.lit("X")).otherwise(F.lit("U")),
-                             F.col("user_id").cast("string")).alias("name"))
-    ents = per.select(F.col("candidate").alias("qualified"), F.col("candidate").alias("simple"))
+    """testWiring for every test class: by its qualified name, by a simple name that two share, or by
+    an unknown name. Its roles with kinds, annotations that do not resolve, static freezes with
+    their scope and whether it starts a context; the matches of an ambiguous name."""
+    cls = lambda c: F.format_string("p%d.U%d", (F.col(c) % 2).cast("int"), F.floor(F.col(c) / 2).cast("long"))
+    simple = lambda c: F.concat(F.lit("U"), F.floor(F.col(c) / 2).cast("string"))
+    dr = BT._annotations(spark, sf_dir).withColumn("candidate", cls("test"))
+    roles = dr.where("role is not null").select("candidate", F.col("type_fqcn").alias("item"),
+                                                F.concat_ws(":", "role", "kind").alias("detail"))
+    unresolved = dr.where("role is null").select("candidate", F.col("type_fqcn").alias("item"),
+                                                 F.col("annotation").alias("detail"))
+    static = (QUERIES["static_roles"](spark, sf_dir).where("role is not null")
+              .select(cls("test").alias("candidate"), F.col("type_fqcn").alias("item"), F.col("scope").alias("detail")))
+    context = QUERIES["context_slice_flag"](spark, sf_dir).select(
+        cls("user_id").alias("candidate"), F.col("is_context").cast("string").alias("item"),
+        F.lit(None).cast("string").alias("detail"))
+    tests = table(spark, sf_dir, "events").select("user_id").distinct()
+    u = F.col("user_id")
+    req = tests.select(u.alias("request_id"), F.when(u % 10 == 0, "X").when(u % 3 == 0, simple("user_id"))
+                       .otherwise(cls("user_id")).alias("name"))
+    ents = tests.select(cls("user_id").alias("qualified"), simple("user_id").alias("simple"))
     look = RS.lookup_outcome(req, ents, req_id="request_id", name="name", qualified="qualified",
                              simple="simple", mode="simple")
-    out = look.join(per, "candidate", "left")
-    return out.select("request_id", F.when(F.col("status") == "found", "found").otherwise("not-found")
-                      .alias("status"),
-                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                        for c in ("n_real", "n_mocked", "n_unresolved")])
+    return RS.lookup_answer(look, [("role", roles), ("unresolved", unresolved), ("static", static), ("context", context)],
+                            req_id="request_id")

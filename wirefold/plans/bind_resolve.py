@@ -167,13 +167,10 @@ def q_resolve_constant(spark, sf_dir):
     li = (table(spark, sf_dir, "lineitem").select(*ref_id)
           .join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey", "left")
           .select(*ref_id, "p_brand"))
-    keyed = li.select(*ref_id, "p_brand").distinct()
-    own = keyed.join(consts.select(F.col("p_partkey").alias("l_partkey"),
-                                   F.col("p_retailprice").alias("value")), "l_partkey") \
-        .withColumn("ord", F.lit(0))
-    brand_best = consts.groupBy("p_brand").agg(F.min("p_retailprice").alias("value"))
-    brand = keyed.join(brand_best, "p_brand").withColumn("ord", F.lit(0))
-    out = RS.resolve_constant(li, [("own", own), ("brand", brand)], ref_id=ref_id)
+    price = F.col("p_retailprice").alias("value")
+    own = consts.select(F.col("p_partkey").alias("l_partkey"), price, F.lit(0).alias("ord"))
+    brand = consts.select("p_brand", price, F.col("p_retailprice").alias("ord"))
+    out = RS.resolve_constant(li, [("own", own, ["l_partkey"]), ("brand", brand, ["p_brand"])])
     return out.select(*ref_id, "value", "rung")
 
 

@@ -86,40 +86,51 @@ def q_self_invocation(spark, sf_dir):
     return _self_calls(spark, sf_dir)
 
 
+_SQL_CLASS = "'r' || CAST({k} % 5 AS VARCHAR) || '.ord' || CAST({k} // 5 AS VARCHAR)"
+
+
+def _class_name(key: str):
+    return F.format_string("r%d.ord%d", (F.col(key) % 5).cast("int"), F.floor(F.col(key) / 5).cast("long"))
+
+
 @query("tx_answer", f"""WITH {_SQL_FLAGS}, {_SQL_CALLS},
+ent AS (SELECT DISTINCT {_SQL_CLASS.format(k='l_orderkey')} AS cls, split_part({_SQL_CLASS.format(k='l_orderkey')}, '.', 2) AS tail
+        FROM lineitem),
 req AS (SELECT o_orderkey AS request_id,
-          CASE WHEN o_orderkey % 10 = 0 THEN 'ord.x' ELSE 'ord.' END || CAST(o_orderkey AS VARCHAR) AS name
-        FROM orders),
-m AS (SELECT 'ord.' || CAST(l_orderkey AS VARCHAR) AS cls, count(*) AS n_methods,
-        count_if(transactional) AS n_transactional, count_if(dead) AS n_dead FROM g GROUP BY 1),
-s AS (SELECT 'ord.' || CAST(l_orderkey AS VARCHAR) AS cls, count(*) AS n_self FROM si GROUP BY 1)
-SELECT req.request_id, CASE WHEN m.cls IS NULL THEN 'not-found' ELSE 'found' END AS status,
-       CAST(coalesce(m.n_methods, 0) AS BIGINT) AS n_methods,
-       CAST(coalesce(m.n_transactional, 0) AS BIGINT) AS n_transactional,
-       CAST(coalesce(m.n_dead, 0) AS BIGINT) AS n_dead,
-       CAST(coalesce(s.n_self, 0) AS BIGINT) AS n_self_invocations
-FROM req LEFT JOIN m ON m.cls = req.name LEFT JOIN s ON s.cls = req.name""")
+          CASE WHEN o_orderkey % 10 = 0 THEN 'ord.x' WHEN o_orderkey % 3 = 0 THEN 'ord' || CAST(o_orderkey // 5 AS VARCHAR)
+               ELSE {_SQL_CLASS.format(k='o_orderkey')} END AS name FROM orders),
+hit AS (SELECT request_id, cls FROM req JOIN ent ON cls = name
+        UNION SELECT request_id, cls FROM req JOIN ent ON tail = name WHERE name NOT IN (SELECT cls FROM ent)),
+look AS (SELECT request_id, cls, count(cls) OVER (PARTITION BY request_id) AS n FROM req LEFT JOIN hit USING (request_id)),
+st AS (SELECT request_id, cls, CASE n WHEN 0 THEN 'not-found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM look),
+m AS (SELECT {_SQL_CLASS.format(k='l_orderkey')} AS cls, 'method' AS part, CAST(l_linenumber AS VARCHAR) AS item,
+        CAST(transactional AS VARCHAR) || ':' || source AS detail FROM g
+      UNION ALL SELECT {_SQL_CLASS.format(k='l_orderkey')}, 'dead-annotation', CAST(l_linenumber AS VARCHAR), NULL FROM g WHERE dead
+      UNION ALL SELECT {_SQL_CLASS.format(k='l_orderkey')}, 'self-call', CAST(caller AS VARCHAR) || '>' || CAST(callee AS VARCHAR), receiver FROM si)
+SELECT request_id, status, CASE status WHEN 'found' THEN 'type' WHEN 'ambiguous' THEN 'match' END AS part, cls AS item, NULL AS detail FROM st
+UNION ALL SELECT request_id, status, part, item, detail FROM st JOIN m USING (cls) WHERE status = 'found'""")
 def q_tx_answer(spark, sf_dir):
-    """transactionalBoundaries for every order name: lookup, then method and self-call counts."""
-    flags = _flags(spark, sf_dir)
-    cls = F.concat(F.lit("ord."), F.col("l_orderkey").cast("string"))
-    per_class = flags.groupBy(cls.alias("candidate")).agg(
-        F.count("*").alias("n_methods"), F.count_if("transactional").alias("n_transactional"),
-        F.count_if("dead").alias("n_dead"))
-    selfs = (_self_calls(spark, sf_dir).groupBy(cls.alias("candidate"))
-             .agg(F.count("*").alias("n_self_invocations")))
+    """transactionalBoundaries for every order: by its qualified name, by a last part that several
+    share, or by an unknown name. Methods with their flag and its source, annotations on private
+    methods, self calls; the matches of an ambiguous name."""
+    flags = _flags(spark, sf_dir).withColumn("candidate", _class_name("l_orderkey"))
+    item = F.col("l_linenumber").cast("string").alias("item")
+    none = F.lit(None).cast("string").alias("detail")
+    methods = flags.select("candidate", item, F.concat_ws(":", F.col("transactional").cast("string"), "source").alias("detail"))
+    dead = flags.where("dead").select("candidate", item, none)
+    selfs = _self_calls(spark, sf_dir).select(
+        _class_name("l_orderkey").alias("candidate"),
+        F.concat_ws(">", F.col("caller").cast("string"), F.col("callee").cast("string")).alias("item"),
+        F.col("receiver").alias("detail"))
+    k = F.col("o_orderkey")
     req = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"),
-        F.concat(F.when(F.col("o_orderkey") % 10 == 0, F.lit("ord.x")).otherwise(F.lit("ord.")),
-                 F.col("o_orderkey").cast("string")).alias("name"))
-    ents = per_class.select(F.col("candidate").alias("qualified"))
-    look = RS.lookup_outcome(req, ents, req_id="request_id", name="name", qualified="qualified",
-                             mode="suffix")
-    out = look.join(per_class, "candidate", "left").join(selfs, "candidate", "left")
-    return out.select("request_id", F.when(F.col("status") == "found", "found")
-                      .otherwise("not-found").alias("status"),
-                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                        for c in ("n_methods", "n_transactional", "n_dead", "n_self_invocations")])
+        k.alias("request_id"),
+        F.when(k % 10 == 0, "ord.x").when(k % 3 == 0, F.concat(F.lit("ord"), F.floor(k / 5).cast("string")))
+        .otherwise(_class_name("o_orderkey")).alias("name"))
+    ents = table(spark, sf_dir, "lineitem").select(_class_name("l_orderkey").alias("qualified")).distinct()
+    look = RS.lookup_outcome(req, ents, req_id="request_id", name="name", qualified="qualified", mode="suffix")
+    return RS.lookup_answer(look, [("method", methods), ("dead-annotation", dead), ("self-call", selfs)],
+                            req_id="request_id")
 
 
 # --- test roles ------------------------------------------------------------------------------

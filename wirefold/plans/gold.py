@@ -157,8 +157,8 @@ def resolve_values(f: Facts) -> DataFrame:
               .select(*ref_id, "value", F.lit(0).alias("_rord")))
     lit = v.where(F.col("expr_kind") == "literal").select(*ref_id, F.col("expr_text").alias("value"),
                                                           F.lit(0).alias("_rord"))
-    out = RS.resolve_constant(v, [("literal", lit), ("own", own), ("static-import", via_static),
-                                  ("qualified", via_fa)], ref_id=ref_id, order="_rord")
+    out = RS.resolve_constant(v, [("literal", lit, ref_id), ("own", own, ref_id), ("static-import", via_static, ref_id),
+                                  ("qualified", via_fa, ref_id)], order="_rord")
     return out
 
 
