@@ -99,6 +99,17 @@ def route_resolve(requests: DataFrame, routes: DataFrame, *, keys: Sequence[str]
                           .otherwise(F.lit("resolved")))
 
 
+UNKNOWN_SCOPE = "unknown_scope"
+
+
+def with_unknown_scopes(answers: DataFrame, scopes: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """Requests about a scope that was never indexed get the status ``unknown_scope``, which is not
+    a miss: ``scopes`` lists the indexed ones."""
+    known = scopes.select(*keys).distinct().withColumn("_known", F.lit(True))
+    out = answers.join(known, list(keys), "left")
+    return out.withColumn("status", F.when(F.col("_known"), F.col("status")).otherwise(F.lit(UNKNOWN_SCOPE))).drop("_known")
+
+
 # --- verbs, paths, expansion, inheritance, unresolved ------------------------------------------
 
 # Fixed values of the endpoint rules.
