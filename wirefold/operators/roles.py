@@ -109,6 +109,28 @@ def role_usage(roles: DataFrame, *, type_col: str, role: str, test: str,
     return roles.where(F.col(role).isNotNull()).select(*keys, type_col, role, test).distinct()
 
 
+def usage_answer(requested: DataFrame, roles: DataFrame, context_tests: DataFrame, *, type_col: str,
+                 role: str, test: str, keys: Sequence[str]) -> DataFrame:
+    """testDoubleUsage for requested types: ``keys, type, bucket, n_tests`` for each of the three roles
+    and ``unclassified`` (context tests of the scope that mention the type in no role). An unknown
+    type has three empty buckets and every context test unclassified. Counts only, no pairing:
+    unclassified = context tests - context tests that mention the type."""
+    keys = list(keys)
+    req = requested.select(*keys, type_col).distinct()
+    used = role_usage(roles, type_col=type_col, role=role, test=test, keys=keys)
+    per = used.groupBy(*keys, type_col, F.col(role).alias("bucket")).agg(F.count("*").alias("n_tests"))
+    ctx = context_tests.select(*keys, test).distinct()
+    total = ctx.groupBy(*keys).agg(F.count("*").alias("_all"))
+    mention = (used.select(*keys, type_col, test).distinct().join(ctx, [*keys, test], "left_semi")
+               .groupBy(*keys, type_col).agg(F.count("*").alias("_some")))
+    free = (req.join(total, keys, "left").join(mention, [*keys, type_col], "left")
+            .select(*keys, type_col, F.lit("unclassified").alias("bucket"),
+                    (F.coalesce("_all", F.lit(0)) - F.coalesce("_some", F.lit(0))).alias("n_tests")))
+    buckets = req.withColumn("bucket", F.explode(F.array(*map(F.lit, ROLES))))
+    found = buckets.join(per, [*keys, type_col, "bucket"], "left").fillna(0, ["n_tests"])
+    return found.select(*keys, type_col, "bucket", "n_tests").unionByName(free)
+
+
 def unclassified_context(requested: DataFrame, context_tests: DataFrame, roles: DataFrame, *,
                          type_col: str, test: str, keys: Sequence[str] = ()) -> DataFrame:
     """Context tests that never mention a requested type in any role. The pairing is an

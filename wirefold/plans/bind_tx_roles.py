@@ -204,6 +204,26 @@ def q_unclassified_context(spark, sf_dir):
     return out.select("type_fqcn", "test")
 
 
+@query("role_usage_request", f"""WITH {_SQL_ROLES},
+req AS (SELECT DISTINCT user_id // 8 AS repo, 'T' || CAST(event_id % 40 AS VARCHAR) AS type_fqcn FROM events),
+used AS (SELECT DISTINCT test // 8 AS repo, type_fqcn, role, test FROM dr WHERE role IS NOT NULL),
+ctx AS (SELECT DISTINCT user_id // 8 AS repo, user_id AS test FROM events WHERE user_id % 2 = 0)
+SELECT r.repo, r.type_fqcn, b.bucket, (SELECT count(*) FROM used u WHERE u.repo = r.repo AND u.type_fqcn = r.type_fqcn
+         AND u.role = b.bucket) AS n_tests
+FROM req r, (VALUES ('real'), ('mocked'), ('static')) b(bucket)
+UNION ALL
+SELECT r.repo, r.type_fqcn, 'unclassified', (SELECT count(*) FROM ctx c WHERE c.repo = r.repo AND NOT EXISTS (
+         SELECT 1 FROM used u WHERE u.repo = c.repo AND u.type_fqcn = r.type_fqcn AND u.test = c.test)) FROM req r""")
+def q_role_usage_request(spark, sf_dir):
+    """testDoubleUsage for types of eight-user repositories, three of which no test ever names."""
+    repo = lambda user: F.floor(F.col(user) / 8).alias("repo")
+    ev = table(spark, sf_dir, "events").select("*", repo("user_id"))
+    req = ev.select("repo", F.concat(F.lit("T"), (F.col("event_id") % 40).cast("string")).alias("type_fqcn"))
+    roles = _annotations(spark, sf_dir).select("*", repo("test"))
+    ctx = ev.where(F.col("user_id") % 2 == 0).select("repo", F.col("user_id").alias("test"))
+    return RL.usage_answer(req, roles, ctx, type_col="type_fqcn", role="role", test="test", keys=["repo"])
+
+
 _CONSTRUCT_SQL = """
 v AS (SELECT event_id, user_id AS test,
         CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'mock' WHEN 'purchase' THEN 'spy'
