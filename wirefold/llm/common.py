@@ -38,6 +38,19 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Texts that go to a Python worker at a time.
+TEXTS_PER_BATCH = 1_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were brought down to ``TEXTS_PER_BATCH`` rows: a
+    worker and its executor hold a few MB of texts at a time, long ones included."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
+        conf.set(key, TEXTS_PER_BATCH)
+    return df
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into a new folder under the shared checkpoint folder and read it
     back: the lineage is cut and every executor can read the rows again after a loss."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import query, store, table
+from wirefold.llm.common import query, store, table, text_batches
 from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of a window (an item of fewer is one window) and of the shingles that it is a set of.
@@ -86,7 +86,7 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         _windows, f"item_id {items.schema['item_id'].dataType.simpleString()}, window binary, size int, k int, o int, shingle long"))
     sizes = [r.k for r in parts.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE values
     known = spark.sparkContext.broadcast(bitmap(parts, "shingle", FILTER_BITS))
-    seen = store(docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
+    seen = store(text_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"),
                              _candidates(known, sizes)("text").alias("c"))
                  .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "c.*"))
     found = seen.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")

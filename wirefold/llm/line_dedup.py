@@ -1,81 +1,128 @@
-"""Fuzzy duplicate lines by MinHash, in DataFrame operations throughout."""
+"""Fuzzy duplicate lines by MinHash, banding, exact Jaccard check and union-find."""
 
 from __future__ import annotations
 
-import random
+import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import components, lower_ascii, query, store, table
-
-#: Characters of a shingle, minima of a signature, bands, minima of a band, similarity in percent.
-SHINGLE, MINIMA, BANDS, ROWS, PERCENT = 8, 16, 16, 5, 80
-#: Keys of at most so many lines (16 bytes each) are sent to all tasks; more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
-
-_fixed = random.Random("line-dedup-1")
-#: Masks of the minima: their leading bits differ, so that they look at different ends of the hashes.
-MASKS = [((i << 60) | _fixed.getrandbits(60)) - (1 << 64 if i >= 8 else 0) for i in range(MINIMA)]
-BAND_ROWS = [sorted(_fixed.sample(range(MINIMA), ROWS)) for _ in range(BANDS)]
-
-
-def normal(line):
-    """White space runs as one blank, none outside, A-Z lower-cased."""
-    return lower_ascii(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` (from 0), the normal ``line`` and its 128-bit key ``k1, k2``; lines
-    without a word are left out."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "raw"))
-    return (rows.select("doc_id", F.col("line_no").cast("long"), normal(F.col("raw")).alias("line")).where("line <> ''")
-            .withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit("second"), "line")}))
-
-
-def _wide(line):
-    return F.encode(line, "UTF-32")
-
-
-def _last(wide):
-    """Where the last shingle starts; a shorter line is one shingle."""
-    return F.greatest(F.lit(0), F.expr("octet_length(wide) div 4").cast("int") - SHINGLE)
-
-
-def _hash(at):
-    return F.xxhash64(F.substring(F.col("wide"), at * 4 + 1, F.lit(4 * SHINGLE)))
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """``k1, k2, m0 ..`` for each distinct line: minima of its shingle hashes under the masks."""
-    shingles = (lines.select("k1", "k2", _wide(F.col("line")).alias("wide"))
-                .select("k1", "k2", "wide", F.explode(F.sequence(F.lit(0), _last("wide"))).alias("at"))
-                .select("k1", "k2", _hash(F.col("at")).alias("h")))
-    return shingles.groupBy("k1", "k2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}")
-                                              for i, m in enumerate(MASKS)])
-
-
-def _verify(pairs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets have the wanted Jaccard similarity."""
-    wanted = ids.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
-    wanted = store(wanted)
-    keys = wanted.select("id", F.col("k1").alias("w1"), F.col("k2").alias("w2"))
-    if wanted.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = (lines.join(keys, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-             .groupBy("id").agg(F.first("line").alias("line")))
-    texts = store(texts)
-
-    def elements(line):
-        shingle = lambda at: F.xxhash64(F.substring(_wide(line), at * 4 + 1, F.lit(4 * SHINGLE)))
-        last = F.greatest(F.lit(0), F.length(line) - SHINGLE)
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), shingle))
-
-    sets = texts.select("id", elements(F.col("line")).alias("s"))
-    both = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-            .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
-                    F.size(F.array_intersect("sa", "sb")).alias("both")))
-    return both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
+from wirefold.llm.common import components, query, store, table, text_batches
+from wirefold.llm.ngram_join import verify_pairs
+from wirefold.llm.words import _mixed, bitmap, in_bitmap
+
+#: Characters of a shingle, minima of a signature, bands, minima of a band (similarity: as in ``verify_pairs``).
+SHINGLE, MINIMA, BANDS, ROWS = 8, 20, 16, 5
+#: Bits of the filter for lines to read again; characters of lines hashed side by side.
+FILTER_BITS, CHARACTERS = 25, 2_000_000
+
+_fixed = np.random.Generator(np.random.PCG64(1))
+_FACTORS = _fixed.integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_ROWS = [np.sort(_fixed.permutation(MINIMA)[:ROWS]) for _ in range(BANDS)]
+_POWERS = [np.uint64(pow(0xD1342543DE82EF93, 1 << i, 1 << 64)) for i in range(3)]
+
+
+def normal_lines(text: str | None):
+    """``(line number, normal line)`` of the lines with a word: white space runs as one blank, none
+    outside, A-Z lower-cased; as UTF-8."""
+    for n, line in enumerate((text or "").encode().lower().split(b"\n")):
+        line = b" ".join(line.split())
+        if line:
+            yield n, line
+
+
+def key_of(line: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(line, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def shingle_hashes(lines: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``SHINGLE`` characters of all lines, and where each line's begin. A
+    shorter line has one, from its key."""
+    texts = [x.decode() for x in lines]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = _mixed(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+    for i, power in enumerate(_POWERS):  # runs of 2, 4, 8
+        step = 1 << i
+        h = h[:len(h) - step] * power + h[step:] if len(h) > step else h[:0]
+    h = _mixed(np.concatenate([h, np.zeros(SHINGLE - 1, np.uint64)]))
+    count = np.maximum(size - SHINGLE + 1, 1)
+    starts = np.cumsum(count) - count
+    at = np.repeat(np.cumsum(size) - size - starts, count) + np.arange(int(count.sum()))
+    out = h[at]
+    short = np.flatnonzero(size < SHINGLE)
+    out[starts[short]] = keys[short].view(np.uint64)
+    return out, starts
+
+
+def band_keys(lines: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """(lines, bands): one hash of the minima in each band of a line's signature."""
+    hashes, starts = shingle_hashes(lines, keys)
+    minima = [np.minimum.reduceat(hashes * f, starts) for f in _FACTORS]
+    out = np.empty((len(lines), BANDS), np.uint64)
+    for b, rows in enumerate(_BAND_ROWS):
+        mixed = np.full(len(lines), b + 1, np.uint64)
+        for r in rows:
+            mixed = _mixed(mixed * _POWERS[0] + minima[r])
+        out[:, b] = mixed
+    return out.view(np.int64)
+
+
+def _signed(batches):
+    """Every line's place and key; with the first of equal lines of a part, its band keys."""
+    def part(rows, lines):
+        keys = np.array([key_of(x) for x in lines], np.int64).reshape(-1, 2)
+        bands = band_keys(list(lines), np.ascontiguousarray(keys[:, 0]))
+        doc, line_no, which = zip(*rows)
+        which = np.array(which)
+        first = np.zeros(len(which), bool)
+        first[np.unique(which, return_index=True)[1]] = True
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc, pa.int64()), pa.array(line_no, pa.int64()), pa.array(keys[which, 0]), pa.array(keys[which, 1]),
+             pa.array([bands[w] if f else None for w, f in zip(which, first)], pa.list_(pa.int64()))],
+            names=["doc_id", "line_no", "k1", "k2", "bands"])
+
+    rows, lines, size = [], {}, 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for n, line in normal_lines(text):
+                rows.append((doc_id, n, lines.setdefault(line, len(lines))))
+                size += len(line)
+            if size > CHARACTERS:
+                yield part(rows, lines)
+                rows, lines, size = [], {}, 0
+    if rows:
+        yield part(rows, lines)
+
+
+def _shingle_set(line: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes([line], np.array([key_of(line)[0]], np.int64))[0])
+
+
+def _wanted_lines(wanted):
+    def rows(batches):
+        for batch in batches:
+            lines = {x for t in batch.column("text").to_pylist() for _, x in normal_lines(t)}
+            keyed = [(key_of(x), x) for x in lines]
+            k1 = np.array([k[0] for k, _ in keyed], np.int64)
+            keyed = [keyed[i] for i in np.flatnonzero(in_bitmap(wanted.value, k1.view(np.uint64)))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in keyed], pa.int64()), pa.array([k[1] for k, _ in keyed], pa.int64()),
+                 pa.array([x for _, x in keyed], pa.binary())], names=["k1", "k2", "elements"])
+
+    return rows
+
+
+def _lines_of(pairs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``class_id, elements`` (the line itself) of the lines in ``pairs``, read again through a
+    fixed-size filter."""
+    wanted = store(ids.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi"))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "k1", FILTER_BITS))
+    sets = docs.select("text").mapInArrow(_wanted_lines(known), "k1 long, k2 long, elements binary")
+    return store(sets.join(wanted, ["k1", "k2"]).groupBy(F.col("id").alias("class_id"))
+                 .agg(F.first("elements").alias("elements")))
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
@@ -88,17 +135,19 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     component is kept. A line of fewer characters than a shingle is one shingle. Null and empty
     texts have no lines, as has an empty table; repeated rows count as lines of their own.
     """
-    lines = lines_of(docs.select("doc_id", "text"))
-    places = store(lines.select("doc_id", "line_no", "k1", "k2"))
-    signed = store(signatures(lines)).withColumn("id", F.monotonically_increasing_id())
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in rows]) for b, rows in enumerate(BAND_ROWS)])
-    entries = signed.select("id", F.explode(bands).alias("band")).repartition("band")
+    docs = text_batches(docs).select(F.col("doc_id").cast("long"), "text")
+    places = store(docs.mapInArrow(_signed, "doc_id long, line_no long, k1 long, k2 long, bands array<long>")
+                   .withColumn("row", F.monotonically_increasing_id()))
+    # of equal lines, the first row stands for all
+    signed = places.where("bands is not null")
+    ids = store(signed.groupBy("k1", "k2").agg(F.min("row").alias("id")))
+    entries = (signed.join(ids.select(F.col("id").alias("row")), "row", "left_semi")
+               .select(F.col("row").alias("id"), F.explode("bands").alias("band")).repartition("band"))
     first = (entries.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
              .select("band", "first"))
     entries = store(entries.join(first, "band"))
-    ids = signed.select("id", "k1", "k2")
     stars = store(entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links = store(_verify(stars, lines, ids))
+    links = store(verify_pairs(stars, _lines_of(stars, ids, docs), _shingle_set))
     comps = store(components(links))
     placed = (entries.join(comps.withColumnRenamed("node", "id"), "id", "left")
               .select("band", "id", F.coalesce("component", "id").alias("component")))
@@ -108,7 +157,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     apart = (placed.toDF("band", "a", "ca").join(placed.toDF("band", "b", "cb"), "band").where("a < b and ca <> cb")
              .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     apart = store(apart)
-    comps = components(links.union(_verify(apart, lines, ids)))
+    comps = components(links.union(verify_pairs(apart, _lines_of(apart, ids, docs), _shingle_set)))
     nodes = ids.join(comps.withColumnRenamed("node", "id"), "id", "left").select(
         "k1", "k2", F.coalesce("component", "id").alias("component"))
     rows = store(places.join(nodes, ["k1", "k2"]).select("doc_id", "line_no", "component"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import query, table
+from wirefold.llm.common import query, table, text_batches
 
 #: Word-level limits of the whole document: fixed values of the task.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -111,7 +111,7 @@ def line_quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
     stay; columns named like an output are replaced.
     """
     names = [c.split()[0] for c in STATS.split(",")] + ["clean_text"] * with_text
-    out = docs.drop(*names).withColumn("_quality", _measured(with_text)("text"))
+    out = text_batches(docs).drop(*names).withColumn("_quality", _measured(with_text)("text"))
     return out.select("*", "_quality.*").drop("_quality")
 
 

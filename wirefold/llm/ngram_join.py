@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import components, query, store, table
+from wirefold.llm.common import components, query, store, table, text_batches
 from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of a shingle, similarity in percent, groups that shingles are counted in.
@@ -191,28 +191,36 @@ def _sets(wanted):
     return rows
 
 
-def _verified(batches):
+def _stored_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _verified(read):
     """Rows sorted by (a, salt, b), the set of ``a`` first (``b`` null) -> links."""
-    key = own = None
-    for batch in batches:
-        out = []
-        cols = (batch.column(c) for c in ("a", "salt", "b", "elements"))
-        for a, salt, b, raw in zip(*(c.to_pylist() for c in cols)):
-            s = np.frombuffer(raw, np.uint64)
-            if b is None:
-                key, own = (a, salt), s
-                continue
-            if key != (a, salt):
-                raise ValueError("a pair came without the set of its first member")
-            at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-            if linked(int((own[at] == s).sum()), len(own), len(s)):
-                out.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact check of ``pairs(a, b)`` against ``sets(class_id, elements)``. Pairs meet the set of
-    their first member in parts of about ``PARTNERS``, so one much-paired set spreads out."""
+    def rows(batches):
+        key = own = None
+        for batch in batches:
+            out = []
+            cols = (batch.column(c) for c in ("a", "salt", "b", "elements"))
+            for a, salt, b, raw in zip(*(c.to_pylist() for c in cols)):
+                s = read(raw)
+                if b is None:
+                    key, own = (a, salt), s
+                    continue
+                if key != (a, salt):
+                    raise ValueError("a pair came without the set of its first member")
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                if linked(int((own[at] == s).sum()), len(own), len(s)):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows
+
+
+def verify_pairs(pairs: DataFrame, sets: DataFrame, read=_stored_set) -> DataFrame:
+    """Exact check of ``pairs(a, b)`` against ``sets(class_id, elements)``; ``read`` gives the sorted
+    distinct elements. Pairs meet the set of their first member in parts of about ``PARTNERS``, so
+    one much-paired set spreads out."""
     salts = pairs.groupBy("a").agg((F.floor(F.count("*") / PARTNERS) + 1).alias("salts"))
     members = (pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
                .join(sets.withColumnRenamed("class_id", "b"), "b").select("a", "salt", "b", "elements"))
@@ -220,11 +228,11 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
               .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
                       F.lit(None).cast("long").alias("b"), "elements"))
     return (members.unionByName(firsts).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-            .mapInArrow(_verified, "a long, b long"))
+            .mapInArrow(_verified(read), "a long, b long"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -265,7 +273,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     with_counts = (stars.join(profiles.toDF("a", "n_a", "counts_a"), "a").join(profiles.toDF("b", "n_b", "counts_b"), "b")
                    .select("a", "b", "n_a", "n_b", "counts_a", "counts_b"))
     stars = store(with_counts.mapInArrow(_bounded, "a long, b long"))
-    links = store(_verify(stars, _sets_of(stars, members, keyed)))
+    links = store(verify_pairs(stars, _sets_of(stars, members, keyed)))
     comps = store(components(links))
     # blocks that are not yet one component
     placed = (entries.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
@@ -282,7 +290,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pairs = (cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "class_id")
              .mapInPandas(_pairs_within, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
     pairs = store(pairs)
-    more = store(_verify(pairs, _sets_of(pairs, members, keyed)))
+    more = store(verify_pairs(pairs, _sets_of(pairs, members, keyed)))
     comps = components(links.union(more))
     whole = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     whole = whole.withColumn("component", F.coalesce("component", "class_id"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import query, table
+from wirefold.llm.common import query, table, text_batches
 
 #: Kinds in their order.
 KINDS = ["email", "ip", "card", "phone"]
@@ -264,7 +264,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     def found(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_row(t) for t in texts], columns=names)
 
-    return docs.drop(*names).withColumn("_pii", found("text")).select("*", "_pii.*").drop("_pii")
+    return text_batches(docs).drop(*names).withColumn("_pii", found("text")).select("*", "_pii.*").drop("_pii")
 
 
 def base_digest(spans: str) -> str:
