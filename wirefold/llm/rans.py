@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -11,49 +12,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wirefold.llm.common import query, store, table
+from wirefold.llm.common import query, store, table, text_batches
 
 #: Ids of a block, lanes that a block's ids are dealt to in turn, bits that a shard's frequencies
 #: add up to, blocks coded side by side, bytes of text per shard.
-BLOCK, LANES, BITS, GROUP, SHARD_BYTES = 65_536, 32, 18, 32, 16_000_000
+BLOCK, LANES, BITS, GROUP, SHARD_BYTES = 65_536, 64, 18, 128, 16_000_000
 END_ID = 0
 #: Entries of a worker's word table, which starts afresh beyond that; characters split at a time.
-TABLE, SPLIT = 500_000, 1_000_000
+TABLE, SPLIT = 1_200_000, 1_000_000
 _LOW = np.uint64(1 << 31)
 _U32 = np.uint64(32)
 
 
 # --- tokens --------------------------------------------------------------------------------------
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1
+    characters for themselves, the others in order from U+0100."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in seen)
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
-    """Ids of whole texts from a byte-level BPE file, one library call per batch for new words.
+    """Ids of whole texts from a byte-level BPE file of the tokenizers library.
 
     The file's splitting pattern never joins a white space to what stands before it, so a text
     whose white space is single blanks and line ends between words is coded word by word (with
-    the blank before it) and a line end by itself; any other text goes to the library whole.
+    the blank before it) and a line end by itself; any other text goes to the library whole. Words
+    are remembered. Of new ones, Latin letters with or without closing marks (which the pattern
+    splits into just these two) go to the library's BPE model; all others through its whole
+    encoder, many in a call.
     """
 
+    LETTERS, CLOSING = "\u024F", ".,;:!?"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.other = {}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.first, self.other, self.marks = {}, {}, {}
         self.line_end = self._library("\n")
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, known: dict, words: set, lead: str) -> None:
-        new = [w for w in words if w not in known]
-        if not new:
-            return
-        joined = self.tokenizer.encode("\n".join([lead + w for w in new]), add_special_tokens=False).ids
-        ids = np.array(joined, "<u4")
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, memory: dict, words: set, lead: str) -> None:
+        """Remember the ids of new words; None for what holds other white space, or nothing."""
+        slow, letters, tokenize = [], self.letters, self.model.tokenize
+        blank = letters[32] if lead else ""
+        for w in words.difference(memory):
+            core = w.rstrip(self.CLOSING)
+            if core.isalpha() and (core.isascii() or max(core) <= self.LETTERS):
+                ids = memory.get(core)
+                if ids is None:
+                    piece = blank + core if core.isascii() else blank + core.encode().decode("latin-1").translate(letters)
+                    ids = memory[core] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+                if len(core) < len(w):
+                    marks = w[len(core):]
+                    if marks not in self.marks:
+                        self.marks[marks] = array("I", [t.id for t in tokenize(marks)]).tobytes()
+                    memory[w] = ids + self.marks[marks]
+            elif w.split() == [w]:
+                slow.append(w)
+            else:
+                memory[w] = None
+        parts = [slow[i:i + 2_000] for i in range(0, len(slow), 2_000)]
         end = int.from_bytes(self.line_end, "little")
-        cuts = [-1, *np.flatnonzero(ids == end).tolist(), len(ids)]
-        raw = ids.tobytes()
-        for w, (a, b) in zip(new, pairwise(cuts), strict=True):
-            known[w] = raw[4 * a + 4:4 * b]
+        joined = self.tokenizer.encode_batch_fast(["\n".join([lead + w for w in p]) for p in parts], add_special_tokens=False)
+        for part, coded in zip(parts, joined):
+            ids = np.array(coded.ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == end).tolist(), len(ids)]
+            raw = ids.tobytes()
+            for w, (i, j) in zip(part, pairwise(cuts), strict=True):
+                memory[w] = raw[4 * i + 4:4 * j]
 
     def encode(self, texts: list[str]):
         """Little-endian unsigned 32-bit ids of each text."""
@@ -67,22 +100,23 @@ class WordTokens:
         yield from self._encode(part)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.line_end) != 4:  # a file in which a line end is more than one id
+            return [self._library(t) for t in texts]
         if len(self.first) + len(self.other) > TABLE:
-            self.first, self.other = {}, {}
-        regular = [len(self.line_end) == 4 and bool(t) and t.split() == t.replace("\n", " ").split(" ") for t in texts]
-        firsts, others, lines = set(), set(), []
-        for ok, text in zip(regular, texts):
-            split = [line.split(" ") for line in text.split("\n")] if ok else None
-            lines.append(split)
-            for line in split or ():
-                firsts.add(line[0])
-                others.update(line[1:])
-        self._learn(self.first, firsts, "")
+            self.first, self.other, self.marks = {}, {}, {}
+        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        others = set()
+        for lines in split:
+            for words in lines:
+                others.update(words)
+        self._learn(self.first, {words[0] for lines in split for words in lines}, "")
         self._learn(self.other, others, " ")
-        other, out = self.other.__getitem__, []
-        for split, text in zip(lines, texts):
-            out.append(self.line_end.join([self.first[x[0]] + b"".join(map(other, x[1:])) for x in split])
-                       if split else self._library(text))
+        first, other, out = self.first, self.other.__getitem__, []
+        for lines, text in zip(split, texts):
+            try:
+                out.append(self.line_end.join([first[w[0]] + b"".join(map(other, w[1:])) for w in lines]))
+            except TypeError:  # a word without ids of its own
+                out.append(self._library(text))
         return out
 
 
@@ -248,7 +282,7 @@ def _encoder(path, end_id):
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``docs(doc_id, text)`` -> the stored shard files, one row per shard in the columns ``SHARD``.
 
-    Documents go in ascending ``doc_id`` order (null first; ties by text) to shards of about
+    Documents go in ascending ``doc_id`` order (null first; ties in the order of the input) to shards of about
     ``SHARD_BYTES`` of text, which are numbered in that order; each document's ids are followed by
     ``end_id``. One range shuffle of the texts; every task tokenises and codes its own shard with
     a frequency table that all of the shard's blocks share. A null text is empty and so holds the
@@ -257,9 +291,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     n = max(1, -(-total // SHARD_BYTES))
-    order = ["doc_id", "tie", "copy"]  # the copy number spreads rows that are equal throughout
-    rows = (docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("tie"),
-                        F.monotonically_increasing_id().alias("copy"))
+    order = ["doc_id", "place"]  # the place in the input spreads the rows of a repeated id
+    rows = (text_batches(docs).select(F.col("doc_id").cast("long"), text.alias("text"),
+                                      F.monotonically_increasing_id().alias("place"))
             .repartitionByRange(n, *order).sortWithinPartitions(*order)
             .select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text"))
     return store(rows.mapInArrow(_encoder(tokenizer, end_id), SHARD))
