@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def index_status(parts: Sequence[tuple[str, DataFrame, str | None]], *,
-                 keys: Sequence[str] = ()) -> DataFrame:
+def index_status(parts: Sequence[tuple], *, keys: Sequence[str] = ()) -> DataFrame:
     """Long-form status of an index: one row per (metric, reason) with its count.
 
-    ``parts`` are (metric name, rows, reason column or None). Each part is a partial
+    ``parts`` are (metric name, rows, reason column or None[, column to sum instead of counting
+    rows], e.g. the duplicates that each winner of ``fact_dedupe_last`` shadows). Each part is a partial
     aggregate; the union is tiny. Fleet-wide, pass ``keys=['repo', 'snapshot']``.
     """
     keys = list(keys)
     out = None
-    for metric, df, reason in parts:
+    for metric, df, reason, *weight in parts:
         r = F.col(reason) if reason else F.lit(None).cast("string")
-        agg = (df.select(*keys, r.alias("reason")).groupBy(*keys, "reason")
-               .agg(F.count("*").alias("n")).select(*keys, F.lit(metric).alias("metric"), "reason", "n"))
+        w = F.col(weight[0]) if weight else F.lit(1)
+        agg = (df.select(*keys, r.alias("reason"), w.cast("long").alias("_w")).groupBy(*keys, "reason")
+               .agg(F.sum("_w").alias("n")).select(*keys, F.lit(metric).alias("metric"), "reason", "n"))
         out = agg if out is None else out.unionByName(agg)
     return out
 

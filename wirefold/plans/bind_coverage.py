@@ -26,16 +26,20 @@ UNION ALL SELECT 'unresolved_sites', reason, count(*) FROM {_sub('resolve_candid
           WHERE status = 'unresolved' GROUP BY reason
 UNION ALL SELECT 'unresolved_mappings', reason, count(*) FROM {_sub('route_unresolved')} t GROUP BY reason
 UNION ALL SELECT 'parse_failures', NULL, count(*) FROM {_sub('parse_quarantine')} t WHERE status = 'rejected'
+UNION ALL SELECT 'shadowed_duplicates', NULL, CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text)
+          HAVING count(*) > 1)
 """)
 def q_index_status(spark, sf_dir):
-    """indexStatus: endpoint, file, bean, failure counts and the two reason breakdowns, long form."""
+    """indexStatus: endpoint, file, bean, failure and shadowed-duplicate counts and the two reason breakdowns, long form."""
     endpoints = QUERIES["route_expand"](spark, sf_dir).where(F.col("status") == "resolved")
     files = QUERIES["select_sources"](spark, sf_dir)
     beans = QUERIES["universe"](spark, sf_dir)
     sites = BC.candidate_edges(spark, sf_dir).where(F.col("status") == "unresolved")
     mappings = BR2._unresolved(spark, sf_dir)
     failures = QUERIES["parse_quarantine"](spark, sf_dir).where(F.col("status") == "rejected")
-    out = CV.index_status([("endpoints", endpoints, None), ("files", files, None),
+    _, shadowed = RS.fact_dedupe_last(table(spark, sf_dir, "documents").select(F.md5("text").alias("text_key"), "doc_id"),
+                                      key=["text_key"], order=["doc_id"])
+    out = CV.index_status([("shadowed_duplicates", shadowed, None, "n_shadowed"), ("endpoints", endpoints, None), ("files", files, None),
                            ("beans", beans, None), ("unresolved_sites", sites, "reason"),
                            ("unresolved_mappings", mappings, "reason"),
                            ("parse_failures", failures, None)])

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from wirefold.operators import candidates as C
 from wirefold.operators import resolve as RS
+from wirefold.operators import roles as RL
 from wirefold.operators import routes as R
 from wirefold.plans.bind_routes import (SEVEN_ROUTES, _sql_is_var, _sql_match, _sql_requests, _sql_segs, page_requests,
                                         seven_routes)
-from wirefold.plans.registry import query, table
+from wirefold.plans.bind_candidates import _sql_candidate, candidate_edges
+from wirefold.plans.bind_routes2 import _SQL_METHODS, _methods
+from wirefold.plans.registry import ORACLE, query, table
 
 KEYS = ["repo", "snapshot"]
 
@@ -97,3 +100,73 @@ def q_lookup_outcome_scoped(spark, sf_dir):
                       F.when(F.col("p_partkey") % 4 == 0, qualified).otherwise(F.col("p_name")).alias("name"))
     out = RS.lookup_outcome(req, ents, req_id="request_id", name="name", qualified="qualified", simple="simple", keys=KEYS)
     return out.select(*KEYS, "request_id", "candidate", "status")
+
+
+@query("bean_dependencies_lookup", f"""
+WITH e AS (SELECT c_custkey // 10 AS k, c_custkey % 10 AS edge_ord, status, coalesce(kind, reason) AS why, target
+           FROM ({_sql_candidate(False)})),
+ent AS (SELECT DISTINCT k, 'q' || CAST(k % 2 AS VARCHAR) || '.C' || CAST(k // 2 AS VARCHAR) AS bean, 'C' || CAST(k // 2 AS VARCHAR) AS simple FROM e),
+req AS (SELECT k AS request_id, CASE WHEN k % 7 = 0 THEN 'X' WHEN k % 3 = 0 THEN simple ELSE bean END AS name FROM ent),
+hit AS (SELECT request_id, ent.k, bean FROM req JOIN ent ON bean = name OR simple = name),
+st AS (SELECT request_id, k, bean, CASE count(bean) OVER (PARTITION BY request_id) WHEN 0 THEN 'not-found' WHEN 1 THEN 'found'
+         ELSE 'ambiguous' END AS status FROM req LEFT JOIN hit USING (request_id))
+SELECT request_id, status, CASE status WHEN 'found' THEN 'type' WHEN 'ambiguous' THEN 'match' END AS part, bean AS item, NULL AS detail FROM st
+UNION ALL SELECT request_id, st.status, 'edge', CAST(edge_ord AS VARCHAR), e.status || ':' || why || ':' || coalesce(CAST(target AS VARCHAR), '-')
+FROM st JOIN e USING (k) WHERE st.status = 'found'""")
+def q_bean_dependencies_lookup(spark, sf_dir):
+    """beanDependencies by qualified name, by a simple name that two beans share, or by an unknown
+    name: the edges of a found bean, the matches of an ambiguous name."""
+    key = F.floor(F.col("c_custkey") / 10)
+    bean = F.format_string("q%d.C%d", (key % 2).cast("int"), F.floor(key / 2).cast("long"))
+    simple = F.concat(F.lit("C"), F.floor(key / 2).cast("string"))
+    e = candidate_edges(spark, sf_dir).select(
+        key.alias("k"), bean.alias("candidate"), simple.alias("simple"), (F.col("c_custkey") % 10).alias("item"),
+        F.concat_ws(":", "status", F.coalesce("kind", "reason"), F.coalesce(F.col("target").cast("string"), F.lit("-"))).alias("detail"))
+    ents = e.select("k", F.col("candidate").alias("qualified"), "simple").distinct()
+    req = ents.select(F.col("k").alias("request_id"), F.when(F.col("k") % 7 == 0, "X").when(F.col("k") % 3 == 0, F.col("simple"))
+                      .otherwise(F.col("qualified")).alias("name"))
+    look = RS.lookup_outcome(req, ents, req_id="request_id", name="name", qualified="qualified", simple="simple")
+    return RS.lookup_answer(look, [("edge", e.select("candidate", "item", "detail"))], req_id="request_id")
+
+
+@query("slice_info", """
+WITH a AS (SELECT user_id AS test, event_id AS o, CASE event_type WHEN 'view' THEN '@SpringBootTest' WHEN 'purchase' THEN '@ExtendWith(E.class)'
+             ELSE '@Tag("x")' END AS t FROM events WHERE event_type <> 'signup'),
+i AS (SELECT user_id AS test, 'E' || CAST(event_id % 5 AS VARCHAR) AS s, arg_min('org.x.E' || CAST(event_id % 5 AS VARCHAR), event_id) AS imp
+      FROM events WHERE event_type = 'signup' AND event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY ALL),
+w AS (SELECT e.user_id AS test, e.event_id AS o, coalesce(i.imp, CASE WHEN e.user_id % 3 = 0 THEN '' ELSE 'com.p' || CAST(e.user_id % 4 AS VARCHAR) || '.' END
+        || 'E' || CAST(e.event_id % 5 AS VARCHAR)) AS fq
+      FROM events e LEFT JOIN i ON i.test = e.user_id AND i.s = 'E' || CAST(e.event_id % 5 AS VARCHAR) WHERE e.event_type = 'purchase'),
+x AS (SELECT test, string_agg(t, '|' ORDER BY o, t) AS class_annotations, bool_or(t = '@SpringBootTest') AS is_context FROM a GROUP BY test),
+y AS (SELECT test, string_agg(fq, '|' ORDER BY o) AS extend_with FROM w GROUP BY test)
+SELECT test, class_annotations, coalesce(extend_with, '') AS extend_with, is_context FROM x LEFT JOIN y USING (test)""")
+def q_slice_info(spark, sf_dir):
+    """Users as test classes: annotation texts in order, @ExtendWith classes by import, own package or bare
+    name, and whether a context starts."""
+    ev = table(spark, sf_dir, "events").withColumn("path", F.col("user_id").cast("string"))
+    et = F.col("event_type")
+    anns = ev.where(et != "signup").select(
+        F.col("user_id").alias("test"), F.col("event_id").alias("ord"),
+        F.when(et == "view", "@SpringBootTest").when(et == "purchase", "@ExtendWith(E.class)").otherwise('@Tag("x")').alias("text"))
+    simple = F.concat(F.lit("E"), (F.col("event_id") % 5).cast("string"))
+    ext = ev.where(et == "purchase").select(
+        F.col("user_id").alias("test"), "path", simple.alias("type_name"), F.col("event_id").alias("value_ord"),
+        F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("com.p"), (F.col("user_id") % 4).cast("string"))).alias("package"))
+    imps = ev.where(et == "signup").select(
+        "path", F.concat(F.lit("org.x."), simple).alias("name"), F.col("event_id").alias("ord"),
+        (F.col("event_id") % 7 == 0).alias("is_static"), (F.col("event_id") % 11 == 0).alias("is_wildcard"))
+    out = RL.slice_info(anns, ext, imps, test="test", path="path", ord="ord", text="text", package="package")
+    return out.select("test", F.array_join("class_annotations", "|").alias("class_annotations"),
+                      F.array_join("extend_with", "|").alias("extend_with"), "is_context")
+
+
+@query("route_answer_unresolved", f"""
+WITH {_SQL_METHODS},
+un AS (SELECT page_id, {_sql_scope('page_id')}, reason FROM rm WHERE reason IS NOT NULL)
+SELECT page_id, repo, snapshot, reason FROM un
+WHERE (repo, snapshot) IN (SELECT (repo, snapshot) FROM ({ORACLE['route_resolve_scoped']}) WHERE status = 'miss')""")
+def q_route_answer_unresolved(spark, sf_dir):
+    """What a miss shows beside its suggestions: the unresolved mappings of its scope, once per scope."""
+    unresolved = _methods(spark, sf_dir).where("reason is not null").select("page_id", *_scope("page_id"), "reason")
+    return R.scopes_with_miss(q_route_resolve_scoped(spark, sf_dir), unresolved, keys=KEYS).select(
+        "page_id", *KEYS, "reason")
