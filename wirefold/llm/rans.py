@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,8 @@ from wirefold.llm.common import query, store, table, text_batches
 #: add up to, blocks coded side by side, bytes of text per shard.
 BLOCK, LANES, BITS, GROUP, SHARD_BYTES = 65_536, 64, 18, 128, 16_000_000
 END_ID = 0
-#: Entries of a worker's word table, which starts afresh beyond that; characters split at a time.
-TABLE, SPLIT = 1_200_000, 1_000_000
+#: Entries of a worker's word table, which starts afresh beyond that.
+TABLE = 1_200_000
 _LOW = np.uint64(1 << 31)
 _U32 = np.uint64(32)
 
@@ -33,6 +32,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids of the words seen last, as bytes; ``lead`` is the blank before them, or nothing. None for
+    what holds other white space, or nothing."""
+
+    LETTERS, CLOSING = "\u024F", ".,;:!?"
+
+    def __init__(self, tokenizer, lead: str):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.lead = tokenizer, tokenizer.model.tokenize, lead
+        self.letters = _byte_letters()
+        self.blank = self.letters[32] if lead else ""
+
+    def __missing__(self, word: str) -> bytes | None:
+        core = word.rstrip(self.CLOSING)
+        if core.isalpha() and (core.isascii() or max(core) <= self.LETTERS):
+            if len(core) < len(word):  # the pattern splits closing marks off
+                ids = self[core] + self._piece(word[len(core):])
+            else:
+                ids = self._piece(self.blank + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)))
+        elif word.split() == [word]:
+            ids = array("I", self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = None
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
+
 class WordTokens:
     """Ids of whole texts from a byte-level BPE file of the tokenizers library.
 
@@ -40,84 +69,34 @@ class WordTokens:
     whose white space is single blanks and line ends between words is coded word by word (with
     the blank before it) and a line end by itself; any other text goes to the library whole. Words
     are remembered. Of new ones, Latin letters with or without closing marks (which the pattern
-    splits into just these two) go to the library's BPE model; all others through its whole
-    encoder, many in a call.
+    splits into just these two) go to the library's BPE model, all others through its whole encoder.
     """
 
-    LETTERS, CLOSING = "\u024F", ".,;:!?"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.first, self.other, self.marks = {}, {}, {}
         self.line_end = self._library("\n")
+        self.first, self.other = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, memory: dict, words: set, lead: str) -> None:
-        """Remember the ids of new words; None for what holds other white space, or nothing."""
-        slow, letters, tokenize = [], self.letters, self.model.tokenize
-        blank = letters[32] if lead else ""
-        for w in words.difference(memory):
-            core = w.rstrip(self.CLOSING)
-            if core.isalpha() and (core.isascii() or max(core) <= self.LETTERS):
-                ids = memory.get(core)
-                if ids is None:
-                    piece = blank + core if core.isascii() else blank + core.encode().decode("latin-1").translate(letters)
-                    ids = memory[core] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-                if len(core) < len(w):
-                    marks = w[len(core):]
-                    if marks not in self.marks:
-                        self.marks[marks] = array("I", [t.id for t in tokenize(marks)]).tobytes()
-                    memory[w] = ids + self.marks[marks]
-            elif w.split() == [w]:
-                slow.append(w)
-            else:
-                memory[w] = None
-        parts = [slow[i:i + 2_000] for i in range(0, len(slow), 2_000)]
-        end = int.from_bytes(self.line_end, "little")
-        joined = self.tokenizer.encode_batch_fast(["\n".join([lead + w for w in p]) for p in parts], add_special_tokens=False)
-        for part, coded in zip(parts, joined):
-            ids = np.array(coded.ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == end).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for w, (i, j) in zip(part, pairwise(cuts), strict=True):
-                memory[w] = raw[4 * i + 4:4 * j]
-
     def encode(self, texts: list[str]):
         """Little-endian unsigned 32-bit ids of each text."""
-        part, size = [], 0
         for text in texts:
-            part.append(text)
-            size += len(text)
-            if size >= SPLIT:
-                yield from self._encode(part)
-                part, size = [], 0
-        yield from self._encode(part)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.line_end) != 4:  # a file in which a line end is more than one id
-            return [self._library(t) for t in texts]
-        if len(self.first) + len(self.other) > TABLE:
-            self.first, self.other, self.marks = {}, {}, {}
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        others = set()
-        for lines in split:
-            for words in lines:
-                others.update(words)
-        self._learn(self.first, {words[0] for lines in split for words in lines}, "")
-        self._learn(self.other, others, " ")
-        first, other, out = self.first, self.other.__getitem__, []
-        for lines, text in zip(split, texts):
+            if len(self.first) + len(self.other) > TABLE:
+                self.first.clear()
+                self.other.clear()
+            first, other, lines = self.first.__getitem__, self.other.__getitem__, []
             try:
-                out.append(self.line_end.join([first[w[0]] + b"".join(map(other, w[1:])) for w in lines]))
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    lines.append(first(words[0]) + b"".join(map(other, words[1:])))
+                yield self.line_end.join(lines)
             except TypeError:  # a word without ids of its own
-                out.append(self._library(text))
-        return out
+                yield self._library(text)
 
 
 _tokens: dict[str, WordTokens] = {}
