@@ -51,6 +51,20 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """In a worker: ``name`` keeps a table between tasks that ``clear`` empties."""
+    _held[name] = clear
+
+
+def release() -> None:
+    """In a worker: empty what other operators' tasks kept, before work that needs the memory."""
+    while _held:
+        _held.popitem()[1]()
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into a new folder under the shared checkpoint folder and read it
     back: the lineage is cut and every executor can read the rows again after a loss."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import query, store, table, text_batches
+from wirefold.llm.common import query, release, store, table, text_batches
 from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of a window (an item of fewer is one window) and of the shingles that it is a set of.
@@ -46,6 +46,7 @@ def _candidates(known, sizes):
 
     @F.pandas_udf("n_words long, found array<struct<k:int,pos:long,shingle:long,around:binary>>")
     def found(texts: pd.Series) -> pd.DataFrame:
+        release()
         out = []
         for text in texts:
             h = word_hashes(text, FOLD)

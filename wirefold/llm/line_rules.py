@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import query, table, text_batches
+from wirefold.llm.common import query, release, table, text_batches
 
 #: Word-level limits of the whole document: fixed values of the task.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -96,6 +96,7 @@ def _measured(with_text: bool):
 
     @F.pandas_udf(schema)
     def measured(texts: pd.Series) -> pd.DataFrame:
+        release()
         return pd.DataFrame([measure(t)[:len(names)] for t in texts], columns=names)
 
     return measured

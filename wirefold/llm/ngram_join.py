@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import components, query, store, table, text_batches
+from wirefold.llm.common import components, query, release, store, table, text_batches
 from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of a shingle, similarity in percent, groups that shingles are counted in.
@@ -92,6 +92,7 @@ class CountTree:
 
 
 def _prefixes(batches):
+    release()
     for batch in batches:
         out = [s[:prefix_size(len(s)) * 3 // 2] for s in map(shingle_set, batch.column("text").to_pylist())]
         out = np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wirefold.llm.common import query, store, table, text_batches
+from wirefold.llm.common import hold, query, store, table, text_batches
 
 #: Ids of a block, lanes that a block's ids are dealt to in turn, bits that a shard's frequencies
 #: add up to, blocks coded side by side, bytes of text per shard.
@@ -80,6 +80,10 @@ class WordTokens:
         self.line_end = self._library("\n")
         self.first, self.other = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
 
+    def clear(self) -> None:
+        self.first.clear()
+        self.other.clear()
+
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -87,8 +91,7 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
             if len(self.first) + len(self.other) > TABLE:
-                self.first.clear()
-                self.other.clear()
+                self.clear()
             first, other, lines = self.first.__getitem__, self.other.__getitem__, []
             try:
                 for line in text.split("\n"):
@@ -109,6 +112,7 @@ def word_tokens(path: str | None = None) -> WordTokens:
         path = public_tokenizers.path("byte_bpe_50k.json")
     if path not in _tokens:
         _tokens[path] = WordTokens(path)
+    hold(path, _tokens[path].clear)
     return _tokens[path]
 
 
