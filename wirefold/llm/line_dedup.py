@@ -125,39 +125,78 @@ def _lines_of(pairs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
                  .agg(F.first("elements").alias("elements")))
 
 
+def _mixed_blocks(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the blocks that hold more than one component."""
+    placed = (entries.join(comps.withColumnRenamed("node", "id"), "id", "left")
+              .select("band", "id", "copies", F.coalesce("component", "id").alias("component")))
+    mixed = (placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("band"))
+    return placed.join(mixed, "band")
+
+
+def _pairs_apart(placed: DataFrame) -> int:
+    """Pairs of a block that are in different components, over all blocks, by counting alone."""
+    per = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    per = per.groupBy("band").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return per.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0)).cast("long").alias("n")).first().n
+
+
 def similar_lines(docs: DataFrame) -> DataFrame:
     """One row per line with a word: ``doc_id, line_no, kept, first_doc_id, first_line_no``.
 
     Equal normal lines are one node. Bands of ``ROWS`` of ``MINIMA`` minima of hashed character
-    shingles make blocks; in each block every line is paired with the first one, pairs are checked
-    by their exact Jaccard similarity, and union-find joins what is linked; then pairs of a block
-    that are still apart are checked too. The first line (by doc_id, then line number) of a
-    component is kept. A line of fewer characters than a shingle is one shingle. Null and empty
-    texts have no lines, as has an empty table; repeated rows count as lines of their own.
+    shingles make blocks; in each block every line is paired with the one that has most copies,
+    pairs are checked by their exact Jaccard similarity, and union-find joins what is linked. As
+    long as that leaves many pairs of a block apart and the last round helped, one more line of
+    each block takes its turn; then every pair that is still apart is checked. The first line (by
+    doc_id, then line number) of a component is kept. A line of fewer characters than a shingle is
+    one shingle. Null and empty texts have no lines, as has an empty table; repeated rows count as
+    lines of their own.
     """
     docs = text_batches(docs).select(F.col("doc_id").cast("long"), "text")
     places = store(docs.mapInArrow(_signed, "doc_id long, line_no long, k1 long, k2 long, bands array<long>")
                    .withColumn("row", F.monotonically_increasing_id()))
     # of equal lines, the first row stands for all
     signed = places.where("bands is not null")
-    ids = store(signed.groupBy("k1", "k2").agg(F.min("row").alias("id")))
-    entries = (signed.join(ids.select(F.col("id").alias("row")), "row", "left_semi")
-               .select(F.col("row").alias("id"), F.explode("bands").alias("band")).repartition("band"))
-    first = (entries.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-             .select("band", "first"))
+    ids = store(places.groupBy("k1", "k2").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("id"),
+                                               F.count("*").alias("copies")))
+    entries = (signed.withColumnRenamed("row", "id").join(ids.select("id", "copies"), "id")
+               .select("id", "copies", F.explode("bands").alias("band")).repartition("band"))
+    # of a block, the line with most copies is the likeliest origin of the others
+    best = F.max(F.struct("copies", (-F.col("id")).alias("id")))
+    first = (entries.groupBy("band").agg(best.alias("f"), F.count("*").alias("n")).where("n > 1")
+             .select("band", (-F.col("f.id")).alias("first")))
     entries = store(entries.join(first, "band"))
-    stars = store(entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links = store(verify_pairs(stars, _lines_of(stars, ids, docs), _shingle_set))
-    comps = store(components(links))
-    placed = (entries.join(comps.withColumnRenamed("node", "id"), "id", "left")
-              .select("band", "id", F.coalesce("component", "id").alias("component")))
-    mixed = (placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("band"))
-    placed = store(placed.join(mixed, "band"))
-    apart = (placed.toDF("band", "a", "ca").join(placed.toDF("band", "b", "cb"), "band").where("a < b and ca <> cb")
-             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    apart = store(apart)
-    comps = components(links.union(verify_pairs(apart, _lines_of(apart, ids, docs), _shingle_set)))
+    tested = store(entries.where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"))
+                   .distinct())
+    reps = entries.select("band", F.col("first").alias("id")).distinct()
+    links = store(verify_pairs(tested, _lines_of(tested, ids, docs), _shingle_set))
+    n_entries, before = entries.count(), None
+    while True:
+        comps = store(components(links))
+        placed = store(_mixed_blocks(entries, comps))
+        apart = _pairs_apart(placed)
+        # pair whatever is still apart, unless one more line per block promises far fewer pairs
+        if apart <= 4 * n_entries or (before is not None and apart > 0.9 * before):
+            break
+        before = apart
+        seen = reps.join(placed, ["band", "id"]).select("band", "component").distinct()
+        rep = (placed.join(seen, ["band", "component"], "left_anti").groupBy("band")
+               .agg(F.max(F.struct("copies", (-F.col("id")).alias("id"), "component")).alias("r"))
+               .select("band", (-F.col("r.id")).alias("rep"), F.col("r.component").alias("rep_component")))
+        rep = store(rep)
+        pairs = (placed.join(rep, "band").where("component <> rep_component")
+                 .select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
+                 .join(tested, ["a", "b"], "left_anti"))
+        pairs = store(pairs)
+        reps = reps.union(rep.select("band", F.col("rep").alias("id")))
+        tested = store(tested.union(pairs))
+        links = store(links.union(verify_pairs(pairs, _lines_of(pairs, ids, docs), _shingle_set)))
+    rest = (placed.select("band", F.col("id").alias("a"), F.col("component").alias("ca"))
+            .join(placed.select("band", F.col("id").alias("b"), F.col("component").alias("cb")), "band")
+            .where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    rest = store(rest)
+    comps = components(links.union(verify_pairs(rest, _lines_of(rest, ids, docs), _shingle_set)))
     nodes = ids.join(comps.withColumnRenamed("node", "id"), "id", "left").select(
         "k1", "k2", F.coalesce("component", "id").alias("component"))
     rows = store(places.join(nodes, ["k1", "k2"]).select("doc_id", "line_no", "component"))
