@@ -226,6 +226,14 @@ def test_pii_disguises(text, found):
     assert not base and ",".join(f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in added) == found
 
 
+@pytest.mark.parametrize("text,found,tail", [
+    ("jоhn@example.com", "email:0:16", "email:2:16"), ("1９2.168.1.1", "ip:0:11", "ip:2:11"),
+    ("call ＋30569309025904 x", "phone:5:20", "card:6:20")])
+def test_pii_disguise_with_a_plain_tail(text, found, tail):
+    base, added = pii.detect(text)
+    assert (pii._joined(added), pii._joined(base)) == (found, tail)
+
+
 def test_pii_awkward(awkward):
     rows = pii.personal_data(awkward).collect()
     assert len(rows) == len(TEXTS) and all(r.spans == "" for r in rows) and rows[0].target == "clash"

@@ -220,21 +220,22 @@ def normalise(text: str) -> Mapped | None:
 
 def detect(text: str | None) -> tuple[list, list]:
     """(base spans, added spans) as ``(start, kind, end)``. An added span comes from normalised
-    text, holds a changed piece, and overlaps no base span and no added one before it."""
+    text, holds a changed piece, and lies in no base span or added one of its kind; it may overlap
+    others, as where a plain identifier is the tail of a disguised one."""
     text = text or ""
     base, added = find(text), []
     mapped = normalise(text)
     if mapped:
-        taken = [(s, e) for s, _, e in base]
+        taken = list(base)
         for start, kind, end in find(mapped.text):
             s, e, changed = mapped.source(start, end)
             while e > s and text[e - 1].isspace():
                 e -= 1
             while s < e and text[s].isspace():
                 s += 1
-            if changed and s < e and all(e <= a or s >= b for a, b in taken):
+            if changed and s < e and not any(k == kind and a <= s and e <= b for a, k, b in taken):
                 added.append((s, kind, e))
-                taken.append((s, e))
+                taken.append((s, kind, e))
     return base, added
 
 
