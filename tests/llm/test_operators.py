@@ -234,6 +234,20 @@ def test_pii_disguise_with_a_plain_tail(text, found, tail):
     assert (pii._joined(added), pii._joined(base)) == (found, tail)
 
 
+@pytest.mark.parametrize("text,found", [
+    ("write to john.doe at example.com", "john.doe at example.com"), ("john.doe_at_example.com", "john.doe_at_example.com"),
+    ("john.doe at example.com. We wait", "john.doe at example.com"), ("j.doe at example.com. please write", "j.doe at example.com"),
+    ("mail john@\texample.com", "john@\texample.com"), ("mail john\n@example.com", "john\n@example.com"),
+    ("john @example.com", "john @example.com"), ("john [\tat ] example.com", "john [\tat ] example.com"),
+    ("john at example . com", "john at example . com"), ("john at example. com. Bye", "john at example. com"),
+    ("(four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1)", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), ("+five 555 555 5555 x", "+five 555 555 5555"),
+    ("(+ſix 5 5 5 1 2 3 4 5 6 7)", "+ſix 5 5 5 1 2 3 4 5 6 7"), ("mail john@example.com. We wait", ""),
+    ("John@example.com. it is", ""), ("look at home. We left", ""), ("look at that. it was", ""), ("He was at sea.\nIn May", "")])
+def test_pii_disguises_need_no_other_word(text, found):
+    assert not any(w in text for w in pii.DOT_WORDS)
+    assert ",".join(text[s:e] for s, _, e in pii.detect(text)[1]) == found
+
+
 def test_pii_awkward(awkward):
     rows = pii.personal_data(awkward).collect()
     assert len(rows) == len(TEXTS) and all(r.spans == "" for r in rows) and rows[0].target == "clash"

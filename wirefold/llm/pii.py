@@ -103,6 +103,8 @@ DIGIT_WORDS = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
 }
+#: What re.IGNORECASE takes for s and i beside their upper case.
+_SAME_CASE = str.maketrans("ſıİ", "sii")
 AT_WORDS = ["at", "arroba", "arobase", "chez"]
 DOT_WORDS = ["dot", "punto", "point", "punkt"]
 _digit_word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -168,52 +170,66 @@ class Mapped:
                 any(p[3] for p, _, _ in parts))
 
 
+def _look_alike_edits(text):
+    if not text.isascii():
+        for m in _look_alike.finditer(text):
+            yield m.start(), m.end(), LOOK_ALIKE[m[0]]
+
+
+def _bracketed_edits(text):
+    for m in _bracketed.finditer(text):
+        yield m.start(), m.end(), "@" if m["at"] else "."
+
+
 def _spelled_edits(text):
     for m in _spelled.finditer(text):
         parts = list(_spelled_part.finditer(m[0]))
         if not any(p["word"] for p in parts):
             continue
-        new = "".join("+" if p["plus"] else "." if p["dot"] else str(DIGIT_WORDS[p["word"].lower()]) if p["word"]
+        new = "".join("+" if p["plus"] else "." if p["dot"] else str(DIGIT_WORDS[p["word"].translate(_SAME_CASE).lower()]) if p["word"]
                       else p["num"] or "" for p in parts)
         yield m.start(), m.end(), new
 
 
+def _top(label: str) -> bool:
+    return label.lower() in LAST_LABELS
+
+
 def _worded_edits(text):
     """Bare at and dot words, and blanks around the marks. Without a disguised dot the part before
-    "at" has to look like a name of an account, with a digit or mark in it."""
+    "at" has to look like a name of an account, with a digit or mark in it.
+
+    A dot with blanks only behind it may be the end of a sentence. It is taken as one before a
+    capitalised word, after a dot without blanks, and where what comes next can be no last label;
+    and it is a disguised dot for an "at" only if one of ``LAST_LABELS`` ends the match."""
     for m in _worded.finditer(text):
-        at = _worded_at.match(text, m.start())
-        dots = list(_worded_dot.finditer(text, at.end(), m.end()))
-        last = re.split(r"[\s._-]", m[0])[-1].lower()
-        if last not in LAST_LABELS and len(last) != 2:
+        at, end = _worded_at.match(text, m.start()), m.end()
+        dots = list(_worded_dot.finditer(text, at.end(), end))
+        stops = [d[0][0] == "." and len(d[0]) > 1 for d in dots]
+        labels = [text[d.end():e] for d, e in zip(dots, [*(d.start() for d in dots[1:]), end])]
+        for i, stop in enumerate(stops):
+            if stop and (labels[i].istitle() and not _top(labels[i]) or any(d[0] == "." for d in dots[:i])):
+                end, dots = dots[i].start(), dots[:i]
+                break
+        ends = lambda: re.split(r"[\s._-]", text[m.start():end])[-1]
+        while dots and stops[len(dots) - 1] and not _top(ends()) and len(ends()) != 2:
+            end = dots.pop().start()
+        if not dots or not _top(ends()) and len(ends()) != 2:
             continue
-        if all(d[0] == "." for d in dots) and "@" not in at[0] and not _account.search(text, max(0, at.start() - 64), at.start()):
+        disguised = any(d[0] != "." and (not stop or _top(ends())) for d, stop in zip(dots, stops))
+        if not disguised and "@" not in at[0] and not _account.search(text, max(0, at.start() - 64), at.start()):
             continue
-        yield at.start(), at.end(), "@"
-        for d in dots:
-            yield d.start(), d.end(), "."
+        for mark, m in [("@", at), *((".", d) for d in dots)]:
+            if m[0] != mark:
+                yield m.start(), m.end(), mark
 
 
 def normalise(text: str) -> Mapped | None:
-    """Look-alikes, then bracketed and spelled at/dot, then spelled digits; None if nothing of the
-    sort can be there."""
-    low = text.lower()
-    odd = not text.isascii() and _look_alike.search(text)
-    marks = any(w in low for w in DOT_WORDS) or any(f"{o}{w}" in low for o in "[({<" for w in [*AT_WORDS, "@", ".", " "]) \
-        or " @" in low or "@ " in low or odd
-    digits = odd or len(DIGIT_WORDS.keys() & set(re.split(r"[\s,;-]+", low))) >= 1
-    if not (odd or marks or digits):
-        return None
+    """Look-alikes, then bracketed and spelled at/dot, then spelled digits, each sought in every
+    text; None if nothing of the sort is there."""
     out = Mapped([(text, 0, len(text), False)])
-    if odd:
-        out = out.rewrite([(m.start(), m.end(), LOOK_ALIKE[m[0]]) for m in _look_alike.finditer(text)])
-    if marks:
-        edits = [(m.start(), m.end(), "@" if m["at"] else ".") for m in _bracketed.finditer(out.text)]
-        out = out.rewrite(edits) if edits else out
-        edits = list(_worded_edits(out.text))
-        out = out.rewrite(edits) if edits else out
-    if digits:
-        edits = list(_spelled_edits(out.text))
+    for edits_of in (_look_alike_edits, _bracketed_edits, _worded_edits, _spelled_edits):
+        edits = list(edits_of(out.text))
         out = out.rewrite(edits) if edits else out
     return out if any(p[3] for p in out.pieces) else None
 
