@@ -447,6 +447,14 @@ def test_ngram_join_awkward(awkward):
     assert ngram_join.keep_one(awkward.limit(0)).collect() == []
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1] + " more"), (7, far[2]), (7, far[3]), (8, far[3]), (9, far[4]),
+            (None, far[4]), (10, far[5]), (10, far[5]), (None, ""), (None, "")]
+    kept = [r.text for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(t[:2] for t in kept) == ["", "", "a0", "b0", "c0", "d0", "e0", "f0"]
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 def contamination(docs, items):
     fold = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())

@@ -238,7 +238,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per document row: ``doc_id, text_hash, n_shingles,
-    component_id`` (the smallest doc_id that links lead to).
+    component_id`` (the smallest doc_id that links lead to), ``component`` (a key of the component,
+    also where ids are null or repeated; null without words).
 
     1. Documents with equal sets form a class; the rest works on one member of each.
     2. A pair with the wanted similarity shares a shingle of both prefixes, in any one order of all
@@ -296,10 +297,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     whole = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     whole = whole.withColumn("component", F.coalesce("component", "class_id"))
     lowest = whole.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    whole = whole.join(lowest, "component").select("d1", "d2", "component_id")
+    whole = whole.join(lowest, "component").select("d1", "d2", "component", "component_id")
     return (base.join(whole, ["d1", "d2"], "left")
             .select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    "component"))
 
 
 def _sets_of(pairs: DataFrame, members: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -317,10 +319,10 @@ def _sets_of(pairs: DataFrame, members: DataFrame, keyed: DataFrame) -> DataFram
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document row of each component, the one with the smallest doc_id (ties by text), and
-    every row without words; columns of ``docs`` stay."""
+    every row without words; columns of ``docs`` stay. Null and repeated ids link nothing."""
     found = store(similar_components(docs))
     worded = found.where("n_shingles > 0")
-    best = (worded.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    best = (worded.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
             .select("k.doc_id", "k.text_hash"))
     rows = worded.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     on = lambda x, y: x.doc_id.eqNullSafe(y.doc_id) & (x.text_hash == y.text_hash)
