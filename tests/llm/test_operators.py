@@ -179,6 +179,24 @@ def test_rans_awkward(awkward):
     assert rans.read_shards(rans.write_shards(awkward.limit(0))).collect() == []
 
 
+def test_rans_markers_as_the_library_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c.<|endoftext|>\n<|endoftext|> d", "a  <|endoftext|>\n\nb",
+             "<|endoftext |> <|endoftext|>.", "don't\n<|endoftext|>'s"]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in rans.word_tokens().encode(texts)] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(rans.read_shards(rans.write_shards(rows)).select("doc_id", "n_tokens", "ids_crc32").collect())
+    assert [tuple(r) for r in got] == [
+        (i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(want)]
+    assert rans.word_tokens().by_word
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

@@ -76,7 +76,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # an added token (like the end of text) that holds or takes in white space joins words
+        self.by_word = not any(t.lstrip or t.rstrip or t.single_word or t.content.split() != [t.content]
+                               for t in self.tokenizer.get_added_tokens_decoder().values())
         self.line_end = self._library("\n")
         self.first, self.other = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
 
@@ -90,6 +92,9 @@ class WordTokens:
     def encode(self, texts: list[str]):
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
+            if not self.by_word:
+                yield self._library(text)
+                continue
             if len(self.first) + len(self.other) > TABLE:
                 self.clear()
             first, other, lines = self.first.__getitem__, self.other.__getitem__, []
