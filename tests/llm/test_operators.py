@@ -327,6 +327,27 @@ def test_mixing_caps_and_highest_quotients(spark):
         (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1)]
 
 
+def test_mixing_small_sources_beside_large_ones(spark):
+    sizes = [(f"big{s}-{i}", f"big{s}", 1_000_000_000) for s in range(3) for i in range(10)] + [
+        (f"{s}-{i}", s, 100) for s, n in (("tiny", 3), ("small", 100)) for i in range(n)]
+    taken = collections.Counter()
+    for r in mixing.mix(spark.createDataFrame(sizes, "doc_id string, source string, size long")).collect():
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    assert taken["tiny"] == pytest.approx(900, rel=0.1) and taken["small"] == pytest.approx(30_000, rel=0.1)
+
+
+def test_mixing_counts_are_those_of_the_seats(spark):
+    rng = np.random.default_rng(7)
+    for n_sources, n_blocks in ((1, 5), (3, 7), (12, 640), (40, 20), (25, 5_000)):
+        t = np.ceil(rng.pareto(0.6, n_sources) * 10)
+        t[::4] = t[0]  # ties
+        rows = [(False, str(i), i + 1, 1, 1, int(t.sum()), float(x)) for i, x in enumerate(t)]
+        targets = spark.createDataFrame(rows, "s_null boolean, s_name string, rnk int, n long, weight long, total long, target double")
+        want = collections.Counter(r.rnk for r in mixing.seats(targets, n_blocks).collect())
+        assert {r.rnk: r.blocks for r in mixing.block_counts(targets, n_blocks).collect() if r.blocks} == dict(want)
+
+
 def test_mixing_awkward(awkward):
     rows = mixing.mix_documents(awkward).collect()
     assert len(rows) == len(TEXTS) and sum(r.taken for r in rows) > 0

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window as W
 
 from wirefold.llm.common import WORD, query, store, table
 
-#: Blocks that the whole mix is cut into, output shards, and times a source may be repeated.
-N_BLOCKS, N_SHARDS, REPEATS = 65_536, 64, 3
+#: Least number of blocks that the whole mix is cut into, output shards, and times a source may be
+#: repeated; blocks that the smallest positive target has at least.
+N_BLOCKS, N_SHARDS, REPEATS, LEAST_BLOCKS = 65_536, 64, 3, 16
 SEED = "mix-1"
 #: Rows that one window task over a part of a source holds on average.
 ROWS_PER_PART = 1_024
@@ -67,6 +68,37 @@ def seats(targets: DataFrame, n_blocks: int = N_BLOCKS, n_shards: int = N_SHARDS
             .select("rnk", "k", "seat", "shard"))
 
 
+def enough_blocks(targets: DataFrame, n_blocks: int = N_BLOCKS) -> int:
+    """``n_blocks``, doubled until the smallest positive target is ``LEAST_BLOCKS`` blocks or more."""
+    least = targets.where("target > 0").agg(F.min("target"), F.max("total")).first()
+    while least[0] and least[0] * n_blocks < LEAST_BLOCKS * least[1]:
+        n_blocks *= 2
+    return n_blocks
+
+
+def block_counts(targets: DataFrame, n_blocks: int) -> DataFrame:
+    """``rnk, blocks``: how many of ``seats`` each source has, with a few rows per source however
+    many blocks there are.
+
+    A source has ``round(target * level)`` seats of quotient ``1 / (2 * level)`` or more. At the level
+    ``(n_blocks - sources / 2) / total`` these are no more than ``n_blocks`` together and no more than
+    ``sources`` less; so they (but one of each, against rounding) are awarded as they are, and only
+    the rest goes by quotients.
+    """
+    everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sure = F.floor(F.col("target") * (n_blocks - F.col("n_sources") / 2) / F.col("total") + 0.5) - 1
+    most = F.floor(F.col("target") * (n_blocks + F.col("n_sources")) / F.col("total")) + 1
+    sources = (targets.where("total > 0 and target > 0").withColumn("n_sources", F.count("*").over(everything))
+               .withColumn("sure", F.greatest(F.lit(0).cast("long"), sure))
+               .withColumn("open", F.lit(n_blocks) - F.sum("sure").over(everything)))
+    listed = (sources.select("rnk", "target", "open", F.explode(F.sequence("sure", most)).alias("k"))
+              .withColumn("quotient", F.col("target") / (2 * F.col("k") + 1)))
+    won = (listed.withColumn("seat", F.row_number().over(W.orderBy(F.desc("quotient"), "rnk")))
+           .where("seat <= open").groupBy("rnk").agg(F.count("*").alias("won")))
+    return (sources.join(won, "rnk", "left")
+            .select("rnk", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("blocks")))
+
+
 def shard_quotas(targets: DataFrame, n_blocks: int = N_BLOCKS, n_shards: int = N_SHARDS) -> DataFrame:
     """Integer quotas: ``shard, rnk, blocks``."""
     return seats(targets, n_blocks, n_shards).groupBy("shard", "rnk").agg(F.count("*").alias("blocks"))
@@ -77,7 +109,8 @@ def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS, keep: tuple
     the columns in ``keep``.
 
     A source's documents, put in the order of ``md5(seed:doc_id)``, form a stream of words that is
-    cut into blocks of ``total / n_blocks`` words; the source takes as many blocks as it has seats,
+    cut into blocks of ``total / n_blocks`` words (``n_blocks`` grows until the smallest positive
+    target is ``LEAST_BLOCKS`` blocks, so no source is lost beside large ones); the source takes as many blocks as it has seats,
     from the start of that seeded order and around again for repeats. ``taken`` counts the words
     of a document inside the taken blocks, repeats counted; never above ``REPEATS`` times its size.
     The running position is a window within (source, leading digits of the hash) plus the sums of
@@ -95,9 +128,10 @@ def mix(docs: DataFrame, seed: str = SEED, n_blocks: int = N_BLOCKS, keep: tuple
         digits += 1
     docs = docs.withColumn("part", F.substring("place", 1, digits))
     targets = store(source_targets(docs))
-    quota = seats(targets, n_blocks).groupBy("rnk").agg(F.count("*").alias("blocks"))
+    n_blocks = enough_blocks(targets, n_blocks)
+    quota = block_counts(targets, n_blocks)
     plan = (targets.join(quota, "rnk", "left").fillna(0, ["blocks"])
-            .withColumn("wanted", F.least(F.col("n") * REPEATS, F.expr(f"blocks * total div {n_blocks}")))
+            .withColumn("wanted", F.least(F.col("n") * REPEATS, F.expr(f"cast(blocks as decimal(19)) * cast(total as decimal(19)) div {n_blocks}")))
             .select("s_null", "s_name", F.col("n").alias("source_size"), "target", "wanted"))
     key = ["s_null", "s_name"]
     parts = docs.groupBy(*key, "part").agg(F.sum("size").alias("part_size"))
