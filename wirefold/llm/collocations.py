@@ -17,7 +17,7 @@ from wirefold.llm.words import word_hashes
 #: Words of the longest phrase, occurrences of a candidate, share that absorbs a phrase, rows per language.
 LONGEST, MIN_COUNT, INSIDE, TOP = 5, 100, 100, 2000
 #: Slots of the filter on word pairs (one byte each while it is built, one bit as broadcast), and of its parts.
-PAIR_BITS, PART_BITS, MERGED = 22, 16, 256
+PAIR_BITS, PART_BITS, MERGED = 24, 16, 256
 #: Windows that a task combines at a time.
 COMBINED = 1 << 20
 #: Piece ends; with blanks they are all that is no word.
@@ -205,9 +205,11 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     schema = "lang string, " + ", ".join(f"{w} long" for w in names) + ", n long, word string"
     rows = store(texts.mapInArrow(_windows(pairs, longest, bits), schema))
     windows = rows.where("word IS NULL").groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f")).where("lang IS NOT NULL")
+    # A prefix that ends in padding is no phrase; Catalyst takes this filter below the aggregate.
+    phrase = F.coalesce(*[F.col(w) for w in reversed(names)], F.lit(1)) != 0
+    sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f")).where(F.col("lang").isNotNull() & phrase)
     ws = sums.select("lang", F.array_compact(F.array(*names)).alias("ws"), "f")
-    counts = store(ws.where(f"size(ws) = 0 OR (f >= {int(min_count)} AND element_at(ws, -1) <> 0)"))
+    counts = store(ws.where(f"size(ws) = 0 OR f >= {int(min_count)}"))
     words = store(rows.where("word IS NOT NULL").groupBy(F.col("w1").alias("w")).agg(F.min("word").alias("word")))
     drop_stored(rows)
     return counts, words
