@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,6 +215,13 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_
     return counts, words
 
 
+def score(a: str, n: str, l: str, r: str) -> Column:  # noqa: E741
+    """floor(1000 a n / (l r)) of columns below 10^17, exact: products are decimals of 38 digits."""
+    above = F.lit(1000).cast(T.DecimalType(4, 0)) * F.col(a).cast(T.DecimalType(17, 0)) * F.col(n).cast(T.DecimalType(17, 0))
+    below = F.col(l).cast(T.DecimalType(17, 0)) * F.col(r).cast(T.DecimalType(17, 0))
+    return F.call_function("div", above, below)
+
+
 def collocations(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, inside: int = INSIDE,
                  top: int = TOP, bits: int = PAIR_BITS) -> DataFrame:
     """Phrases of 2 to ``longest`` words whose words keep together: per ``lang`` (null: ``und``) the first
@@ -240,9 +247,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_C
     rest = counts.select("lang", F.col("ws").alias("tail"), F.col("f").alias("r"))
     cuts = (cuts.withColumn("head", F.expr("slice(ws, 1, k)")).withColumn("tail", F.expr("slice(ws, k + 1, size(ws) - k)"))
             .join(first, ["lang", "head"]).join(rest, ["lang", "tail"]).join(totals, "lang"))
-    exact = lambda c: F.col(c).cast(T.DecimalType(17, 0))
-    scored = (cuts.withColumn("above", F.lit(1000).cast(T.DecimalType(4, 0)) * exact("a") * exact("n"))
-              .withColumn("below", exact("l") * exact("r")).withColumn("score", F.expr("above div below"))
+    scored = (cuts.withColumn("score", score("a", "n", "l", "r"))
               .groupBy("lang", "ws", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")))
     spelled = (scored.select("lang", "ws", F.posexplode("ws").alias("i", "w")).join(words, "w").groupBy("lang", "ws")
                .agg(F.expr("array_join(transform(sort_array(collect_list(struct(i, word))), x -> x.word), ' ')").alias("phrase")))
