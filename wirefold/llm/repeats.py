@@ -13,8 +13,8 @@ from wirefold.llm.words import bitmap, in_bitmap, shingles, word_hashes
 
 #: Words of the shortest repeat that goes, and of an anchor.
 WINDOW, ANCHOR = 35, 16
-#: Bits of the filter on anchors that occur more than once: 8 MB at every size of input.
-FILTER_BITS = 26
+#: Bits of the filters on anchors that occur again and on texts with repeats: 2 MB, 2^19 rows to the driver, at every size.
+FILTER_BITS = 24
 #: Words are what is between ASCII white space, unchanged.
 BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
