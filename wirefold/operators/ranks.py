@@ -9,9 +9,10 @@ from wirefold.session import cut_lineage
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "position",
-             bucket: str = "_part") -> DataFrame:
+             total: str | None = None) -> DataFrame:
     """``df`` plus ``name``: the row's 0-based number within ``keys`` by ``order`` (ascending, nulls
-    first; rows that tie in all of it get neighbouring numbers in any order).
+    first; rows that tie in all of it get neighbouring numbers in any order), and plus ``total``, the
+    number of rows of its ``keys``, where a name is given.
 
     Rows are dealt by range over ``keys + order`` and a running id, so even a group that holds most
     rows, or that consists of ties, spreads over many partitions. A window numbers the rows of one
@@ -20,7 +21,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: st
     Null keys form a group; an empty frame stays empty.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    tie = f"{bucket}_tie"
+    bucket, tie = "_part", "_part_tie"
     dealt = (df.withColumn(tie, F.monotonically_increasing_id())
              .repartitionByRange(*[F.col(k) for k in keys], *by, F.col(tie))
              .withColumn(bucket, F.spark_partition_id()))
@@ -28,10 +29,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: st
     counts = dealt.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_b"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
     on = F.col(bucket) == F.col("_b")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     within = F.row_number().over(Window.partitionBy(bucket, *keys).orderBy(*by, tie)).cast("long") - 1
     return (dealt.withColumn(name, within).join(offsets, on)
-            .withColumn(name, F.col(name) + F.col("_offset")).select(*df.columns, name))
+            .withColumn(name, F.col(name) + F.col("_offset"))
+            .select(*df.columns, name, *([F.col("_total").alias(total)] if total else [])))
