@@ -123,10 +123,9 @@ def build(leaves: DataFrame, source: str, order: str, carry: list[str]) -> Manif
     spark = leaves.sparkSession
     rows = leaves.select(F.col(source).isNotNull().alias("_known"), F.coalesce(F.col(source), F.lit("")).alias("_name"),
                          F.col(order).alias("_order"), F.col("leaf").alias("hash"), *carry)
-    places = numbered(rows, KEYS, ["_order", "hash"]).drop("_order")
-    places = store(places)
-    totals = places.groupBy(*KEYS).agg((F.max("position") + 1).alias("total"))
-    passes, subroots = _passes(places.join(totals, KEYS), KEYS, carry)
+    rows = store(rows)  # sampling for the ranges reads digests, not texts
+    places = numbered(rows, KEYS, ["_order", "hash"], total="total").drop("_order")
+    passes, subroots = _passes(places, KEYS, carry)
     subroots = store(subroots)
     n = subroots.count()
     names = subroots.select(*KEYS, F.when(F.col("_known"), F.col("_name")).alias(source), F.col("hash").alias("subroot"))
