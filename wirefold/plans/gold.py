@@ -38,17 +38,18 @@ class Facts(NamedTuple):
     calls: DataFrame
     assigns: DataFrame
     failures: DataFrame
+    units: DataFrame  # every declaration of every file; ``types`` has one entry per FQCN
 
 
 def split_facts(facts: DataFrame) -> Facts:
     """The fact tables; duplicate FQCNs keep the type of the last file in path order."""
-    types = fact_table(facts, "types")
-    types, _ = RS.fact_dedupe_last(types, key=[*K, "fqcn"], order=["path", "type_ord"])
+    units = fact_table(facts, "types")
+    types, _ = RS.fact_dedupe_last(units, key=[*K, "fqcn"], order=["path", "type_ord"])
     return Facts(types, fact_table(facts, "supertypes"), fact_table(facts, "imports"),
                  fact_table(facts, "annotations"), fact_table(facts, "annotation_values"),
                  fact_table(facts, "fields"), fact_table(facts, "methods"),
                  fact_table(facts, "params"), fact_table(facts, "calls"),
-                 fact_table(facts, "assigns"), fact_table(facts, "parse_failures"))
+                 fact_table(facts, "assigns"), fact_table(facts, "parse_failures"), units)
 
 
 def table_entries(f: Facts) -> Facts:
@@ -117,11 +118,14 @@ def resolve_type_names(refs: DataFrame, f: Facts, *, name: str, path: str, packa
 # --- constants and annotation values ----------------------------------------------------------------
 
 def string_constants(f: Facts) -> DataFrame:
-    owners = f.types.select(*K, "fqcn", F.col("is_interface").alias("_iface"))
-    flds = f.fields.join(owners, [*K, "fqcn"], "inner")
+    """Constants by FQCN and name; where several files declare the same one, the last in path order
+    counts, also if the type's entry comes from another file."""
+    owners = f.units.select(*K, "fqcn", "path", "type_ord", F.col("is_interface").alias("_iface"))
+    flds = f.fields.join(owners, [*K, "fqcn", "path"], "inner")
     c = CV.constants(flds, owner_is_interface="_iface", is_static="is_static", is_final="is_final",
                      type_written="type_written", init_kind="init_kind", init_text="init_text")
-    return c.select(*K, F.col("fqcn").alias("owner"), "name", "value")
+    return (c.groupBy(*K, F.col("fqcn").alias("owner"), "name")
+            .agg(F.max_by("value", F.struct("path", "type_ord", "ord")).alias("value")))
 
 
 def resolve_values(f: Facts) -> DataFrame:
@@ -130,10 +134,11 @@ def resolve_values(f: Facts) -> DataFrame:
     imported class (explicit, then wildcard, in import order); ``A.NAME`` is a constant of A,
     A resolved by the type ladder."""
     consts = string_constants(f)
-    types = f.types.select(*K, F.col("fqcn").alias("_cls"), F.col("path").alias("_path"),
-                           F.col("package").alias("_pkg"))
-    v = f.values.withColumn("_cls", _owner_class()).join(types, [*K, "_cls"], "left")
-    ref_id = [*K, "owner_id", "annotation_ord", "attr", "ord"]  # the natural key of a value
+    # a value is read in its own file: imports and package come from there
+    types = f.units.select(*K, F.col("fqcn").alias("_cls"), "path", F.col("package").alias("_pkg"))
+    v = (f.values.withColumn("_cls", _owner_class()).join(types, [*K, "_cls", "path"], "left")
+         .withColumn("_path", F.col("path")))
+    ref_id = [*K, "path", "owner_id", "annotation_ord", "attr", "ord"]  # the natural key of a value
     own = (v.where(F.col("expr_kind") == "name")
            .join(consts.withColumnRenamed("owner", "_cls").withColumnRenamed("name", "expr_text"),
                  [*K, "_cls", "expr_text"], "inner")
@@ -169,12 +174,26 @@ class Endpoints(NamedTuple):
     unresolved: DataFrame
 
 
+_UNIT_SEP = "\u0003"  # joins path and FQCN to the id of one declaration in one file
+
+
+def _unit(owner: str = "fqcn", path: str = "path") -> Column:
+    """Id of a declaration (or of a member of one) that files with the same FQCN do not share."""
+    return F.concat(path, F.lit(_UNIT_SEP), owner)
+
+
 def endpoints(f: Facts) -> Endpoints:
-    """Every handler of every controller, and every mapping that could not be indexed."""
+    """Every handler of every controller, and every mapping that could not be indexed (with its
+    file, line, location and reason).
+
+    Controllers are taken from every file, also where several files declare the same FQCN: all ids
+    carry the path. Types that a file names are looked up in the type table (one entry per FQCN).
+    """
     # read four times below: materialise once so the plan stays small and recovery is cheap
-    vals = cut_lineage(resolve_values(f))
-    ann = f.annotations
-    ctrls = CV.controller_filter(f.types, ann.where(F.col("owner_kind") == "type"), type_id="fqcn",
+    vals = cut_lineage(resolve_values(f)).withColumn("owner_id", _unit("owner_id"))
+    ann = f.annotations.withColumn("owner_id", _unit("owner_id"))
+    units = f.units.withColumn("uid", _unit())
+    ctrls = CV.controller_filter(units, ann.where(F.col("owner_kind") == "type"), type_id="uid",
                                  is_interface="is_interface", owner="owner_id",
                                  written_name="written_name", keys=K)
     ann_id = F.concat_ws("@", "owner_id", F.col("ord").cast("string"))
@@ -183,95 +202,91 @@ def endpoints(f: Facts) -> Endpoints:
         *K, "_aid", "ord", "expr_kind", "value")
     meth_vals = vals.where(F.col("attr") == "method").select(
         *K, "_aid", "ord", "expr_kind", "expr_text",
-        (F.col("expr_kind") == "name") & F.col("value").isNotNull())
-    meth_vals = meth_vals.withColumnRenamed(meth_vals.columns[-1], "shadowed")
-    # class-level prefix
+        ((F.col("expr_kind") == "name") & F.col("value").isNotNull()).alias("shadowed"))
+    # class-level prefixes: the first @RequestMapping of a class or interface
     cls_map = (ann.where((F.col("owner_kind") == "type") & (F.col("written_name") == "RequestMapping"))
-               .select(*K, F.col("owner_id").alias("fqcn"), ann_id.alias("_aid"), "line"))
-    cls_paths = R.route_paths(cls_map, path_vals, mapping_id="_aid", keys=K)
-    ctrl = (ctrls.select(*K, "fqcn", "path", "type_ord")
-            .join(cls_paths.select(*K, "fqcn", F.col("paths").alias("base"),
-                                   F.col("bad_reason").alias("base_bad"), F.lit(True).alias("has_cls")),
-                  [*K, "fqcn"], "left")
-            .withColumn("base", F.coalesce("base", F.array(F.lit(""))))
-            .withColumn("has_cls", F.coalesce("has_cls", F.lit(False))))
+               .groupBy(*K, F.col("owner_id").alias("uid"))
+               .agg(F.min(F.struct("ord", ann_id.alias("_aid"), "line")).alias("_a")).select(*K, "uid", "_a._aid", "_a.line"))
+    prefixes = R.route_paths(cls_map, path_vals, mapping_id="_aid", keys=K).select(
+        *K, "uid", F.col("paths").alias("base"), F.col("bad_reason").alias("base_bad"), F.col("line").alias("base_line"))
+    ctrl = (ctrls.select(*K, "uid", "fqcn", "path", "type_ord", "line").join(prefixes, [*K, "uid"], "left")
+            .withColumn("has_cls", F.col("base").isNotNull())
+            .withColumn("base", F.coalesce("base", F.array(F.lit("")))))
     base_unres = ctrl.where(F.col("base_bad").isNotNull()).select(
-        *K, "path", F.col("fqcn").alias("location"), F.col("base_bad").alias("reason"))
+        *K, "path", F.col("base_line").alias("line"), F.col("fqcn").alias("location"), F.col("base_bad").alias("reason"))
     ctrl_ok = cut_lineage(ctrl.where(F.col("base_bad").isNull() | (F.size("base") > 0)))
-    # method mappings
-    m = f.methods.select(*K, "fqcn", F.col("ord").alias("m_ord"), F.col("name").alias("method_name"),
-                         F.col("line").alias("m_line"), F.col("path").alias("m_path"),
-                         F.concat_ws("#m", "fqcn", F.col("ord").cast("string")).alias("owner_id"))
+    # method mappings of any declaration
+    methods = f.methods.select(*K, _unit().alias("uid"), F.col("ord").alias("m_ord"), F.col("name").alias("method_name"),
+                               F.col("line").alias("m_line"), F.col("path").alias("m_path"),
+                               F.concat_ws("#m", _unit(), F.col("ord").cast("string")).alias("owner_id"))
     maps = (ann.where((F.col("owner_kind") == "method") & F.col("written_name").isin(R.MAPPING_ANNOTATIONS))
             .select(*K, "owner_id", F.col("ord").alias("a_ord"), ann_id.alias("_aid"),
                     F.col("written_name").alias("simple_name"), "shape")
-            .join(m, [*K, "owner_id"], "inner"))
+            .join(methods, [*K, "owner_id"], "inner"))
     maps = R.route_methods(maps, meth_vals, mapping_id="_aid", simple_name="simple_name", shape="shape", keys=K)
-    maps = cut_lineage(R.route_paths(maps, path_vals, mapping_id="_aid", keys=K))
-    own = maps.join(ctrl_ok, [*K, "fqcn"], "inner")
-    loc = F.concat_ws("#", "fqcn", "method_name")
-    verb_unres = own.where(F.col("status") == "unresolved").select(*K, "path", loc.alias("location"), "reason")
-    path_unres = own.where((F.col("status") == "resolved") & F.col("bad_reason").isNotNull()).select(
-        *K, "path", loc.alias("location"), F.col("bad_reason").alias("reason"))
-    ok = own.where(F.col("status") == "resolved")
-    ex = R.route_expand(ok.select(*K, "fqcn", "path", "type_ord", "m_ord", "a_ord", "method_name", "m_line",
-                                  "base", "paths", "verbs"), base_paths="base", paths="paths", verbs="verbs")
-    exp_unres = ex.where(F.col("status") == "unresolved").select(*K, "path", loc.alias("location"), "reason")
-    eps = ex.where(F.col("status") == "resolved").select(
-        *K, "http_method", "path_pattern", "fqcn", "method_name", "path", F.col("m_line").alias("line"),
-        F.struct("path", "type_ord", "m_ord", "a_ord", "expand_ord").alias("scan_ord"))
-    # inherited mappings from implemented interfaces
-    has_own = maps.select(*K, "fqcn").distinct().withColumn("has_own", F.lit(True))
-    impl_names = (f.supertypes.where(F.col("relation") == "implements")
-                  .join(f.types.select(*K, "fqcn", F.col("package").alias("_pkg")), [*K, "fqcn"]))
-    impl = resolve_type_names(impl_names, f, name="written_name", path="path", package="_pkg")
-    iface_types = f.types.where("is_interface").select(*K, F.col("fqcn").alias("resolved"))
-    impl = (impl.join(iface_types.withColumn("_ok", F.lit(True)), [*K, "resolved"], "left")
-            .select(*K, "fqcn", F.when(F.col("_ok"), F.col("resolved")).alias("iface"), "ord"))
-    iface_cls = cls_map.withColumnRenamed("fqcn", "iface")
-    iface_paths = R.route_paths(iface_cls, path_vals, mapping_id="_aid", keys=K).select(
-        *K, "iface", F.col("paths").alias("iface_paths"), F.col("bad_reason").alias("iface_bad"))
-    im = (maps.where(F.col("status") == "resolved").withColumnRenamed("fqcn", "iface")
-          .join(iface_paths, [*K, "iface"], "left")
-          .withColumn("iface_paths", F.coalesce("iface_paths", F.array(F.lit(""))))
-          .select(*K, "iface", "iface_paths", "method_name", "verbs", "paths", "m_line", "m_path"))
-    ctrls_inh = (ctrl_ok.join(has_own, [*K, "fqcn"], "left")
-                 .select(*K, "fqcn", F.coalesce("has_own", F.lit(False)).alias("has_own"),
-                         "has_cls", F.col("base").alias("class_paths"), "path"))
-    inherited = _inherit(ctrls_inh, impl, im, f.methods)
-    inh_eps = inherited.where(F.col("status") == "resolved").select(
-        *K, "http_method", "path_pattern", "fqcn", "method_name", "path", "line", "scan_ord")
-    inh_unres = inherited.where(F.col("status") == "unresolved").select(
-        *K, "path", F.col("fqcn").alias("location"), "reason")
-    unresolved = (base_unres.unionByName(verb_unres).unionByName(path_unres).unionByName(exp_unres)
-                  .unionByName(inh_unres))
-    return Endpoints(eps.unionByName(inh_eps), unresolved)
-
-
-def _inherit(ctrls: DataFrame, impl: DataFrame, im: DataFrame, methods: DataFrame) -> DataFrame:
-    """Fact-level wrapper of ``route_inherit`` keyed by (repo, snapshot)."""
-    kc = F.concat_ws("\u0001", *K, "fqcn")
-    c = ctrls.withColumn("_c", kc)
-    i = impl.withColumn("_c", kc).select("_c", "iface", "ord")
-    mm = im.withColumn("_i", F.concat_ws("\u0001", *K, "iface"))
-    i = i.withColumn("_i", F.when(F.col("iface").isNotNull(),
-                                  F.concat_ws("\u0001", F.lit(None), F.lit(None), "iface")))
-    # carry keys in the ids so one generic operator serves every repository at once
-    i = impl.withColumn("_c", kc).withColumn(
-        "_i", F.when(F.col("iface").isNotNull(), F.concat_ws("\u0001", *K, "iface"))).select("_c", "_i")
-    meth = methods.select(F.concat_ws("\u0001", *K, "fqcn").alias("_c"), F.col("name").alias("method_name"))
-    out = R.route_inherit(c.select("_c", "has_own", "has_cls", "class_paths"), i,
-                          mm.select("_i", "iface_paths", "method_name", "verbs", "paths"), meth,
-                          ctrl="_c", has_own_mappings="has_own", has_class_mapping="has_cls",
-                          class_paths="class_paths", iface="_i", iface_paths="iface_paths",
-                          method_name="method_name", verbs="verbs", paths="paths")
-    back = c.select("_c", *K, "fqcn", "path")
-    line = mm.select("_i", "method_name", F.col("m_line").alias("line")).distinct()
-    o = out.join(back, "_c").join(line, ["_i", "method_name"], "left")
-    return o.select(*K, "fqcn", "method_name", "http_method", "path_pattern", "status", "reason",
-                    "path", "line",
-                    F.struct("path", F.lit(1 << 30).alias("type_ord"), F.col("line").alias("m_ord"),
-                             F.lit(0).alias("a_ord"), "expand_ord").alias("scan_ord"))
+    maps = cut_lineage(R.route_paths(maps, path_vals, mapping_id="_aid", keys=K).select(
+        *K, "uid", "m_ord", "a_ord", "method_name", "m_line", "m_path", "verbs", "paths", "status", "reason", "bad_reason"))
+    own = (ctrl_ok.join(maps, [*K, "uid"])
+           .select(*K, "uid", "fqcn", F.col("path").alias("file"), F.col("m_line").alias("line"), "method_name", "base",
+                   "verbs", "paths", "status", "reason", "bad_reason",
+                   F.struct(F.col("path"), "type_ord", F.lit(-1).alias("impl_ord"), "m_ord", "a_ord").alias("at")))
+    inherited, iface_unres, missing = _inherited(f, ctrl_ok, maps, prefixes, methods)
+    sites = own.unionByName(inherited)
+    # verbs, then paths, then patterns: what cannot be read is reported where the handler stands
+    location = F.concat_ws("#", "fqcn", "method_name")
+    where = [*K, F.col("file").alias("path"), "line", location.alias("location")]
+    verb_unres = sites.where(F.col("status") == "unresolved").select(*where, "reason")
+    readable = sites.where(F.col("status") == "resolved")
+    path_unres = readable.where(F.col("bad_reason").isNotNull()).select(*where, F.col("bad_reason").alias("reason"))
+    expanded = cut_lineage(R.route_expand(
+        readable.select(*K, "uid", "fqcn", "file", "line", "method_name", "at", "base", "paths", "verbs"),
+        base_paths="base", paths="paths", verbs="verbs"))
+    pattern_unres = expanded.where(F.col("status") == "unresolved").select(*where, "reason")
+    found = expanded.where(F.col("status") == "resolved")
+    # nothing indexed, and an implemented type is out of sight
+    lost = (missing.join(found.select(*K, "uid").distinct(), [*K, "uid"], "left_anti")
+            .select(*K, "path", "line", F.col("fqcn").alias("location"), F.lit(R.REASON_IFACE_MISSING).alias("reason")))
+    eps = found.select(*K, "http_method", "path_pattern", "fqcn", "method_name", F.col("file").alias("path"), "line",
+                       F.struct("at.*", "expand_ord").alias("scan_ord"))
+    unresolved = (base_unres.unionByName(verb_unres).unionByName(path_unres).unionByName(pattern_unres)
+                  .unionByName(iface_unres).unionByName(lost))
+    return Endpoints(eps, unresolved)
+
+
+def _inherited(f: Facts, ctrl: DataFrame, maps: DataFrame, prefixes: DataFrame, methods: DataFrame):
+    """Mappings that controllers without any of their own take from the interfaces they implement:
+    ``(mappings, rejects, controllers with an implemented type that is no scanned interface)``.
+
+    The own class prefix beats the interface's; an interface whose needed prefix is unknown is
+    rejected as a whole. A handler stands at the controller's first method of that name, else at
+    the interface's method."""
+    heirs = ctrl.join(maps.select(*K, "uid").distinct(), [*K, "uid"], "left_anti")
+    names = (f.supertypes.where(F.col("relation") == "implements").withColumn("uid", _unit())
+             .select(*K, "uid", "written_name", "ord", "path")
+             .join(f.units.select(*K, _unit().alias("uid"), F.col("package").alias("_pkg")), [*K, "uid"]))
+    names = names.join(heirs.select(*K, "uid"), [*K, "uid"], "left_semi")
+    names = resolve_type_names(names, f, name="written_name", path="path", package="_pkg")
+    ifaces = f.types.where("is_interface").select(*K, F.col("fqcn").alias("resolved"), _unit().alias("iface"),
+                                                  F.col("path").alias("i_path"))
+    pairs = (heirs.join(names.select(*K, "uid", "resolved", F.col("ord").alias("impl_ord")), [*K, "uid"])
+             .join(ifaces, [*K, "resolved"], "left"))
+    missing = pairs.where(F.col("iface").isNull()).select(*K, "uid", "fqcn", "path", "line").distinct()
+    theirs = prefixes.select(*K, F.col("uid").alias("iface"), F.col("base").alias("i_base"), F.col("base_bad").alias("i_bad"),
+                             F.col("base_line").alias("i_line"))
+    pairs = pairs.where(F.col("iface").isNotNull()).join(theirs, [*K, "iface"], "left")
+    unknown = ~F.col("has_cls") & F.col("i_bad").isNotNull() & (F.size("i_base") == 0)
+    rejects = pairs.where(unknown).select(*K, F.col("i_path").alias("path"), F.col("i_line").alias("line"),
+                                          F.col("fqcn").alias("location"), F.col("i_bad").alias("reason"))
+    base = F.when(F.col("has_cls"), F.col("base")).otherwise(F.coalesce("i_base", F.array(F.lit(""))))
+    first = methods.groupBy(*K, "uid", "method_name").agg(F.min_by("m_line", "m_ord").alias("own_line"))
+    got = (pairs.where(~F.coalesce(unknown, F.lit(False))).withColumn("base", base)
+           .join(maps.withColumnRenamed("uid", "iface"), [*K, "iface"])
+           .join(first, [*K, "uid", "method_name"], "left"))
+    here = F.col("own_line").isNotNull()
+    return (got.select(*K, "uid", "fqcn", F.when(here, F.col("path")).otherwise(F.col("m_path")).alias("file"),
+                       F.when(here, F.col("own_line")).otherwise(F.col("m_line")).alias("line"), "method_name", "base",
+                       "verbs", "paths", "status", "reason", "bad_reason",
+                       F.struct("path", "type_ord", "impl_ord", "m_ord", "a_ord").alias("at")), rejects, missing)
 
 
 def resolve_requests(requests: DataFrame, eps: DataFrame, *, req_id: str = "request_id") -> DataFrame:
@@ -302,29 +317,36 @@ def custom_stereotypes(f: Facts) -> DataFrame:
 
 
 def beans(f: Facts) -> Beans:
+    """Beans and their edges. Every declaration of a FQCN in any file can make it a bean, the last one
+    says what kind; members, supertypes and flags are those of the type table's entry."""
+    every = f
     f = table_entries(f)
-    types = f.types
-    tann = f.annotations.where(F.col("owner_kind") == "type").select(
-        *K, F.col("owner_id").alias("fqcn"), "ord", "simple_name", "text", "shape")
-    custom = custom_stereotypes(f).withColumn("_custom", F.lit(True))
+    types, units = f.types, f.units
+    tann = every.annotations.where(F.col("owner_kind") == "type").select(
+        *K, F.col("owner_id").alias("fqcn"), "path", "ord", "simple_name", "text", "shape")
+    custom = custom_stereotypes(every._replace(types=units)).withColumn("_custom", F.lit(True))
     builtin_rank = F.array_position(F.array(*[F.lit(s) for s in C.STEREOTYPES]), F.col("simple_name"))
     st = (tann.join(custom.withColumnRenamed("name", "simple_name"), [*K, "simple_name"], "left")
           .where((builtin_rank > 0) | F.col("_custom").isNotNull())
-          .select(*K, "fqcn", "simple_name",
+          .select(*K, "fqcn", "path", "simple_name",
                   F.struct(F.when(builtin_rank > 0, builtin_rank).otherwise(F.lit(100)), F.col("ord")).alias("_r")))
-    stereo = st.groupBy(*K, "fqcn").agg(F.min_by("simple_name", "_r").alias("stereotype"))
-    classes = (types.where(~F.col("is_interface") & ~F.col("is_annotation"))
-               .join(stereo, [*K, "fqcn"], "inner")
-               .select(*K, "fqcn", "stereotype", "path", "line", F.lit(False).alias("terminal"),
-                       F.struct("path", "type_ord").alias("scan_ord")))
-    mappers = (types.where(F.col("is_interface") & ~F.col("is_annotation"))
-               .join(tann.where(F.col("simple_name") == "Mapper").select(*K, "fqcn").distinct(), [*K, "fqcn"])
+    stereo = st.groupBy(*K, "fqcn", "path").agg(F.min_by("simple_name", "_r").alias("stereotype"))
+    classes = (units.where(~F.col("is_interface") & ~F.col("is_annotation"))
+               .join(stereo, [*K, "fqcn", "path"], "inner")
+               .select(*K, "fqcn", "stereotype", "path", "line", F.lit(False).alias("terminal"), _scan_ord()))
+    mappers = (units.where(F.col("is_interface") & ~F.col("is_annotation"))
+               .join(tann.where(F.col("simple_name") == "Mapper").select(*K, "fqcn", "path").distinct(), [*K, "fqcn", "path"])
                .select(*K, "fqcn", F.lit("Mapper").alias("stereotype"), "path", "line",
-                       F.lit(True).alias("terminal"), F.struct("path", "type_ord").alias("scan_ord")))
-    repos = _repository_interfaces(f)
-    factory = _factory_beans(f)
+                       F.lit(True).alias("terminal"), _scan_ord()))
+    repos = _repository_interfaces(every).join(mappers.select(*K, "fqcn", "path"), [*K, "fqcn", "path"], "left_anti")
+    declared = classes.unionByName(mappers).unionByName(repos)
+    # the last declaration defines a bean, the first one its place in the order
+    declared = (declared.groupBy(*K, "fqcn").agg(
+        F.max_by(F.struct("stereotype", "path", "line", "terminal"), "scan_ord").alias("_b"), F.min("scan_ord").alias("scan_ord"))
+        .select(*K, "fqcn", "_b.*", "scan_ord"))
+    made = cut_lineage(_factory_methods(every))
     # each of these is read several times below: materialise once (small plans, cheap recovery)
-    universe = cut_lineage(C.universe([(0, classes), (0, mappers), (0, repos), (1, factory)], keys=K))
+    universe = cut_lineage(C.universe([(0, declared), (1, _factory_beans(made))], keys=K))
     # sites: uninitialised instance fields and @Bean method parameters
     fields = C.site_filter(f.fields.withColumn("_init", F.col("init_kind").isNotNull()),
                            type_written="type_written", is_primitive="is_primitive",
@@ -336,14 +358,14 @@ def beans(f: Facts) -> Beans:
     field_beans = universe.where(~F.col("terminal") & (F.col("stereotype") != "Bean")).select(*K, "fqcn")
     fsites = (fields.join(field_beans, [*K, "fqcn"], "inner")
               .withColumn("owner_id", F.concat_ws("#f", "fqcn", F.col("ord").cast("string")))
-              .join(qual, [*K, "owner_id"], "left")
+              .join(qual, [*K, "path", "owner_id"], "left")
               .select(*K, F.col("fqcn").alias("bean"), F.col("ord").alias("site_ord"),
                       F.col("name").alias("field_name"), "type_written", "type_args", "line", "path",
                       "qualifier"))
-    psites = _factory_params(f, universe)
+    psites = _factory_params(every, made, universe)
     sites = fsites.unionByName(psites)
     # declared type -> FQCN (collection containers keep their own name)
-    pk = types.select(*K, F.col("path").alias("path"), F.col("package").alias("_pkg")).distinct()
+    pk = units.select(*K, "path", F.col("package").alias("_pkg")).distinct()
     sites = sites.join(pk, [*K, "path"], "left")
     is_coll = F.col("type_written").isin(C.COLLECTION_TYPES)
     elem, ok = C.collection_element("type_written", "type_args")
@@ -405,64 +427,74 @@ def beans(f: Facts) -> Beans:
 def _qualifiers(f: Facts, fann: DataFrame) -> DataFrame:
     """The first ``@Qualifier`` of each site, if it is written ``@Qualifier("x")``; the named form
     ``value = "x"`` and arrays say nothing."""
-    q = (fann.where(F.col("simple_name") == "Qualifier").groupBy(*K, "owner_id")
+    q = (fann.where(F.col("simple_name") == "Qualifier").groupBy(*K, "path", "owner_id")
          .agg(F.min(F.struct(F.col("ord").alias("annotation_ord"), "shape")).alias("_q"))
-         .select(*K, "owner_id", "_q.*").where(F.col("shape") == "single"))
+         .select(*K, "path", "owner_id", "_q.*").where(F.col("shape") == "single"))
     v = f.values.where((F.col("attr") == "value") & (F.col("expr_kind") == "literal")
                        & ~F.coalesce(F.col("in_array"), F.lit(False))).select(
-        *K, "owner_id", "annotation_ord", F.col("expr_text").alias("qualifier"))
-    return q.join(v, [*K, "owner_id", "annotation_ord"]).select(*K, "owner_id", "qualifier")
+        *K, "path", "owner_id", "annotation_ord", F.col("expr_text").alias("qualifier"))
+    return q.join(v, [*K, "path", "owner_id", "annotation_ord"]).select(*K, "path", "owner_id", "qualifier")
+
+
+def _scan_ord(prio: int = 0, method_ord: Column | None = None) -> Column:
+    """Place of a bean: declared ones by file and position, then made ones by file and method."""
+    return F.struct(F.lit(prio).alias("prio"), "path", "type_ord",
+                    (F.lit(-1) if method_ord is None else method_ord).cast("long").alias("m_ord")).alias("scan_ord")
 
 
 def _repository_interfaces(f: Facts) -> DataFrame:
     """Interfaces built on a repository base, directly or through scanned parent interfaces."""
-    ifaces = f.types.where(F.col("is_interface") & ~F.col("is_annotation"))
+    own = f.units.where(F.col("is_interface") & ~F.col("is_annotation"))
     ext = (f.supertypes.where(F.col("relation") == "extends")
-           .join(ifaces.select(*K, "fqcn", F.col("package").alias("_pkg")), [*K, "fqcn"]))
+           .join(own.select(*K, "fqcn", "path", F.col("package").alias("_pkg")), [*K, "fqcn", "path"]))
     res = resolve_type_names(ext, f, name="written_name", path="path", package="_pkg")
     kc = lambda c: F.concat_ws("\u0001", *K, c)
     simple_written = F.substring_index("written_name", ".", -1)
     bases = res.where(simple_written.isin(C.REPOSITORY_BASES)).select(
-        kc("fqcn").alias("owner"), F.col("ord"), simple_written.alias("base"))
-    parents = (res.join(ifaces.select(*K, F.col("fqcn").alias("resolved")), [*K, "resolved"], "inner")
-               .select(kc("fqcn").alias("child"), kc("resolved").alias("parent"), "ord"))
-    starts = ifaces.select(kc("fqcn").alias("request_id"), kc("fqcn").alias("start"))
+        kc(_unit()).alias("owner"), F.col("ord"), simple_written.alias("base"))
+    entry = f.types.where(F.col("is_interface") & ~F.col("is_annotation")).select(
+        *K, F.col("fqcn").alias("resolved"), _unit().alias("_entry"))
+    parents = (res.join(entry, [*K, "resolved"], "inner")
+               .select(kc(_unit()).alias("child"), kc("_entry").alias("parent"), "ord"))
+    starts = own.select(kc(_unit()).alias("request_id"), kc(_unit()).alias("start"))
     fb = G.first_base(starts, parents, bases, req_id="request_id", start="start")
     found = fb.select(F.col("request_id").alias("_k"), F.col("base").alias("stereotype"))
-    return (ifaces.withColumn("_k", kc("fqcn")).join(found, "_k", "inner")
-            .select(*K, "fqcn", "stereotype", "path", "line", F.lit(True).alias("terminal"),
-                    F.struct("path", "type_ord").alias("scan_ord")))
+    return (own.withColumn("_k", kc(_unit())).join(found, "_k", "inner")
+            .select(*K, "fqcn", "stereotype", "path", "line", F.lit(True).alias("terminal"), _scan_ord()))
 
 
 def _factory_methods(f: Facts) -> DataFrame:
+    """Per produced FQCN its first ``@Bean`` method of a ``@Configuration`` class, in file order."""
     config = (f.annotations.where((F.col("owner_kind") == "type") & (F.col("simple_name") == "Configuration"))
-              .select(*K, F.col("owner_id").alias("fqcn")).distinct())
+              .select(*K, F.col("owner_id").alias("fqcn"), "path").distinct())
     bean_m = (f.annotations.where((F.col("owner_kind") == "method") & (F.col("simple_name") == "Bean"))
-              .select(*K, "owner_id").distinct())
-    m = f.methods.withColumn("owner_id", F.concat_ws("#m", "fqcn", F.col("ord").cast("string")))
-    return m.join(bean_m, [*K, "owner_id"]).join(config, [*K, "fqcn"])
+              .select(*K, "owner_id", "path").distinct())
+    owner = f.units.where(~F.col("is_interface")).select(*K, "fqcn", "path", "type_ord", F.col("package").alias("_pkg"))
+    m = (f.methods.withColumn("owner_id", F.concat_ws("#m", "fqcn", F.col("ord").cast("string")))
+         .join(bean_m, [*K, "owner_id", "path"]).join(config, [*K, "fqcn", "path"]).join(owner, [*K, "fqcn", "path"]))
+    res = resolve_type_names(m, f, name="return_type", path="path", package="_pkg").where(F.col("resolved").isNotNull())
+    cols = ["fqcn", "path", "type_ord", "line", F.col("ord").alias("method_ord")]
+    return (res.groupBy(*K, "resolved").agg(F.min_by(F.struct(*cols), F.struct("path", "type_ord", "ord")).alias("_m"))
+            .select(*K, "resolved", "_m.*"))
 
 
-def _factory_beans(f: Facts) -> DataFrame:
-    fm = _factory_methods(f).join(f.types.select(*K, "fqcn", F.col("package").alias("_pkg")), [*K, "fqcn"])
-    res = resolve_type_names(fm, f, name="return_type", path="path", package="_pkg")
-    return res.where(F.col("resolved").isNotNull()).select(
-        *K, F.col("resolved").alias("fqcn"), F.lit("Bean").alias("stereotype"), "path", "line",
-        F.lit(False).alias("terminal"), F.struct("path", F.lit(1 << 30).alias("type_ord")).alias("scan_ord"))
+def _factory_beans(made: DataFrame) -> DataFrame:
+    return made.select(*K, F.col("resolved").alias("fqcn"), F.lit("Bean").alias("stereotype"), "path", "line",
+                       F.lit(False).alias("terminal"), _scan_ord(1, F.col("method_ord")))
 
 
-def _factory_params(f: Facts, universe: DataFrame) -> DataFrame:
-    """``@Bean`` method parameters are sites of the bean the method produces."""
-    fm = _factory_methods(f).join(f.types.select(*K, "fqcn", F.col("package").alias("_pkg")), [*K, "fqcn"])
-    res = resolve_type_names(fm, f, name="return_type", path="path", package="_pkg")
-    p = C.factory_sites(f.params, res.withColumn("method_ord", F.col("ord")), owner="fqcn",
-                        method_ord="method_ord", produced="resolved", keys=K)
+def _factory_params(f: Facts, made: DataFrame, universe: DataFrame) -> DataFrame:
+    """``@Bean`` method parameters are sites of the bean the method produces, if nothing but the
+    method makes it a bean."""
+    only = universe.where(F.col("stereotype") == "Bean").select(*K, F.col("fqcn").alias("resolved"))
+    made = made.join(only, [*K, "resolved"], "left_semi").select(*K, "fqcn", "path", "method_ord", "resolved")
+    p = C.factory_sites(f.params, made, owner="fqcn", method_ord="method_ord", produced="resolved", keys=[*K, "path"])
     p = p.where(~F.col("is_primitive") & ~F.col("type_written").isin(C.NON_BEAN_SIMPLE_TYPES)
                 & ~F.col("type_written").startswith("java.") & ~F.col("type_written").startswith("javax."))
     p = p.withColumn("owner_id", F.concat("fqcn", F.lit("#m"), F.col("method_ord").cast("string"), F.lit("#p"),
                                           F.col("ord").cast("string")))
     qual = _qualifiers(f, f.annotations.where(F.col("owner_kind") == "param"))
-    return p.join(qual, [*K, "owner_id"], "left").select(
+    return p.join(qual, [*K, "path", "owner_id"], "left").select(
         *K, "bean", (F.lit(1 << 20) + F.col("ord")).alias("site_ord"), F.col("name").alias("field_name"),
         "type_written", "type_args", "line", "path", "qualifier")
 
