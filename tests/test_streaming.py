@@ -28,3 +28,23 @@ def test_stream_picks_up_arrivals_only(spark):
     got = sorted((r.path, r.source_set) for r in rows)
     assert got == [("src/main/java/a/A.java", "production"), ("src/main/java/a/B.java", "production"),
                    ("src/test/java/a/ATest.java", "test")]
+
+
+def test_epochs_run_again_leave_their_rows_once(spark):
+    from wirefold.streaming.arrivals import delivered, stream_arrivals, uncommit
+
+    base = tempfile.mkdtemp(prefix="wf-arrivals-", dir="/tmp")
+    landing, sink, state = (os.path.join(base, d) for d in ("landing", "sink", "state"))
+    rows = spark.createDataFrame([(i, f"f{i}") for i in range(6)], "id long, name string")
+    run = lambda **more: stream_arrivals(spark, landing, rows.schema, sink=sink, checkpoint=state, **more)
+    got = lambda: sorted(r.id for r in delivered(spark, sink, rows.schema).collect())
+    assert uncommit(spark, state) is None
+    rows.where("id < 2").coalesce(1).write.mode("append").parquet(landing)
+    assert run() == 1 and got() == [0, 1]
+    assert run() == 0 and got() == [0, 1]
+    for i in range(2, 6):
+        rows.where(f"id = {i}").coalesce(1).write.mode("append").parquet(landing)
+    assert run(files_per_epoch=2) == 2 and got() == list(range(6))
+    assert uncommit(spark, state) == 2
+    assert run() == 1 and got() == list(range(6))
+    assert {r.epoch for r in delivered(spark, sink, rows.schema).collect()} == {0, 1, 2}
