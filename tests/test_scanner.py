@@ -80,3 +80,9 @@ def test_unterminated_comment_and_string_fail_cleanly():
     for text in ("class A { /* never closed }", 'class A { String s = "open; }'):
         rows = scan_source("X.java", text)
         assert [r["fact_kind"] for r in rows] == ["parse_failures"]
+
+
+def test_cut_off_generics_are_one_failure_row():
+    for text in ("class A { <T>", "class A { <", "class A<", "@", "class A { @X("):
+        rows = scan_source("X.java", text)
+        assert [r["fact_kind"] for r in rows] == ["parse_failures"] and rows[0]["reason"], text

@@ -597,10 +597,11 @@ _COLS = [f.name for f in FACT_SCHEMA.fields]
 
 
 def scan_source(path: str, content: str) -> list[dict]:
-    """Fact rows of one file, or a single parse-failure row."""
+    """Fact rows of one file, or a single parse-failure row: whatever a file makes the scanner stumble
+    over is that file's reject, never the end of the job."""
     try:
         return Scanner(content, path).run()
-    except (ParseError, RecursionError, IndexError) as e:
+    except Exception as e:  # noqa: BLE001
         msg = str(e).splitlines()[0] if str(e) else type(e).__name__
         return [{"fact_kind": "parse_failures", "path": path, "reason": msg}]
 
