@@ -38,3 +38,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: st
     return (dealt.withColumn(name, within).join(offsets, on)
             .withColumn(name, F.col(name) + F.col("_offset"))
             .select(*df.columns, name, *([F.col("_total").alias(total)] if total else [])))
+
+
+def running_sum(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """``df`` plus ``name``: the sum of ``amount`` over all rows that stand before the row by ``order``
+    (ascending, nulls first; 0 for the first). Rows that tie in ``order`` stand in any order.
+
+    As in ``numbered``: ranges are summed on their own, and the sums of the ranges before, one row
+    per range, give each its offset. No group holds more than one range.
+    """
+    bucket = "_part"
+    dealt = cut_lineage(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(bucket, F.spark_partition_id()))
+    sums = dealt.groupBy(bucket).agg(F.sum(amount).alias("_s"))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(bucket, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    within = (Window.partitionBy(bucket).orderBy(*[F.col(c) for c in order])
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (dealt.withColumn(name, F.coalesce(F.sum(amount).over(within), F.lit(0))).join(offsets, bucket)
+            .withColumn(name, (F.col(name) + F.col("_offset")).cast("long")).select(*df.columns, name))
