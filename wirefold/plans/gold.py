@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from wirefold.operators import candidates as C
 from wirefold.operators import coverage as CV
 from wirefold.operators import graph as G
+from wirefold.operators.first_bases import first_bases
 from wirefold.operators import resolve as RS
 from wirefold.operators import roles as RL
 from wirefold.operators import routes as R
@@ -456,9 +457,7 @@ def _repository_interfaces(f: Facts) -> DataFrame:
         *K, F.col("fqcn").alias("resolved"), _unit().alias("_entry"))
     parents = (res.join(entry, [*K, "resolved"], "inner")
                .select(kc(_unit()).alias("child"), kc("_entry").alias("parent"), "ord"))
-    starts = own.select(kc(_unit()).alias("request_id"), kc(_unit()).alias("start"))
-    fb = G.first_base(starts, parents, bases, req_id="request_id", start="start")
-    found = fb.select(F.col("request_id").alias("_k"), F.col("base").alias("stereotype"))
+    found = first_bases(parents, bases).select(F.col("node").alias("_k"), F.col("base").alias("stereotype"))
     return (own.withColumn("_k", kc(_unit())).join(found, "_k", "inner")
             .select(*K, "fqcn", "stereotype", "path", "line", F.lit(True).alias("terminal"), _scan_ord()))
 
