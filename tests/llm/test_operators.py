@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -266,6 +267,31 @@ def test_pii_disguises_need_no_other_word(text, found):
     assert ",".join(text[s:e] for s, _, e in pii.detect(text)[1]) == found
 
 
+@pytest.mark.parametrize("text", [
+    "x at " + "b. " * 300_000,
+    "jane dot doe at example dot com, " * 6_000,
+    "jane [at] example [dot] com " * 6_000,
+    "a_at_b_dot_com_at_" * 20_000,
+    "five five five 0 1 two 3 4 five six " * 6_000,
+], ids=["stops", "worded", "bracketed", "underscores", "digits"])
+def test_pii_time_is_linear_in_long_texts(text):
+    def seconds(part):
+        start = time.process_time()
+        pii.detect(part)
+        return time.process_time() - start
+
+    short = seconds(text[:len(text) // 8])
+    assert seconds(text) < 24 * short + 1  # 64 times if it were quadratic
+
+
+def test_pii_account_is_read_whole():
+    for between in (10, 72, 5_000):
+        text = "write to j." + "a" * between + " at example.com"
+        assert [(s, k) for s, k, _ in pii.detect(text)[1]] == [(9, 0)], between
+    for run, yes in [("ab", False), ("a.b", True), (".ab", False), ("a1b", True), ("1a", False), ("a%b", True), ("-.a", False), ("+-a", True)]:
+        assert pii._account(" " + run, len(run) + 1) is yes, run
+
+
 def test_pii_awkward(awkward):
     rows = pii.personal_data(awkward).collect()
     assert len(rows) == len(TEXTS) and all(r.spans == "" for r in rows) and rows[0].target == "clash"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -123,7 +124,6 @@ _gap_at, _gap_dot = r"(?:\s{1,3}|[_-])", r"(?:\s{1,3}|[_-])"
 _worded = re.compile(
     rf"(?<=[A-Za-z0-9])(?:{_gap_at}(?:{'|'.join(AT_WORDS)}){_gap_at}|\s{{0,3}}@\s{{0,3}})[A-Za-z0-9]++"
     rf"(?:-[A-Za-z0-9]++)*+(?:(?:{_gap_dot}(?:{_dot_word}){_gap_dot}|\s{{0,3}}\.\s{{0,3}})[A-Za-z0-9]++)+", re.I)
-_account = re.compile(r"(?:[A-Za-z0-9%+]+[._%+-][A-Za-z0-9._%+-]*|[A-Za-z]+[0-9]+[A-Za-z0-9._%+-]*)\Z")
 _worded_dot = re.compile(rf"{_gap_dot}(?:{_dot_word}){_gap_dot}|\s{{0,3}}\.\s{{0,3}}", re.I)
 _worded_at = re.compile(rf"(?:{_gap_at}(?:{'|'.join(AT_WORDS)}){_gap_at}|\s{{0,3}}@\s{{0,3}})", re.I)
 
@@ -195,6 +195,25 @@ def _top(label: str) -> bool:
     return label.lower() in LAST_LABELS
 
 
+def _account(text: str, end: int) -> bool:
+    """Does the run of local-part characters before ``end`` look like an account's name: a mark behind a
+    letter, digit, % or +, or a digit behind a letter? Read backwards up to the first such pair."""
+    for k in range(end - 1, 0, -1):
+        here, before = text[k], text[k - 1]
+        if here not in _local or before not in _local:
+            return False
+        if here in "._%+-" and before not in "._-" or here.isdigit() and before.isalpha():
+            return True
+    return False
+
+
+def _last_label(text: str, start: int, end: int) -> str:
+    k = end
+    while k > start and text[k - 1] not in "._-" and not text[k - 1].isspace():
+        k -= 1
+    return text[k:end]
+
+
 def _worded_edits(text):
     """Bare at and dot words, and blanks around the marks. Without a disguised dot the part before
     "at" has to look like a name of an account, with a digit or mark in it.
@@ -207,17 +226,20 @@ def _worded_edits(text):
         dots = list(_worded_dot.finditer(text, at.end(), end))
         stops = [d[0][0] == "." and len(d[0]) > 1 for d in dots]
         labels = [text[d.end():e] for d, e in zip(dots, [*(d.start() for d in dots[1:]), end])]
+        plain = False
         for i, stop in enumerate(stops):
-            if stop and (labels[i].istitle() and not _top(labels[i]) or any(d[0] == "." for d in dots[:i])):
+            if stop and (plain or labels[i].istitle() and not _top(labels[i])):
                 end, dots = dots[i].start(), dots[:i]
                 break
-        ends = lambda: re.split(r"[\s._-]", text[m.start():end])[-1]
-        while dots and stops[len(dots) - 1] and not _top(ends()) and len(ends()) != 2:
+            plain = plain or dots[i][0] == "."
+        last = _last_label(text, m.start(), end)
+        while dots and stops[len(dots) - 1] and not _top(last) and len(last) != 2:
             end = dots.pop().start()
-        if not dots or not _top(ends()) and len(ends()) != 2:
+            last = _last_label(text, m.start(), end)
+        if not dots or not _top(last) and len(last) != 2:
             continue
-        disguised = any(d[0] != "." and (not stop or _top(ends())) for d, stop in zip(dots, stops))
-        if not disguised and "@" not in at[0] and not _account.search(text, max(0, at.start() - 64), at.start()):
+        disguised = any(d[0] != "." and (not stop or _top(last)) for d, stop in zip(dots, stops))
+        if not disguised and "@" not in at[0] and not _account(text, at.start()):
             continue
         for mark, m in [("@", at), *((".", d) for d in dots)]:
             if m[0] != mark:
@@ -242,16 +264,18 @@ def detect(text: str | None) -> tuple[list, list]:
     base, added = find(text), []
     mapped = normalise(text)
     if mapped:
-        taken = list(base)
+        plain = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+        last = [0] * len(KINDS)  # spans of a kind come by ascending start
         for start, kind, end in find(mapped.text):
             s, e, changed = mapped.source(start, end)
             while e > s and text[e - 1].isspace():
                 e -= 1
             while s < e and text[s].isspace():
                 s += 1
-            if changed and s < e and not any(k == kind and a <= s and e <= b for a, k, b in taken):
+            i = bisect_right(plain[kind], s, key=itemgetter(0)) - 1
+            if changed and s < e and e > last[kind] and (i < 0 or e > plain[kind][i][1]):
                 added.append((s, kind, e))
-                taken.append((s, kind, e))
+                last[kind] = e
     return base, added
 
 
