@@ -58,3 +58,26 @@ def constants(fields: DataFrame, *, owner_is_interface: str, is_static: str, is_
           & (F.col(type_written) == "String") & (F.col(init_kind) == "string_literal"))
     value = F.regexp_replace(F.regexp_replace(F.col(init_text), r'^"', ""), r'"$', "")
     return fields.where(ok).withColumn("value", value)
+
+
+def status_in_one_pass(inputs: Sequence[tuple], *, keys: Sequence[str] = ()) -> DataFrame:
+    """``index_status`` where several metrics come from one table: ``keys, metric, reason, n``.
+
+    ``inputs`` are (rows, metrics); a metric is (name, condition[, reason[, amount]]) over these rows:
+    the number of rows that meet the condition, or the sum of ``amount``, per reason. Each row is
+    tagged with the metrics that it counts for, all inputs' tags go through one grouped sum, and
+    each input is read once, whatever the number of its metrics. Partial sums leave a task
+    with one row per (keys, metric, reason). A condition that is null counts nothing, a null amount
+    adds nothing; a metric that no row meets has no row, as in ``index_status``.
+    """
+    keys = list(keys)
+    out = None
+    for rows, metrics in inputs:
+        tags = [F.when(cond, F.struct(F.lit(name).alias("metric"),
+                                      (rest[0] if rest else F.lit(None)).cast("string").alias("reason"),
+                                      (rest[1] if len(rest) > 1 else F.lit(1)).cast("long").alias("_w")))
+                for name, cond, *rest in metrics]
+        tagged = (rows.select(*keys, F.explode(F.array_compact(F.array(*tags))).alias("_t"))
+                  .select(*keys, "_t.metric", "_t.reason", "_t._w"))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out.groupBy(*keys, "metric", "reason").agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"))
