@@ -405,6 +405,24 @@ def test_url_rules(spark):
 
 
 # --- 7 -------------------------------------------------------------------------------------------
+def test_warc_late_charset_headers_and_missing_ids(spark):
+    schema = ("record_id string, target_uri string, warc_date string, ip_address string, payload_digest string, "
+              "block_digest string, http_headers string, body string")
+    late = "<html><!--" + "x" * 5_000 + "--><meta charset=koi8-r><title>t</title>"
+    http = "HTTP/1.1 200 OK\r\nServer: a: b\r\ncontent-type: text/html\r\nSet-Cookie:x=1\r\nset-cookie: y=2\r\n\r\n"
+    rows = [(None, "u1", None, None, None, None, http, late), (None, "u2", None, None, None, None, http, late),
+            ("r", "u3", None, None, None, None, http.replace("text/html", "text/html; charset=utf-8"), late),
+            (None, None, None, None, None, None, None, None)]
+    out = warc.derivatives(spark.createDataFrame(rows, schema)).collect()
+    meta = {r.target_uri: r.block.split("\r\n") for r in out if r.record_type == "metadata"}
+    assert len({r.record_id for r in out}) == len(out) == 8
+    assert "charset: koi8-r" in meta["u1"] and "charset: utf-8" in meta["u3"]
+    assert [x for x in meta["u1"] if x.startswith("http-")] == [
+        "http-status: 200", "http-content-type: text/html", "http-header: Server: a: b", "http-header: Set-Cookie:x=1",
+        "http-header: set-cookie: y=2"]
+    assert meta[None][0].startswith("conversion-id: ") and not any(m[0] == "" for m in meta.values())
+
+
 def test_warc(spark):
     html = ('<html lang="en"><head><title>A &amp; B</title><script>var x="<p>no</p>"</script></head><body><!-- c -->'
             '<p>One<br>two &lt;3</p><a href="/x y">link</a><style>p{}')

@@ -25,6 +25,7 @@ TITLE = rf"(?is)<title(?:{_WS}[^>]*)?>(.*?)</title"
 LANG = rf"(?is)<html{_WS}[^>]*?lang{_WS}*=[\x20\x09-\x0D\x22']*([a-zA-Z0-9-]+)"
 LINK = rf"(?is)<a{_WS}[^>]*?href{_WS}*=[\x20\x09-\x0D]*[\x22']([^\x22'>]*)"
 CHARSET = r"(?i)charset=[\x22']?([a-zA-Z0-9_.:-]+)"
+HEADER = r"\n([^\s:]+[\x20\x09]*:[^\r\n]*)"
 CRLF = "\r\n"
 
 
@@ -70,40 +71,45 @@ def derivatives(responses: DataFrame) -> DataFrame:
     ``responses``: ``record_id, target_uri, warc_date, ip_address, payload_digest, block_digest,
     http_headers, body`` (strings; any may be null, a null body is empty). Returns ``refers_to``
     (the response's id, unchanged), ``record_type`` (``metadata`` or ``conversion``), ``record_id``
-    (from the response's id and the type, so reruns agree), ``target_uri``, ``warc_date``,
+    (from the type and the response's id, or all of the response where it has none, so reruns agree), ``target_uri``, ``warc_date``,
     ``source_payload_digest`` (the source's, or computed from the body where it has none),
     ``source_block_digest`` (null if the source has none), ``block_digest`` (of the new block),
     ``content_length`` (bytes), ``header`` (the whole WARC header) and ``block``. The metadata
-    block is warc-fields: HTTP status, content type, charset, language, title, one line per link,
-    and the id, size and digest of the conversion. Repeated responses give repeated records, an
+    block is warc-fields: HTTP status, content type, charset (of the http headers, else the first in
+    the whole body), language, title, every other http header, one line per link, and the id, size and digest
+    of the conversion; what is missing has no line. Repeated responses give repeated records, an
     empty table none. One pass, no shuffle.
     """
     body = F.coalesce("body", F.lit(""))
     http = F.coalesce("http_headers", F.lit(""))
     # a line of the warc-fields must not break
     flat = lambda c: F.trim(F.regexp_replace(c, r"[\x00-\x20]+", " "))
+    source = F.coalesce("record_id", F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in (
+        "target_uri", "warc_date", "ip_address", "payload_digest", "block_digest")], F.sha1(http), F.sha1(body)))
     r = responses.select(
         F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "ip_address",
         F.coalesce("payload_digest", _digest(body)).alias("source_payload_digest"),
         F.col("block_digest").alias("source_block_digest"), plain_text(body).alias("text"),
         flat(F.regexp_extract(http, r"^HTTP/[0-9.]+ ([0-9]{3})", 1)).alias("status"),
         flat(F.regexp_extract(http, r"(?i)\nContent-Type:([^\r\n]*)", 1)).alias("mime"),
-        F.regexp_extract(F.concat(http, F.lit(" "), F.substring(body, 1, 2048)), CHARSET, 1).alias("charset"),
+        F.when(http.rlike(CHARSET), F.regexp_extract(http, CHARSET, 1)).otherwise(F.regexp_extract(body, CHARSET, 1)).alias("charset"),
+        F.filter(F.transform(F.regexp_extract_all(http, F.lit(HEADER), 1), flat),
+                 lambda h: ~h.rlike("(?i)^content-type *:")).alias("http_lines"),
         F.regexp_extract(body, LANG, 1).alias("lang"),
         flat(_unescape(F.regexp_extract(body, TITLE, 1))).alias("title"),
         F.transform(F.regexp_extract_all(body, F.lit(LINK), 1), flat).alias("links"),
-        record_id(F.col("record_id"), F.lit("conversion")).alias("conversion_id"),
-        record_id(F.col("record_id"), F.lit("metadata")).alias("metadata_id"))
+        record_id(source, F.lit("conversion")).alias("conversion_id"), record_id(source, F.lit("metadata")).alias("metadata_id"))
     r = r.withColumn("text_digest", _digest(F.col("text")))
     fields = F.concat_ws(
         CRLF,
         _lines(("http-status", F.col("status")), ("http-content-type", F.col("mime")), ("charset", F.col("charset")),
                ("language", F.col("lang")), ("title", F.col("title"))),
+        F.array_join(F.transform("http_lines", lambda x: F.concat(F.lit("http-header: "), x)), CRLF),
         F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)), CRLF),
         _lines(("conversion-id", F.col("conversion_id")),
                ("conversion-length", F.octet_length("text").cast("string")), ("conversion-digest", F.col("text_digest"))),
         F.lit(""))
-    r = r.withColumn("fields", F.regexp_replace(fields, r"(\r\n){2,}", CRLF))
+    r = r.withColumn("fields", F.ltrim(F.regexp_replace(fields, r"(\r\n){2,}", CRLF), F.lit(CRLF)))
     both = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.col("metadata_id").alias("record_id"),
                  F.lit("application/warc-fields").alias("mime_out"), F.col("fields").alias("block"),
