@@ -134,6 +134,27 @@ def test_context_mixing_awkward(awkward):
     assert context_mixing.score_documents(awkward.limit(0), never).collect() == []
 
 
+def test_unknown_words_cost_in_proportion_to_their_length(spark):
+    rows = ([(i, "some plain words that stand here again", "en") for i in range(1, 60)]
+            + [(10_000 + n, "q" * n, "en") for n in (250, 500, 1_000, 20_000)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    score = {r.doc_id: r.score for r in context_mixing.score_documents(docs, F.col("doc_id") > 10_000).collect()}
+    facts = context_mixing.Facts([50.0], [20.0], [5.0], [5.0], 20, 0.75)
+    lengths = np.array([240.0, 400, 2_000, 20_000])
+    got = facts.log10(np.zeros((1, 4)), -lengths)[0] + lengths
+    assert np.allclose(got, got[0], atol=1e-6) and -2 < got[0] < 0
+    assert score[30_000] < 10 * score[10_500] and score[11_000] < score[10_500] and all(v < 0 for v in score.values())
+
+
+def test_adapted_scores_of_hardly_likely_repeats():
+    times = np.array([3, 2, 1])
+    for p in (-20.0, -50.0, -400.0, -20_000.0):
+        got = context_mixing.adapted_log10(times, np.array([p, -2.0, -2.0]))
+        least = context_mixing.adapted_log10(times, np.array([p - 100, -2.0, -2.0]))
+        # the first occurrence costs the word's own probability, the others next to nothing of it
+        assert np.allclose(np.subtract(got[:-1], least[:-1]), 100, atol=1e-6), p
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 def test_rans_round_trip():
     rng = np.random.default_rng(2)
