@@ -21,6 +21,8 @@ HOT_LEAST, HOT_BITS = 6, 26
 #: Rows of a block that one R-tree takes; bits of the filter for texts to read again; entries of a
 #: tree node, and of a block that is a single one; partners that share a copy of a set in the last check.
 TILE, FILTER_BITS, FANOUT, ONE_NODE, PARTNERS = 2_048, 25, 16, 32, 256
+#: Members of a block, picked by hash, that everyone who is still apart from them is paired with.
+HUBS = 8
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -236,6 +238,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return text_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def _counted(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    return (pairs.join(profiles.toDF("a", "n_a", "counts_a"), "a").join(profiles.toDF("b", "n_b", "counts_b"), "b")
+            .select("a", "b", "n_a", "n_b", "counts_a", "counts_b"))
+
+
+def _apart(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the blocks that are not yet one component."""
+    placed = (entries.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+              .select("token", "m", "class_id", "n", F.coalesce("component", "class_id").alias("component")))
+    mixed = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("token"))
+    return placed.join(mixed, "token")
+
+
+def _hub_pairs(apart: DataFrame) -> DataFrame:
+    """``a, b``: each row of a block with the block's ``HUBS`` hubs that it is apart from and whose
+    size allows a link. A hub has the smallest hash of its block, so the blocks of one group of
+    copies agree on theirs, and a row has few partners however many blocks it shares with them."""
+    picks = [F.min(F.struct(F.xxhash64("class_id", F.lit(i)), "class_id", "component", "n")).alias(f"h{i}") for i in range(HUBS)]
+    hubs = apart.groupBy("token").agg(*picks).select("token", F.array(*(f"h{i}" for i in range(HUBS))).alias("hubs"))
+    far = lambda h: ((h.component != F.col("component"))
+                     & (100 * F.least(h.n, F.col("n")) >= PERCENT * F.greatest(h.n, F.col("n"))))
+    met = (apart.join(hubs, "token")
+           .select("class_id", F.array_distinct(F.transform(F.filter("hubs", far), lambda h: h.class_id)).alias("hubs"))
+           .where(F.size("hubs") > 0).distinct())
+    return (met.select("class_id", F.explode("hubs").alias("hub"))
+            .select(F.least("class_id", "hub").alias("a"), F.greatest("class_id", "hub").alias("b")).distinct())
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per document row: ``doc_id, text_hash, n_shingles,
     component_id`` (the smallest doc_id that links lead to), ``component`` (a key of the component,
@@ -247,7 +278,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
        documents or more have early (counted over all documents, kept as a fixed-size filter whose
        false alarms only reorder). Classes that share a prefix shingle make a block.
     3. In each block everyone is paired with its first class; pairs that sizes and count vectors
-       allow are checked exactly, and union-find joins what is linked.
+       allow are checked exactly, and union-find joins what is linked. In blocks that are not yet
+       one component, everyone is then paired in the same way with ``HUBS`` members picked by hash.
     4. What is still apart inside a block goes through an R-tree of count vectors (blocks of more
        than ``TILE`` rows as pairs of tiles, so no task holds a whole hot block); surviving pairs
        are checked exactly and joined. So every linked pair is either tested or already connected.
@@ -272,28 +304,28 @@ def similar_components(docs: DataFrame) -> DataFrame:
     stars = (entries.where("class_id <> first").where(f"100 * least(n, n_first) >= {PERCENT} * greatest(n, n_first)")
              .select(F.col("first").alias("a"), F.col("class_id").alias("b")).distinct())
     profiles = members.select("class_id", "n", "counts")
-    with_counts = (stars.join(profiles.toDF("a", "n_a", "counts_a"), "a").join(profiles.toDF("b", "n_b", "counts_b"), "b")
-                   .select("a", "b", "n_a", "n_b", "counts_a", "counts_b"))
-    stars = store(with_counts.mapInArrow(_bounded, "a long, b long"))
+    stars = store(_counted(stars, profiles).mapInArrow(_bounded, "a long, b long"))
     links = store(verify_pairs(stars, _sets_of(stars, members, keyed)))
     comps = store(components(links))
-    # blocks that are not yet one component
-    placed = (entries.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-              .select("token", "m", "class_id", "n", F.coalesce("component", "class_id").alias("component")))
-    mixed = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("token"))
+    hubs = _hub_pairs(_apart(entries, comps)).join(stars, ["a", "b"], "left_anti")
+    hubs = store(_counted(hubs, profiles).mapInArrow(_bounded, "a long, b long"))
+    tested = stars.union(hubs)
+    near = store(verify_pairs(hubs, _sets_of(hubs, members, keyed)))
+    # what is known so far, as each class with its component, and the links of the hubs
+    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near)
+    comps = store(components(links))
     tiles = F.ceil(F.col("m") / TILE)
     tile = F.pmod(F.xxhash64("class_id"), tiles)
-    cells = (placed.join(mixed, "token").join(profiles.select("class_id", "counts"), "class_id")
+    cells = (_apart(entries, comps).join(profiles.select("class_id", "counts"), "class_id")
              .withColumn("tile", tile).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
              .select("token", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"),
                      F.when(F.col("tile") == F.col("k"), 0).when(F.col("tile") < F.col("k"), 1).otherwise(2).alias("side"),
                      "class_id", "component", "n", "counts"))
     pairs = (cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "class_id")
-             .mapInPandas(_pairs_within, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
+             .mapInPandas(_pairs_within, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
     pairs = store(pairs)
     more = store(verify_pairs(pairs, _sets_of(pairs, members, keyed)))
-    comps = components(links.union(more))
+    comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     whole = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     whole = whole.withColumn("component", F.coalesce("component", "class_id"))
     lowest = whole.groupBy("component").agg(F.min("first_doc").alias("component_id"))
