@@ -305,6 +305,39 @@ def test_pii_time_is_linear_in_long_texts(text):
     assert seconds(text) < 24 * short + 1  # 64 times if it were quadratic
 
 
+@pytest.mark.parametrize("kind, found", [
+    ("email", "john dot doe at example dot online"), ("email", "jane.doe at example dot berlin"),
+    ("email", "ana punto ruiz arroba ejemplo punto tienda"), ("ip", "192 dot 168 dot 1 dot 1"),
+    ("phone", "+1 (five five five) 0 1 two 3 4 five"), ("email", "\U0001D423\U0001D428hn@example.\U0001D41Com"),
+    ("email", "john&#64;example.com"), ("email", "john&#x40;example&#46;com"), ("email", "a&commat;b&period;org")])
+def test_pii_further_disguises(kind, found):
+    k = pii.KINDS.index(kind)
+    for before, after in (("", ""), ("write to: ", " "), ("¿", "?\nand more")):
+        base, added = pii.detect(before + found + after)
+        assert (len(before), k, len(before) + len(found)) in added, (base, added)
+
+
+@pytest.mark.parametrize("text", [
+    "we met at noon. the dot was red", "steps 1 2 3 4 (5)", "AT&T; 3 &#64 4 &#9999999; x", "section 1 dot 2 of 3",
+    "a point on a line at some height", "one (1) of 3 (4) or 5", "𝐛𝐨𝐥𝐝 𝐰𝐨𝐫𝐝𝐬 ① ② ③"])
+def test_pii_plain_text_is_left_alone(text):
+    assert pii.detect(text) == ([], [])
+
+
+def test_pii_word_beside_a_plain_number():
+    base, added = pii.detect("+1 (848) 555-1373 Un an")
+    assert [x[1:] for x in base] == [(3, 17)] and not added
+
+
+@pytest.mark.parametrize("text", [
+    "a dot " * 200_000 + "b at c dot com", "1 dot " * 200_000, "(1) " * 250_000, "&#64;" * 200_000,
+    "john dot doe at x dot online " * 30_000])
+def test_pii_time_is_linear_in_further_disguises(text):
+    start = time.monotonic()
+    pii.detect(text)
+    assert time.monotonic() - start < 20
+
+
 def test_pii_account_is_read_whole():
     for between in (10, 72, 5_000):
         text = "write to j." + "a" * between + " at example.com"

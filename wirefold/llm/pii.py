@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from operator import itemgetter
 
@@ -85,8 +86,19 @@ INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_RUNS = [0x0660, 0x06F0, 0x0966, 0x09E6, 0x2080, 0xFF10, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6]
 
 
+def _compatible() -> dict[str, str]:
+    """Characters whose Unicode compatibility form is one ASCII letter, digit or mark of an identifier:
+    mathematical, circled, full-width and raised ones, and kinds of blanks."""
+    table = {}
+    for c in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        form = unicodedata.normalize("NFKC", chr(c))
+        if len(form) == 1 and form.isascii() and (form.isalnum() or form in "@.+-_% ()"):
+            table[chr(c)] = form
+    return table
+
+
 def _look_alikes() -> dict[str, str]:
-    table = LETTERS | MARKS | dict.fromkeys(INVISIBLE, "")
+    table = _compatible() | LETTERS | MARKS | dict.fromkeys(INVISIBLE, "")
     for first in DIGIT_RUNS:
         table |= {chr(first + d): str(d) for d in range(10)}
     table |= {c: str(d) for d, c in enumerate("⁰¹²³⁴⁵⁶⁷⁸⁹")}
@@ -104,19 +116,24 @@ DIGIT_WORDS = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
 }
+#: Of these, words that also stand beside a plain number by chance: alone at its edge they are no digit.
+ALSO_WORDS = ["oh", "one", "uno", "un", "neuf", "null"]
 #: What re.IGNORECASE takes for s and i beside their upper case.
 _SAME_CASE = str.maketrans("ſıİ", "sii")
 AT_WORDS = ["at", "arroba", "arobase", "chez"]
 DOT_WORDS = ["dot", "punto", "point", "punkt"]
 _digit_word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _dot_word = "|".join(DOT_WORDS)
+#: At words, and dot words before or behind them, that mean nothing else in running text.
+_AROUND = " \t\n\v\f\r_-"
+SURE_AT, SURE_DOT, LOCAL_DOT = ["@", "arroba", "arobase"], ["dot"], ["dot", "punto", "punkt"]
 #: Last labels that bare words ("at", "dot", without brackets) have to end in, or two letters.
 LAST_LABELS = ["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "app", "dev", "name"]
-_gap = r"[\s,;-]{1,3}"
+_gap = r"[\s,;()-]{1,3}"
 _unit = rf"(?:{_digit_word}|[0-9]+)"
-# four or more numbers in a row, at least one of them spelled; "plus" before them, dots between them
+# four or more numbers in a row, at least one of them or three dots spelled; "plus" before them, dots between them
 _spelled = re.compile(rf"(?<![^\W_])(?:(?:plus|más|\+)\s{{0,2}})?{_unit}(?:{_gap}(?:(?:{_dot_word}){_gap})?{_unit}){{3,}}(?![^\W_])", re.I)
-_spelled_part = re.compile(rf"(?P<plus>plus|más|\+)|(?P<dot>{_dot_word})|(?P<word>{_digit_word})|(?P<num>[0-9]+)|(?P<gap>[\s,;-]+)", re.I)
+_spelled_part = re.compile(rf"(?P<plus>plus|más|\+)|(?P<dot>{_dot_word})|(?P<word>{_digit_word})|(?P<num>[0-9]+)|(?P<gap>[\s,;()-]+)", re.I)
 _open, _close = r"[\[({<]", r"[\])}>]"
 _bracketed = re.compile(
     rf"\s{{0,3}}{_open}\s{{0,2}}(?:(?P<at>{'|'.join(AT_WORDS)}|@)|(?P<dot>{_dot_word}|\.))\s{{0,2}}{_close}\s{{0,3}}", re.I)
@@ -176,6 +193,19 @@ def _look_alike_edits(text):
             yield m.start(), m.end(), LOOK_ALIKE[m[0]]
 
 
+#: Names of references to marks in HTML.
+REFERENCES = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "lowbar": "_", "percnt": "%"}
+_reference = re.compile(rf"&(?:#(?P<ten>[0-9]{{1,7}})|#x(?P<hex>[0-9a-f]{{1,6}})|(?P<name>{'|'.join(REFERENCES)}));", re.I)
+
+
+def _reference_edits(text):
+    """Character references in HTML to ASCII letters, digits and marks."""
+    for m in _reference.finditer(text) if "&" in text else ():
+        code = int(m["ten"]) if m["ten"] else int(m["hex"], 16) if m["hex"] else ord(REFERENCES[m["name"].lower()])
+        if 0x20 <= code < 0x7F:
+            yield m.start(), m.end(), chr(code)
+
+
 def _bracketed_edits(text):
     for m in _bracketed.finditer(text):
         yield m.start(), m.end(), "@" if m["at"] else "."
@@ -184,7 +214,10 @@ def _bracketed_edits(text):
 def _spelled_edits(text):
     for m in _spelled.finditer(text):
         parts = list(_spelled_part.finditer(m[0]))
-        if not any(p["word"] for p in parts):
+        if not any(p["word"] for p in parts) and sum(p["dot"] is not None for p in parts) < 3:
+            continue
+        words = [i for i, p in enumerate(parts) if p["word"]]
+        if len(words) == 1 and words[0] in (0, len(parts) - 1) and parts[words[0]][0].lower() in ALSO_WORDS:
             continue
         new = "".join("+" if p["plus"] else "." if p["dot"] else str(DIGIT_WORDS[p["word"].translate(_SAME_CASE).lower()]) if p["word"]
                       else p["num"] or "" for p in parts)
@@ -214,13 +247,40 @@ def _last_label(text: str, start: int, end: int) -> str:
     return text[k:end]
 
 
+def _local_dots(text: str, end: int, free: int) -> list[tuple[int, int, str]]:
+    """Edits for dot words inside the local part that ends at ``end``, not before ``free``."""
+    def blanks(k):
+        j = k
+        while j > free and k - j < 3 and text[j - 1].isspace():
+            j -= 1
+        return j
+
+    edits, k = [], end
+    while True:
+        while k > free and text[k - 1] in _local:
+            k -= 1
+        j = blanks(k)
+        word = next((w for w in LOCAL_DOT if j < k and j - len(w) >= free and text[j - len(w):j].lower() == w), None)
+        i = j - len(word) if word else 0
+        h = blanks(i) if word else 0
+        if not word or h == i or h <= free or text[h - 1] not in _local:
+            return edits[::-1]
+        edits.append((h, k, "."))
+        k = h
+
+
 def _worded_edits(text):
     """Bare at and dot words, and blanks around the marks. Without a disguised dot the part before
     "at" has to look like a name of an account, with a digit or mark in it.
 
     A dot with blanks only behind it may be the end of a sentence. It is taken as one before a
     capitalised word, after a dot without blanks, and where what comes next can be no last label;
-    and it is a disguised dot for an "at" only if one of ``LAST_LABELS`` ends the match."""
+    and it is a disguised dot for an "at" only if one of ``LAST_LABELS`` ends the match.
+
+    Behind a dot word any label of letters may be the last, if the at word is one of ``SURE_AT``, or the
+    dot word one of ``SURE_DOT`` and the local part looks like an account's or has dot words of its
+    own, and no full stop with blanks stands between. Dot words in front of a taken "at" belong to the local part."""
+    free = 0
     for m in _worded.finditer(text):
         at, end = _worded_at.match(text, m.start()), m.end()
         dots = list(_worded_dot.finditer(text, at.end(), end))
@@ -236,21 +296,27 @@ def _worded_edits(text):
         while dots and stops[len(dots) - 1] and not _top(last) and len(last) != 2:
             end = dots.pop().start()
             last = _last_label(text, m.start(), end)
-        if not dots or not _top(last) and len(last) != 2:
+        inner = _local_dots(text, at.start(), free)
+        by_at = at[0].strip(_AROUND).lower() in SURE_AT and "." not in dots[-1][0] if dots else False
+        by_dot = bool(dots) and dots[-1][0].strip(_AROUND).lower() in SURE_DOT and (bool(inner) or _account(text, at.start()))
+        sure = (by_at or by_dot) and not any(stops[:len(dots)]) and last.isalpha() and len(last) >= 2
+        if not dots or not _top(last) and len(last) != 2 and not sure:
             continue
         disguised = any(d[0] != "." and (not stop or _top(last)) for d, stop in zip(dots, stops))
         if not disguised and "@" not in at[0] and not _account(text, at.start()):
             continue
+        yield from inner
+        free = end
         for mark, m in [("@", at), *((".", d) for d in dots)]:
             if m[0] != mark:
                 yield m.start(), m.end(), mark
 
 
 def normalise(text: str) -> Mapped | None:
-    """Look-alikes, then bracketed and spelled at/dot, then spelled digits, each sought in every
+    """References and look-alikes, then bracketed and spelled at/dot, then spelled digits, each sought in every
     text; None if nothing of the sort is there."""
     out = Mapped([(text, 0, len(text), False)])
-    for edits_of in (_look_alike_edits, _bracketed_edits, _worded_edits, _spelled_edits):
+    for edits_of in (_reference_edits, _look_alike_edits, _bracketed_edits, _worded_edits, _spelled_edits):
         edits = list(edits_of(out.text))
         out = out.rewrite(edits) if edits else out
     return out if any(p[3] for p in out.pieces) else None
