@@ -107,7 +107,6 @@ def _look_alikes() -> dict[str, str]:
 
 
 LOOK_ALIKE = _look_alikes()
-_look_alike = re.compile("[" + "".join(map(re.escape, LOOK_ALIKE)) + "]")
 
 #: Spelled digits (English, Spanish, French, German).
 DIGIT_WORDS = {
@@ -189,7 +188,8 @@ class Mapped:
 
 def _look_alike_edits(text):
     if not text.isascii():
-        for m in _look_alike.finditer(text):
+        there = LOOK_ALIKE.keys() & set(text)
+        for m in re.finditer("[" + "".join(map(re.escape, sorted(there))) + "]", text) if there else ():
             yield m.start(), m.end(), LOOK_ALIKE[m[0]]
 
 
