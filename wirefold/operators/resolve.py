@@ -88,15 +88,13 @@ def lookup_outcome(requests: DataFrame, entities: DataFrame, *, req_id: str, nam
     the request (``mode='simple'``) or whose qualified name ends with ``'.' + name``
     (``mode='suffix'``) is a candidate. One row per (request, candidate) with ``n_matches`` and
     ``status`` found / ambiguous / not-found; a request without candidates keeps one row with a
-    null candidate. Candidates stay long: a hot simple name never becomes one array.
+    null candidate. Candidates stay long: a hot simple name never becomes one array, and rows of
+    requests times matches are written as they are joined, never grouped.
     """
     keys = list(keys)
     ents = entities.select(*keys, F.col(qualified).alias("candidate"),
                            *( [F.col(simple).alias("_simple")] if simple else [] )).distinct()
     req = requests.select(*keys, req_id, F.col(name).alias("_name"))
-    exact = req.join(ents.select(*keys, "candidate").withColumnRenamed("candidate", "_name")
-                     .withColumn("candidate", F.col("_name")), [*keys, "_name"], "inner")
-    rest = req.join(exact.select(*keys, req_id).distinct(), [*keys, req_id], "left_anti")
     if mode == "simple":
         if not simple:
             raise ValueError("mode='simple' needs the simple-name column")
@@ -110,12 +108,25 @@ def lookup_outcome(requests: DataFrame, entities: DataFrame, *, req_id: str, nam
                  .where(F.col("_name") != ""))
     else:
         raise ValueError(mode)
-    simple_hits = rest.join(probe, [*keys, "_name"], "inner")
-    hits = exact.select(*keys, req_id, "candidate").unionByName(
-        simple_hits.select(*keys, req_id, "candidate")).distinct()
+    exact = ents.select(*keys, F.col("candidate").alias("_name"), "candidate").distinct()
+    # what a name finds does not depend on who asks: candidates and their number are worked out per name
+    found = (probe.distinct().join(exact.select(*keys, "_name"), [*keys, "_name"], "left_anti").withColumn("_exact", F.lit(False))
+             .select(*keys, "_name", "candidate", "_exact").unionByName(exact.withColumn("_exact", F.lit(True))))
+    sizes = found.groupBy(*keys, "_name").agg(F.count("*").alias("n_matches"))
+    ids = req.groupBy(*keys, req_id).agg(F.min("_name").alias("_lo"), F.max("_name").alias("_hi"))
+    asked = req.join(ids, [*keys, req_id], "left")
+    one = (asked.where("_lo is null or _lo = _hi")
+           .join(found.join(sizes, [*keys, "_name"]).select(*keys, F.col("_name").alias("_lo"), "candidate", "n_matches"),
+                 [*keys, "_lo"], "left"))
+    # an id that asks for several names has the union of what they find, of exact ones only if there are any
+    several = asked.where("_lo <> _hi")
+    hits = several.select(*keys, req_id, "_name").distinct().join(found, [*keys, "_name"])
+    wins = hits.groupBy(*keys, req_id).agg(F.max("_exact").alias("_wins"))
+    hits = hits.join(wins, [*keys, req_id]).where("_exact or not _wins").select(*keys, req_id, "candidate").distinct()
     counts = hits.groupBy(*keys, req_id).agg(F.count("*").alias("n_matches"))
-    long = (req.join(hits, [*keys, req_id], "left")
-            .join(counts, [*keys, req_id], "left")
+    columns = [*keys, req_id, "_name", "candidate", "n_matches"]
+    long = (one.select(*columns)
+            .unionByName(several.join(hits, [*keys, req_id], "left").join(counts, [*keys, req_id], "left").select(*columns))
             .withColumn("n_matches", F.coalesce("n_matches", F.lit(0)).cast("long")))
     status = (F.when(F.col("n_matches") == 0, F.lit(LOOKUP_NOT_FOUND))
               .when(F.col("n_matches") == 1, F.lit(LOOKUP_FOUND))
