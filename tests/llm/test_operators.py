@@ -146,6 +146,23 @@ def test_unknown_words_cost_in_proportion_to_their_length(spark):
     assert score[30_000] < 10 * score[10_500] and score[11_000] < score[10_500] and all(v < 0 for v in score.values())
 
 
+def test_mixed_bits_price_known_words():
+    facts = context_mixing.Facts([50.0], [20.0], [5.0], [5.0], 20, 0.75)
+    counts, bits = np.full((1, 2), 3.0), np.array([-1.0, -0.5])
+    got = facts.log10(counts, bits)[0]
+    assert got[1] - got[0] > 0.25  # a word seen three times of 50 costs less if its bits do
+    assert 10 ** facts.log10(np.array([[5.0] * 10]), np.full(10, -1.0))[0].sum() <= 1 + 1e-9
+    # a word's bits are learned by its occurrences, not once per distinct word
+    def priced(words, times):
+        counts = np.zeros((len(context_mixing.ORDERS), context_mixing.SLOTS * 2))
+        context_mixing._counted_bits(counts, words, np.array(times))
+        tables = context_mixing.stretched(counts.reshape(len(context_mixing.ORDERS), -1, 2))
+        mixer = context_mixing.Mixer(tables, refine=context_mixing.refinement(np.zeros(256 * context_mixing.STEPS), 0.0))
+        return mixer.log10(words)
+    often, seldom = priced([b"the", b"fox"], [900, 1])
+    assert often > seldom + 1
+
+
 def test_adapted_scores_of_hardly_likely_repeats():
     times = np.array([3, 2, 1])
     for p in (-20.0, -50.0, -400.0, -20_000.0):
