@@ -35,10 +35,23 @@ def _unescape(text):
     return text
 
 
+def _unescape_parts(text):
+    """``_unescape`` in one pass for long texts: what follows each ampersand is looked at once. No
+    replaced reference is part of another, so the order of ``ENTITIES`` makes no difference."""
+    def resolved(part, i):
+        out = F.concat(F.lit("&"), part)
+        for name, char in reversed(ENTITIES):
+            out = F.when(part.startswith(name[1:]), F.concat(F.lit(char), F.substring(part, len(name), 1 << 30))).otherwise(out)
+        return F.when(i == 0, part).otherwise(out)
+
+    return F.array_join(F.transform(F.split(text, "&"), resolved), "")
+
+
 def _tidy(text):
-    """Runs of blanks become one, lines lose outer blanks, empty lines go."""
-    text = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D\xA0]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n+", "\n"), F.lit(" \n"))
+    """Runs of blanks become one, lines lose outer blanks, empty lines go. The patterns match only
+    what changes: a lone space or line end stays as it is."""
+    text = F.regexp_replace(text, r"[\x09\x0B-\x0D\xA0][\x20\x09\x0B-\x0D\xA0]*|\x20[\x20\x09\x0B-\x0D\xA0]+", " ")
+    return F.trim(F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def plain_text(html):
@@ -46,7 +59,7 @@ def plain_text(html):
     references resolved, blanks tidied. A tag is taken to end at the first ``>``."""
     text = F.regexp_replace(html, HIDDEN, "")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
-    return _tidy(_unescape(text))
+    return _tidy(_unescape_parts(text))
 
 
 def record_id(*parts):
