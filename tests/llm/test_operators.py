@@ -565,6 +565,48 @@ def test_line_dedup_awkward(spark, awkward):
     assert line_dedup.similar_lines(awkward.limit(0)).collect() == []
 
 
+def test_line_dedup_families(spark, monkeypatch):
+    """Edited copies of a line, and copies of these, far from the line they come from: in DataFrame
+    operations alone, and few pairs besides the stars."""
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", None)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}x{i * i % 97}" for i in range(500)]
+
+    def edited(line, n):
+        line = line.copy()
+        for _ in range(n):
+            line[rng.integers(len(line))] = words[rng.integers(500)]
+        return line
+
+    base = list(rng.choice(words, 60))
+    copies = [edited(base, int(rng.integers(1, 14))) for _ in range(60)]
+    lines = [" ".join(x) for x in [base, base, base, *copies, *(edited(copies[i], int(rng.integers(1, 4))) for i in range(40))]]
+    lines += ["Caf\u00c9  AU\tlait\x0bgrand", " caf\u00c9 au lait grand", "caf\u00e9 au lait grand", "\U0001f600" * 7, "\U0001f600" * 8,
+              "\U0001f600" * 9, "a", "A ", "b", " \x0c ", "\u00a0", "abcdefgh", "abcdefg", "\u0130stanbul \u03a3"]
+    rows = [(i // 3, x) for i, x in enumerate(lines)]
+    docs = [(i, "\n".join(x for j, x in rows if j == i)) for i in range(rows[-1][0] + 1)]
+    want = line_components(docs)
+    seen, rest = [], line_dedup.rest_links
+    monkeypatch.setattr(line_dedup, "rest_links", lambda *a: seen.append((*a, rest(*a))) or seen[0][2])
+    got = {(r.doc_id, r.line_no): ((r.first_doc_id, r.first_line_no), r.kept) for r in
+           line_dedup.similar_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] >= want[k] and got[k][1] == (got[k][0] == k) for k in want)
+    assert sum(got[k][0] != want[k] for k in want) <= 0.05 * sum(k != f for k, f in want.items())  # bands are a search
+    star, comps, found = seen[0]
+    placed = {r.node: r.component for r in comps.collect()}
+    members = {}
+    for r in star.collect():
+        members.setdefault(r.hub, []).append(r)
+    near = set()
+    for rows in members.values():
+        for x in rows:
+            for y in rows:
+                if x.id < y.id and placed.get(x.id, x.id) != placed.get(y.id, y.id):
+                    if 9 * len({*x.diff} ^ {*y.diff}) <= x.n + y.n:
+                        near.add((x.id, y.id))
+    assert near and {tuple(sorted(r)) for r in found.collect()} == near
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 def test_ngram_join_query(spark, texts):
     want = components({i: shingle_set(t) for i, t in texts.items()})
